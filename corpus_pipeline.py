@@ -1,7 +1,67 @@
-"""Stub until the stages exist."""
+"""A training-corpus pipeline: documents that toxicity rejects go, then exact copies, near copies and contaminated ones; the rest is encoded.
 
-STAGES, ORACLE_SQL = [], None
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the
+last return the columns of documents. Rows with a null doc_id are never taken for copies.
+"""
 
+from __future__ import annotations
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from weftgraph.llm.decontaminate import drop_contaminated
+from weftgraph.llm.exact_dedup import exact_dedup
+from weftgraph.llm.sentencepieces import encode_decode
+from weftgraph.llm.simhash import simhash_groups
+from weftgraph.llm.tables import load, written
+from weftgraph.llm.toxicity import drop_toxic, fit_toxicity
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score under the threshold, by a model that learns from the labelled ones of these docs."""
+    return drop_toxic(docs, fit_toxicity(docs, load(spark, sf_dir, "labels")))
+
+
+def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, of the largest doc_id, of each set of equal texts; of rows that repeat id and text one stays."""
+    gone = exact_dedup(docs).filter("NOT kept").select("doc_id")
+    if not docs.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL").isEmpty():
+        docs = docs.dropDuplicates(["doc_id", "text"])
+    return docs.join(gone.distinct(), "doc_id", "left_anti").select(docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document that each group of linked fingerprints is named after."""
+    gone = simhash_groups(docs).filter("doc_id <> component_id").select("doc_id")
+    return docs.join(gone.distinct(), "doc_id", "left_anti").select(docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark item occurs."""
+    return drop_contaminated(docs, load(spark, sf_dir, "benchmark"))
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, ids with begin and end, and the text they decode to."""
+    return encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+STAGES = [
+    ("toxicity", toxicity),
+    ("exact_dedup", exact_copies),
+    ("simhash_near_dedup", near_copies),
+    ("decontamination", decontamination),
+    ("sentencepiece", encoding),
+]
+
+#: SQL can express neither the classifier nor the fingerprints; tests hold each stage against a brute-force version.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = written(docs)
+    return docs

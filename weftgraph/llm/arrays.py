@@ -23,9 +23,9 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, at - at[0]
 
 
-def blocks(batch: pa.RecordBatch, text: str, limit: int) -> Iterator[pa.RecordBatch]:
-    """The batch cut between rows into pieces of about `limit` bytes of text; a longer row is a piece by itself."""
-    sizes = np.diff(flat(batch.column(batch.schema.get_field_index(text)))[1])
+def blocks(batch: pa.RecordBatch, text: int, limit: int) -> Iterator[pa.RecordBatch]:
+    """The batch cut between rows into pieces of about `limit` bytes of its column `text`; a longer row is a piece by itself."""
+    sizes = np.diff(flat(batch.column(text))[1])
     start, held = 0, 0
     for i, n in enumerate(sizes):
         if held and held + n > limit:

@@ -236,7 +236,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     def one(items: Items) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for whole in batches:
-                for b in blocks(whole, "text", 2 << 20):
+                for b in blocks(whole, 1, 2 << 20):
                     found = scan(items, *flat(b.column(1)), q)
                     if found:
                         r, i, e, end = (list(x) for x in zip(*found, strict=True))
@@ -248,3 +248,22 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     for items in item_passes(benchmark, edits=edits, q=q):
         out = one(items) if out is None else out.unionByName(one(items))
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", edits: float = EDITS, q: int = Q) -> DataFrame:
+    """The rows of docs, all columns as they are, in which no benchmark item occurs; no shuffle."""
+    at = docs.columns.index(text_col)
+
+    def without(rows: DataFrame, items: Items) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for b in blocks(whole, at, 2 << 20):
+                    clean = np.ones(b.num_rows, bool)
+                    clean[[r for r, *_ in scan(items, *flat(b.column(at)), q)]] = False
+                    yield b.filter(pa.array(clean))
+
+        return rows.mapInArrow(run, docs.schema)
+
+    for items in item_passes(benchmark, edits=edits, q=q):
+        docs = without(docs, items)
+    return docs

@@ -172,7 +172,7 @@ def score_toxicity(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id", t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in blocks(whole, "text", 4 << 20):
+            for b in blocks(whole, 2, 4 << 20):
                 score = model.scores(*flat(b.column(2)))
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(score), pa.array((score >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
@@ -180,6 +180,18 @@ def score_toxicity(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id", t
     return texts(docs, F.col(id_col).cast("long").alias("doc_id"), held, text_col=text_col).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
+def drop_toxic(docs: DataFrame, model: ToxicModel, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, all columns as they are, whose score is under the threshold; no shuffle."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in blocks(whole, at, 4 << 20):
+                yield b.filter(pa.array(model.scores(*flat(b.column(at))) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Every document's score by a model that learns from the labelled ones outside the held-out third."""
     return score_toxicity(docs, fit_toxicity(docs, labels))
