@@ -156,10 +156,12 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sampl
     bytes, so both the rows sent to the driver and their size are bounded. Null labels, ids and texts teach nothing.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id IS NOT NULL AND toxic IN (0, 1)").filter(fold("doc_id") != 1)
-    short = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.col("text").isNotNull() & F.octet_length("text").between(1, sample_bytes))
-    rows = short.join(known, "doc_id")
-    ordered = lambda toxic: rows.filter(F.col("toxic") == toxic).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    found = ordered(1).unionByName(ordered(0)).select("toxic", F.col("text").cast("binary").alias("text")).toArrow()
+    # chosen among the labels alone, so that no text is shuffled; some fall to the bound on their length
+    ordered = lambda df, toxic, n: df.filter(F.col("toxic") == toxic).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+    chosen = ordered(known, 1, 4 * sample).unionByName(ordered(known, 0, 4 * sample))
+    short = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).filter(F.octet_length("text").between(1, sample_bytes))
+    rows = short.join(F.broadcast(chosen), "doc_id")  # at most 8 * sample rows of two numbers
+    found = ordered(rows, 1, sample).unionByName(ordered(rows, 0, sample)).select("toxic", "text").toArrow()
     return train(*flat(found.column("text")), found.column("toxic").to_numpy().astype(np.int64))
 
 
