@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import contaminated
 from .exact_dedup import exact_dedup
+from .html_text import main_texts
+from .language import languages
 from .sentencepieces import encode_digests
 from .simhash import simhash_groups
 from .tables import load
+from .token_counts import token_counts
 from .toxicity import toxicity
 
 
@@ -23,6 +26,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(load(spark, sf_dir, "documents"))
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_texts(load(spark, sf_dir, "pages"))
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(load(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -35,13 +42,24 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(load(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages(load(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
         "op2_simhash": op2_simhash,
+        "op4_html_text": op4_html_text,
         "op5_sentencepiece": op5_sentencepiece,
         "op6_toxicity": op6_toxicity,
         "op8_decontaminate": op8_decontaminate,
+        "op9_token_counts": op9_token_counts,
+        "op10_language": op10_language,
     }
 
 
