@@ -236,7 +236,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     def one(items: Items) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for whole in batches:
-                for b in blocks(whole, 1, 2 << 20):
+                for b in blocks(whole, 1, 1 << 20):
                     found = scan(items, *flat(b.column(1)), q)
                     if found:
                         r, i, e, end = (list(x) for x in zip(*found, strict=True))
@@ -257,7 +257,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
     def without(rows: DataFrame, items: Items) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for whole in batches:
-                for b in blocks(whole, at, 2 << 20):
+                for b in blocks(whole, at, 1 << 20):
                     clean = np.ones(b.num_rows, bool)
                     clean[[r for r, *_ in scan(items, *flat(b.column(at)), q)]] = False
                     yield b.filter(pa.array(clean))

@@ -24,7 +24,7 @@ from .tables import texts
 
 MARKER = "▁"
 #: Distinct marked words that a task keeps; beyond, the table starts anew.
-TABLE = 300_000
+TABLE = 150_000
 WORD = re.compile(" +[^ ]*")
 
 
@@ -98,7 +98,7 @@ def _each(docs, path, id_col, text_col, schema, made) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = table_of(path)
         for whole in batches:
-            for b in blocks(whole, 1, 8 << 20):
+            for b in blocks(whole, 1, 2 << 20):
                 rows = [made(ids, table) for ids in table.encode(b.column(1).to_pylist())]
                 made_of = [[r[i] for r in rows] for i in range(len(kinds))]
                 yield pa.RecordBatch.from_arrays([b.column(0), *(_lists(x) if k is None else pa.array(x, k) for x, k in zip(made_of, kinds, strict=True))], names)

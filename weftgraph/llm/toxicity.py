@@ -174,7 +174,7 @@ def score_toxicity(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id", t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in blocks(whole, 2, 4 << 20):
+            for b in blocks(whole, 2, 1 << 20):
                 score = model.scores(*flat(b.column(2)))
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(score), pa.array((score >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
@@ -188,7 +188,7 @@ def drop_toxic(docs: DataFrame, model: ToxicModel, text_col: str = "text", thres
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in blocks(whole, at, 4 << 20):
+            for b in blocks(whole, at, 1 << 20):
                 yield b.filter(pa.array(model.scores(*flat(b.column(at))) < threshold))
 
     return docs.mapInArrow(run, docs.schema)
