@@ -16,15 +16,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import blocks, flat
 from .tables import fold, texts
 from .toxicity import _folded
 
-#: Bounds of the training sample: documents of each language and bytes of a text that may be in it; words of a language's lexicon.
-SAMPLE, SAMPLE_BYTES, LEXICON = 300, 4000, 3000
+#: Bounds of the training sample: documents of each language and bytes of a text that may be in it, words of a language's lexicon,
+#: languages, the most frequent ones.
+SAMPLE, SAMPLE_BYTES, LEXICON, LANGUAGES = 300, 4000, 3000, 200
 GRAMS, BUCKETS, EPOCHS, RATE, BATCH, STEPS = (2, 3, 4), 1 << 17, 3, 0.4, 32, 32
 #: Words of a stretch of one language in training sequences, shortest and longest; words of a segment.
 STRETCH, SEGMENT = (3, 24), 256
@@ -253,10 +254,18 @@ def fit_language(docs: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMP
     """
     able = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("binary").alias("text"))
     able = able.filter(F.col("lang").isNotNull() & F.octet_length("text").between(1, sample_bytes) & (fold("doc_id") != 1))
-    turn = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = able.select("doc_id", "lang").withColumn("turn", turn).filter(F.col("turn") <= sample).select("doc_id", "lang").distinct()
-    # at most `sample` rows of a language; repeated rows of a document may add to it, so the bound is set again
-    found = able.join(F.broadcast(chosen), ["doc_id", "lang"]).orderBy(F.xxhash64("doc_id"), "doc_id").select("lang", "text").toArrow()
+    # counts give the share of each language to take, by a hash of the id, so that no language's rows meet in one task
+    counts = able.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    least, span = F.xxhash64("doc_id").bitwiseAND((1 << 53) - 1), 1 << 53
+    bound = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], min(span, span * 2 * sample // r["count"])))) if counts else F.create_map().cast("map<string,bigint>")
+    some = able.withColumn("order", least).filter(F.col("order") < F.try_element_at(bound, F.col("lang")))
+    found = some.orderBy("order", "doc_id").limit(3 * sample * LANGUAGES).select("lang", "text").toArrow()
+    kept, turn = [], {}
+    for i, lang in enumerate(found.column("lang").to_pylist()):
+        turn[lang] = turn.get(lang, 0) + 1
+        if turn[lang] <= sample:
+            kept.append(i)
+    found = found.take(kept)
     langs = np.array(found.column("lang").to_pylist(), object)
     if not len(langs):
         none = np.zeros(0)
@@ -273,7 +282,7 @@ def label_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in blocks(whole, 3, 4 << 20):
+            for b in blocks(whole, 3, 1 << 20):
                 p = model.posteriors(*flat(b.column(3)))
                 letters = b.column(2).to_numpy(zero_copy_only=False)
                 best = p.argmax(axis=1) if len(model.labels) else np.zeros(len(p), int)
