@@ -44,3 +44,20 @@ def drift(history: DataFrame, key: str = "op", seq: str = "seq", value: str = "v
     rows = history.withColumn("rolling", F.expr(f"percentile({value}, 0.5)").over(before))
     over = F.col(value) - F.col("rolling")
     return rows.select(key, seq, value, "rolling", F.coalesce((over > F.col("rolling") * DRIFT_SHARE) & (over > LEAST_CYCLES), F.lit(False)).alias("drifted"))
+
+
+def call_summary(calls: DataFrame) -> DataFrame:
+    """calls (tool, ms, ok, is_error, timed_out) -> n, protocol and tool errors, timeouts, longest and mean time by tool."""
+    late, lost = F.col("timed_out"), ~F.col("timed_out") & ~F.col("ok")
+    wrong = F.col("is_error") & F.col("ok") & ~F.col("timed_out")
+    return calls.groupBy("tool").agg(F.count("*").alias("n"), *(F.sum(c.cast("int")).alias(n) for c, n in ((lost, "protocol_errors"), (wrong, "tool_errors"), (late, "timeouts"))), F.max("ms").alias("max_ms"), F.avg("ms").alias("avg_ms"))
+
+
+#: Upper bounds in seconds of a duration histogram's buckets.
+BOUNDS = (0.005, 0.01, 0.025, 0.05, 0.075, 0.1, 0.25, 0.5, 0.75, 1.0, 2.5, 5.0, 7.5, 10.0)
+
+
+def duration_histogram(calls: DataFrame, key: str = "op", seconds: str = "value", bounds: tuple[float, ...] = BOUNDS) -> DataFrame:
+    """key, upto (null: beyond the last bound), n, total of durations by bucket."""
+    bucket = F.coalesce(*(F.when(F.col(seconds) <= b, F.lit(b)) for b in bounds))
+    return calls.groupBy(key, bucket.alias("upto")).agg(F.count("*").alias("n"), F.sum(seconds).alias("total"))

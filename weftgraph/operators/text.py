@@ -150,6 +150,25 @@ def highlights(found: DataFrame, ranks: DataFrame, places: DataFrame, top: int =
     return rows.select("doc_id", place.alias("place"), "sentence", "chunk_id", phrase.alias("phrase"))
 
 
+def packed(previews: Column, most: int = MAX_OBSERVATIONS, width: int = MAX_LENGTH, preview: int = 60) -> Column:
+    """Phrases cut to `preview` characters and joined by bars into at most `most` observations of at most `width`."""
+    short = F.transform(previews, lambda p: F.when(F.length(p) > preview, F.concat(F.substring(p, 1, preview - 3), F.lit("..."))).otherwise(p))
+    start = F.struct(F.array().cast("array<string>").alias("full"), F.lit("").alias("line"))
+
+    def add(state: Column, p: Column) -> Column:
+        longer = F.when(state["line"] == "", p).otherwise(F.concat(state["line"], F.lit(" | "), p))
+        fits = F.length(longer) <= width
+        return F.struct(F.when(fits, state["full"]).otherwise(F.concat(state["full"], F.array(state["line"]))).alias("full"), F.when(fits, longer).otherwise(p).alias("line"))
+
+    return F.aggregate(short, start, add, lambda s: F.slice(F.when(s["line"] == "", s["full"]).otherwise(F.concat(s["full"], F.array(s["line"]))), 1, most))
+
+
+def packed_index(marks: DataFrame) -> DataFrame:
+    """doc_id, observations: one index entry for a document's highlights, in the order of their places."""
+    rows = marks.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("place", "phrase"))).alias("m"))  # at most `top` rows a document
+    return rows.select("doc_id", packed(F.transform("m", lambda x: x["phrase"])).alias("observations"))
+
+
 def document_graph(parts: DataFrame, marks: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """docs (doc_id, title) -> entities (name, entity_type, observations) and relations (src, dst, rel_type) of the loaded documents."""
     none = F.array().cast("array<string>")

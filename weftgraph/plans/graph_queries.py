@@ -373,6 +373,26 @@ COMPARED = """WITH b AS (SELECT event_type AS op, median(value) AS base FROM eve
     SELECT op, round(base, 6) AS base, round(head, 6) AS head, round(head - base, 6) AS delta, head - base > greatest(40.0::DOUBLE, base * 0.05::DOUBLE) AS regressed FROM x"""
 
 
+def _calls(spark, d):
+    """Events as tool calls: some late, some wrong."""
+    events = tables.table(spark, d, "events")
+    calls = events.select(F.col("event_type").alias("tool"), F.col("value").alias("ms"), (F.col("event_id") % 5 != 0).alias("ok"), (F.col("event_id") % 7 == 0).alias("is_error"), (F.col("event_id") % 11 == 0).alias("timed_out"))
+    found = measure.call_summary(calls)
+    return found.select("tool", "n", "protocol_errors", "tool_errors", "timeouts", F.round("max_ms", 6).alias("max_ms"), F.round("avg_ms", 6).alias("avg_ms"))
+
+
+CALLS = """SELECT event_type AS tool, count(*) AS n, CAST(sum((event_id % 11 <> 0 AND event_id % 5 = 0)::INT) AS BIGINT) AS protocol_errors, CAST(sum((event_id % 11 <> 0 AND event_id % 5 <> 0 AND event_id % 7 = 0)::INT) AS BIGINT) AS tool_errors,
+    CAST(sum((event_id % 11 = 0)::INT) AS BIGINT) AS timeouts, round(max(value), 6) AS max_ms, round(avg(value), 6) AS avg_ms FROM events GROUP BY 1"""
+
+
+def _buckets(spark, d):
+    found = measure.duration_histogram(_samples(spark, d).withColumn("value", F.col("value") / 50))
+    return found.select("op", F.coalesce("upto", F.lit(-1.0)).alias("upto"), "n", F.round("total", 5).alias("total"))
+
+
+BUCKETS = f"""SELECT event_type AS op, CAST(CASE {' '.join(f'WHEN value / 50 <= {b} THEN {b}' for b in measure.BOUNDS)} ELSE -1 END AS DOUBLE) AS upto, count(*) AS n, round(sum(value / 50), 5) AS total FROM events GROUP BY 1, 2"""
+
+
 def _hourly(spark, d):
     events = tables.table(spark, d, "events").select(F.col("ts"), F.concat(F.lit("customer:"), "user_id").alias("name"))
     found = windowed_visits(events)
@@ -482,6 +502,9 @@ def _all() -> dict:
         "decode_timestamp": (_decoded, DECODED),
         "bench_percentiles": (_distributions, DISTRIBUTIONS),
         "rolling_median_creep": (_drift, DRIFT),
+        "call_summary": (_calls, CALLS),
+        "duration_histogram": (_buckets, BUCKETS),
+        "pagerank_sampled": (lambda s, d: rank.sampled_visits(tables.entities(s, d), tables.relations(s, d), seed=7), None),
         "bench_compare": (_compared, COMPARED),
         "visits_tumbling": (_hourly, "SELECT epoch_ms(date_trunc('hour', ts)) AS start_ms, 'customer:' || user_id AS name, count(*) AS visits FROM events GROUP BY 1, 2"),
         "embedding_cosine": (_cosine, COSINE),

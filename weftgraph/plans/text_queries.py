@@ -115,6 +115,20 @@ def _marks(spark, d):
     return marks.select("doc_id", F.col("place").cast("int").alias("place"), "sentence", "phrase")
 
 
+def _packed(spark, d):
+    docs, found, cosines = _turn_parts(spark, d)
+    parts = text.chunks(text.observations(docs))
+    marks = text.highlights(found, text.sentence_ranks(found, cosines, STEPS), text.sentence_chunks(found, parts), top=8)
+    return text.packed_index(marks).select("doc_id", F.array_join("observations", "~").alias("observations"))
+
+
+#: Previews of at most 60 characters, so a line takes two at least, by a fold over places.
+PACKED = """line(doc_id, place, filled, line) AS (SELECT doc_id, 1, '', p FROM previews WHERE place = 1 UNION ALL
+        SELECT l.doc_id, l.place + 1, CASE WHEN length(l.line || ' | ' || p) <= 140 THEN filled ELSE filled || l.line || '~' END, CASE WHEN length(l.line || ' | ' || p) <= 140 THEN l.line || ' | ' || p ELSE p END
+        FROM line l JOIN previews v ON v.doc_id = l.doc_id AND v.place = l.place + 1),
+    whole AS (SELECT doc_id, string_split(arg_max(filled || line, place), '~') AS o FROM line GROUP BY doc_id)"""
+
+
 def _places(spark, d):
     docs = table(spark, d, "documents")
     return text.sentence_chunks(text.sentences(docs), text.chunks(text.observations(docs))).select("doc_id", "sentence", "chunk")
@@ -211,6 +225,11 @@ def _all() -> dict:
             _marks,
             f"WITH RECURSIVE {TURN_CHAIN}, {WRAP}, {CHUNKS}, {MARKS} SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY rn) - 1 AS INTEGER) AS place, sentence, CASE WHEN length(text) <= 140 THEN text ELSE left(text, 137) || '...' END AS phrase FROM again WHERE again = 1",
         ),
+        "index_packing": (
+            _packed,
+            f"WITH RECURSIVE {TURN_CHAIN}, {WRAP}, {CHUNKS}, {MARKS.replace('rn <= 3', 'rn <= 8')}, phrases AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY rn) AS place, CASE WHEN length(text) <= 140 THEN text ELSE left(text, 137) || '...' END AS t FROM again WHERE again = 1), "
+            f"previews AS (SELECT doc_id, place, CASE WHEN length(t) > 60 THEN left(t, 57) || '...' ELSE t END AS p FROM phrases), {PACKED} SELECT doc_id, array_to_string(o[1:2], '~') AS observations FROM whole",
+        ),
         "sentence_to_chunk": (_places, f"WITH RECURSIVE {DOCS}, {SENTENCES}, {WRAP}, {CHUNKS} SELECT s.doc_id, sentence, chunk FROM sent s JOIN chunks c ON c.doc_id = s.doc_id AND s.start >= c0 AND s.start < c1"),
         "word_cooccurrence": (_pairs, PAIRS),
         "word_textrank_k": (
