@@ -265,7 +265,7 @@ def fit_language(docs: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMP
         turn[lang] = turn.get(lang, 0) + 1
         if turn[lang] <= sample:
             kept.append(i)
-    found = found.take(kept)
+    found = found.take(pa.array(kept, pa.int64()))
     langs = np.array(found.column("lang").to_pylist(), object)
     if not len(langs):
         none = np.zeros(0)
