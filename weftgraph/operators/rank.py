@@ -31,17 +31,22 @@ def walker_ranks(ranks: DataFrame) -> DataFrame:
     return ranks.select("name", share.cast("double").alias("walker_rank"))
 
 
+def dealt(edges: DataFrame) -> DataFrame:
+    """Edges dealt by source and kept, so that steps move values to them and never move them again; what a lost executor held is dealt anew."""
+    return edges.repartition(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), "src").persist()
+
+
 def structural_rank(entities: DataFrame, relations: DataFrame, steps: int = 50, damping: float = DAMPING, cut: int = 5) -> DataFrame:
     """name, visits, rank: expected visits when one walk starts at every node, follows a relation with probability
     `damping`, and ends where there is none.
 
     v = 1 + damping * P'v, taken `steps` times from v = 1; relations count as often as they occur. Lineage is cut every
-    `cut` steps. Each step is one equi join and one sum by target, combined before the shuffle.
+    `cut` steps. Each step is one equi join with edges that stay where they are, and one sum by target, combined before the shuffle.
     """
     nodes = entities.select("name")
-    edges = relations.select("src", "dst")
+    edges = written(relations.select("src", "dst"))
     out = edges.groupBy("src").agg(F.count("*").alias("c"))
-    edges = written(edges.join(out, "src").select("src", "dst", (damping / F.col("c")).alias("w")))
+    edges = dealt(edges.join(out, "src").select("src", "dst", (damping / F.col("c")).alias("w")))
     values = nodes.withColumn("v", F.lit(1.0))
     for step in range(steps):
         moved = edges.join(values, edges["src"] == values["name"]).groupBy("dst").agg(F.sum(F.col("w") * F.col("v")).alias("m"))
@@ -49,6 +54,7 @@ def structural_rank(entities: DataFrame, relations: DataFrame, steps: int = 50,
         if (step + 1) % cut == 0 and step + 1 < steps:
             values = written(values)
     values = written(values)
+    edges.unpersist()
     total = values.agg(F.sum("v")).first()[0]
     return values.select("name", F.col("v").alias("visits"), (F.col("v") / F.lit(total)).alias("rank"))
 
@@ -96,7 +102,7 @@ def entropy_psi(entities: DataFrame, relations: DataFrame, iterations: int = MOS
         values = written(nodes.join(warm.select("name", "psi"), "name", "left").withColumn("psi", F.coalesce("psi", F.lit(mean))))
         total, square = values.agg(F.sum("psi"), F.sum(F.col("psi") ** 2)).first()
         values, total = values.withColumn("psi", F.col("psi") / square**0.5), total / square**0.5
-    edges = written(edges.repartition("src"))
+    edges = dealt(written(edges))
     for _ in range(iterations):
         moved = edges.join(values, edges["src"] == values["name"]).groupBy("dst").agg(F.sum("psi").alias("m"))
         before = values.withColumnRenamed("psi", "old")
@@ -107,4 +113,5 @@ def entropy_psi(entities: DataFrame, relations: DataFrame, iterations: int = MOS
         values, total = fresh.select("name", (F.col("x") / length).alias("psi")), total / length
         if max(0.0, 1 + old - 2 * mixed / length) ** 0.5 < tolerance:
             break
+    edges.unpersist()
     return values.select("name", F.greatest("psi", F.lit(0.0)).alias("psi"))
