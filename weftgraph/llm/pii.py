@@ -8,6 +8,8 @@ values different ones; separators, lengths, check digits and domains of addresse
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,11 +32,14 @@ FORMATS = {
     "card": r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4} [0-9]{4} [0-9]{4} [0-9]{4}|[0-9]{4}-[0-9]{4}-[0-9]{4}-[0-9]{4})(?![0-9])",
 }
 ANY = "|".join(f"(?:{p})" for p in FORMATS.values())
-#: A text without one of these holds none of the formats but a credential, which these reach too.
-HINT = r"[0-9@]|AKIA|(?i:password|passwd|secret|token|api_?key)"
 LOWER, UPPER, DIGITS, HEX = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "0123456789abcdef"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value worked out once; a lambda works out anew, at each step, what it reads from outside."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _noise(key: str, tweak: Column | str, turn: Column, half: Column) -> Column:
     """60 bits from key, format, round and the half that stays."""
     tweak = F.lit(tweak) if isinstance(tweak, str) else tweak
@@ -42,6 +47,10 @@ def _noise(key: str, tweak: Column | str, turn: Column, half: Column) -> Column:
     return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
 
 
+def _rounds(start: Column, turn: Callable, finish: Callable) -> Column:
+    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, turn, finish)
+
+
 def feistel(value: Column, left: Column, right: Column, key: str, tweak: Column | str) -> Column:
     """A keyed permutation of the integers below left * right (each at most 10^10): halves are shifted in turn within their moduli."""
 
@@ -49,28 +58,31 @@ def feistel(value: Column, left: Column, right: Column, key: str, tweak: Column
         one, two = state["l"], state["r"]
         even = i % 2 == 0
         shifted = F.when(even, (one + _noise(key, tweak, i, two) % left) % left).otherwise((two + _noise(key, tweak, i, one) % right) % right)
-        return F.struct(F.when(even, shifted).otherwise(one).alias("l"), F.when(even, two).otherwise(shifted).alias("r"))
+        return let(shifted, lambda s: F.struct(F.when(even, s).otherwise(one).alias("l"), F.when(even, two).otherwise(s).alias("r")))
 
-    start = F.struct(F.floor(value / right).cast("long").alias("l"), (value % right).cast("long").alias("r"))
-    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, turn, lambda s: s["l"] * right + s["r"])
+    whole = lambda v: _rounds(F.struct(F.floor(v / right).cast("long").alias("l"), (v % right).cast("long").alias("r")), turn, lambda s: s["l"] * right + s["r"])
+    return let(value, whole)
 
 
 def digits_permuted(digits: Column, key: str, tweak: str) -> Column:
     """A keyed permutation of the digit strings of one length, 2 to 36."""
-    n = F.length(digits)
-    left, right = F.floor(n / 2).cast("int"), (n - F.floor(n / 2)).cast("int")
-    ten = lambda k: F.pow(F.lit(10), k).cast("decimal(38,0)")
-    whole = F.concat_ws(":", F.lit(tweak), n.cast("string"))
 
-    def turn(state: Column, i: Column) -> Column:
-        one, two = state["l"], state["r"]
-        even = i % 2 == 0
-        sum_ = F.when(even, (one.cast("decimal(20,0)") + _noise(key, whole, i, two)) % ten(left)).otherwise((two.cast("decimal(20,0)") + _noise(key, whole, i, one)) % ten(right))
-        text = F.lpad(sum_.cast("decimal(20,0)").cast("string"), F.when(even, left).otherwise(right), F.lit("0"))
-        return F.struct(F.when(even, text).otherwise(one).alias("l"), F.when(even, two).otherwise(text).alias("r"))
+    def whole(text: Column) -> Column:
+        n = F.length(text)
+        left = F.floor(n / 2).cast("int")
+        own = F.concat_ws(":", F.lit(tweak), n.cast("string"))
+
+        def turn(state: Column, i: Column) -> Column:
+            one, two = state["l"], state["r"]
+            even = i % 2 == 0
+            half, stays = F.when(even, one).otherwise(two), F.when(even, two).otherwise(one)
+            ten = F.pow(F.lit(10), F.length(half)).cast("decimal(38,0)")
+            shifted = F.lpad(((half.cast("decimal(20,0)") + _noise(key, own, i, stays)) % ten).cast("decimal(20,0)").cast("string"), F.length(half), F.lit("0"))
+            return let(shifted, lambda s: F.struct(F.when(even, s).otherwise(one).alias("l"), F.when(even, two).otherwise(s).alias("r")))
 
-    start = F.struct(F.substr(digits, F.lit(1), left).alias("l"), F.substr(digits, left + 1, right).alias("r"))
-    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, turn, lambda s: F.concat(s["l"], s["r"]))
+        return _rounds(F.struct(F.substr(text, F.lit(1), left).alias("l"), F.substr(text, left + 1, n - left).alias("r")), turn, lambda s: F.concat(s["l"], s["r"]))
+
+    return let(digits, whole)
 
 
 def letters_permuted(text: Column, key: str, tweak: str, hexed: bool = False) -> Column:
@@ -78,45 +90,52 @@ def letters_permuted(text: Column, key: str, tweak: str, hexed: bool = False) ->
 
     hexed: a string of hexadecimal digits stays one.
     """
-    n = F.length(text)
-    left = F.floor(n / 2).cast("int")
-    hexadecimal = text.rlike("^[0-9a-f]+$") & F.lit(hexed)
-    whole = F.concat_ws(":", F.lit(tweak), n.cast("string"), hexadecimal.cast("string"))
 
-    def moved(half: Column, other: Column, i: Column) -> Column:
-        noise = F.sha2(F.concat_ws("|", F.lit(key), whole, i.cast("string"), other), 512)
+    def whole(known: Column) -> Column:
+        value, hexadecimal = known["text"], known["hexadecimal"]
+        n = F.length(value)
+        left = F.floor(n / 2).cast("int")
+        own = F.concat_ws(":", F.lit(tweak), n.cast("string"), hexadecimal.cast("string"))
 
-        def one(c: Column, j: Column) -> Column:
-            shift = F.conv(F.substr(noise, (j % 30) * 4 + 1, F.lit(4)), 16, 10).cast("int") + F.floor(j / 30)
+        def moved(half: Column, other: Column, i: Column) -> Column:
+            noise = F.sha2(F.concat_ws("|", F.lit(key), own, i.cast("string"), other), 512)
 
-            def within(alphabet: str) -> Column:
-                at = F.position(c, F.lit(alphabet)) - 1 + shift
-                return F.substr(F.lit(alphabet), (at % len(alphabet) + 1).cast("int"), F.lit(1))
+            def shifted(z: Column) -> Column:
+                def one(c: Column, j: Column) -> Column:
+                    shift = F.conv(F.substr(z, (j % 30) * 4 + 1, F.lit(4)), 16, 10).cast("int") + F.floor(j / 30)
 
-            return (
-                F.when(hexadecimal, within(HEX)).when(c.rlike("^[0-9]$"), within(DIGITS)).when(c.rlike("^[a-z]$"), within(LOWER)).when(c.rlike("^[A-Z]$"), within(UPPER)).otherwise(c)
-            )
+                    def within(alphabet: str) -> Column:
+                        at = F.position(c, F.lit(alphabet)) - 1 + shift
+                        return F.substr(F.lit(alphabet), (at % len(alphabet) + 1).cast("int"), F.lit(1))
 
-        return F.array_join(F.transform(F.split(half, "(?!^)(?!$)"), one), "")
+                    return F.when(hexadecimal, within(HEX)).when(c.rlike("^[0-9]$"), within(DIGITS)).when(c.rlike("^[a-z]$"), within(LOWER)).when(c.rlike("^[A-Z]$"), within(UPPER)).otherwise(c)
 
-    def turn(state: Column, i: Column) -> Column:
-        one, two = state["l"], state["r"]
-        even = i % 2 == 0
-        return F.struct(F.when(even & (left > 0), moved(one, two, i)).otherwise(one).alias("l"), F.when(even, two).otherwise(moved(two, one, i)).alias("r"))
+                return F.array_join(F.transform(F.split(half, "(?!^)(?!$)"), one), "")
+
+            return let(noise, shifted)
 
-    start = F.struct(F.substr(text, F.lit(1), left).alias("l"), F.substr(text, left + 1, n - left).alias("r"))
-    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, turn, lambda s: F.concat(s["l"], s["r"]))
+        def turn(state: Column, i: Column) -> Column:
+            one, two = state["l"], state["r"]
+            even = i % 2 == 0
+            return F.struct(F.when(even & (left > 0), moved(one, two, i)).otherwise(one).alias("l"), F.when(even, two).otherwise(moved(two, one, i)).alias("r"))
+
+        return _rounds(F.struct(F.substr(value, F.lit(1), left).alias("l"), F.substr(value, left + 1, n - left).alias("r")), turn, lambda s: F.concat(s["l"], s["r"]))
+
+    known = lambda t: F.struct(t.alias("text"), (F.lit(hexed) & t.rlike("^[0-9a-f]+$")).alias("hexadecimal"))
+    return let(let(text, known), whole)
 
 
 def luhn(digits: Column) -> Column:
     """The Luhn sum of a digit string modulo ten: zero for a valid card."""
-    n = F.length(digits)
 
-    def add(total: Column, i: Column) -> Column:
-        d = F.substr(digits, n - i, F.lit(1)).cast("int")
-        return total + F.when(i % 2 == 0, d).otherwise(2 * d - F.when(d > 4, 9).otherwise(0))
+    def whole(text: Column) -> Column:
+        def add(total: Column, i: Column) -> Column:
+            d = F.substr(text, F.length(text) - i, F.lit(1)).cast("int")
+            return total + F.when(i % 2 == 0, d).otherwise(2 * d - F.when(d > 4, 9).otherwise(0))
 
-    return F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0), add) % 10
+        return F.aggregate(F.sequence(F.lit(0), F.length(text) - 1), F.lit(0), add) % 10
+
+    return let(digits, whole)
 
 
 def mod97(text: Column) -> Column:
@@ -132,12 +151,14 @@ def mod97(text: Column) -> Column:
 def refilled(shape: Column, characters: Column, kept: str) -> Column:
     """The shape with its characters of the class `kept` replaced by the given ones in order."""
 
-    def step(state: Column, c: Column) -> Column:
-        hit = c.rlike(f"^[{kept}]$")
-        return F.struct(F.concat(state["out"], F.when(hit, F.substr(characters, state["at"], F.lit(1))).otherwise(c)).alias("out"), (state["at"] + F.when(hit, 1).otherwise(0)).alias("at"))
+    def whole(given: Column) -> Column:
+        def step(state: Column, c: Column) -> Column:
+            hit = c.rlike(f"^[{kept}]$")
+            return F.struct(F.concat(state["out"], F.when(hit, F.substr(given, state["at"], F.lit(1))).otherwise(c)).alias("out"), (state["at"] + F.when(hit, 1).otherwise(0)).alias("at"))
+
+        return F.aggregate(F.split(shape, "(?!^)(?!$)"), F.struct(F.lit("").alias("out"), F.lit(1).alias("at")), step, lambda s: s["out"])
 
-    start = F.struct(F.lit("").alias("out"), F.lit(1).alias("at"))
-    return F.aggregate(F.split(shape, "(?!^)(?!$)"), start, step, lambda s: s["out"])
+    return let(characters, whole)
 
 
 def _iso(value: Column, kind: Column) -> Column:
@@ -185,15 +206,15 @@ def pseudonym(value: Column, kind: Column, key: str) -> Column:
     secret = F.concat(before, letters_permuted(F.substr(value, F.length(before) + 1), key, "secret", hexed=True))
     # the first digit stays, the check digit follows
     body = F.concat(F.substring(digits, 1, 1), digits_permuted(F.substr(digits, F.lit(2), n - 2), key, "card"))
-    card = refilled(value, F.concat(body, ((10 - luhn(F.concat(body, F.lit("0")))) % 10).cast("string")), "0-9")
+    card = let(body, lambda b: refilled(value, F.concat(b, ((10 - luhn(F.concat(b, F.lit("0")))) % 10).cast("string")), "0-9"))
     joined = F.regexp_replace(value, "[^A-Z0-9]", "")
     account = letters_permuted(F.substr(joined, F.lit(5)), key, "iban")
-    check = 98 - mod97(F.concat(account, F.substring(joined, 1, 2), F.lit("00")))
-    iban = refilled(value, F.concat(F.substring(joined, 1, 2), F.lpad(check.cast("string"), 2, "0"), account), "A-Z0-9")
+    check = lambda a: F.lpad((98 - mod97(F.concat(a, F.substring(joined, 1, 2), F.lit("00")))).cast("string"), 2, "0")
+    iban = let(account, lambda a: refilled(value, F.concat(F.substring(joined, 1, 2), check(a), a), "A-Z0-9"))
     octets = F.split(value, r"\.")
     number = F.aggregate(octets, F.lit(0).cast("long"), lambda a, x: a * 256 + x.cast("long"))
     moved = feistel(number, F.lit(1 << 16).cast("long"), F.lit(1 << 16).cast("long"), key, "ip")
-    ip = F.array_join(F.transform(F.sequence(F.lit(3), F.lit(0), F.lit(-1)), lambda i: (F.floor(moved / F.pow(F.lit(256), i)) % 256).cast("int").cast("string")), ".")
+    ip = let(moved, lambda x: F.array_join(F.transform(F.sequence(F.lit(3), F.lit(0), F.lit(-1)), lambda i: (F.floor(x / F.pow(F.lit(256), i)) % 256).cast("int").cast("string")), "."))
     day = feistel(_day(value, kind).cast("long"), F.lit(DAYS[0]).cast("long"), F.lit(DAYS[1]).cast("long"), key, kind)
     new = F.date_add(F.lit(FIRST_DAY).cast("date"), day.cast("int"))
     swapped = F.substring(value, 1, 2) > "12"
@@ -205,8 +226,7 @@ def pseudonym(value: Column, kind: Column, key: str) -> Column:
         a = F.floor(i / (99 * 9999)) + 1
         return F.concat_ws("-", F.lpad(F.when(a >= 666, a + 1).otherwise(a).cast("string"), 3, "0"), F.lpad((F.floor(i / 9999) % 99 + 1).cast("string"), 2, "0"), F.lpad((i % 9999 + 1).cast("string"), 4, "0"))
 
-    # a one-element list names the permuted number, which several parts of the layout read
-    ssn = F.transform(F.array(feistel(index, F.lit(898).cast("long"), F.lit(99 * 9999).cast("long"), key, "ssn")), social)[0]
+    ssn = let(feistel(index, F.lit(898).cast("long"), F.lit(99 * 9999).cast("long"), key, "ssn"), social)
     lead = F.when(n > 10, n - 10).when(n == 10, 0).otherwise(2)
     phone = refilled(value, F.concat(F.substr(digits, F.lit(1), lead), digits_permuted(F.substr(digits, lead + 1, n - lead), key, "phone")), "0-9")
     return (
@@ -226,7 +246,9 @@ def pseudonymised(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: s
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
     none = F.lit(None).cast("array<string>")
-    hinted = F.col("text").rlike(HINT)
+    # a text with none of these has no match
+    named = F.col("text").contains("=") | F.col("text").contains(":")
+    hinted = F.col("text").rlike("[0-9@]") | F.col("text").contains("AKIA") | (named & F.col("text").rlike(FORMATS["secret"]))
     rows = rows.withColumn("matches", F.when(hinted, F.regexp_extract_all("text", F.lit(ANY), 0)).otherwise(none))
     rows = rows.withColumn("matches", F.when(F.size("matches") > 0, F.transform("matches", lambda m: F.struct(m.alias("m"), kind_of(m).alias("kind")))))
     rows = rows.withColumn("matches", F.transform("matches", lambda x: F.struct(x["kind"].alias("kind"), F.when(x["kind"].isNull(), x["m"]).otherwise(pseudonym(x["m"], x["kind"], key)).alias("pseudonym"))))
