@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from .arrays import blocks
 from .tables import written
 
-#: Hosts whose winning paths may travel with every task; with more, pages and paths are joined by shuffle.
-HOSTS = 50_000
+#: Hosts, and bytes of their names and winning paths, that may travel with every task; with more, pages and paths are joined by shuffle.
+HOSTS, HOST_BYTES = 50_000, 16 << 20
 #: The share of the best score that a deeper container needs to be preferred.
 NEARLY = 0.8
 
@@ -224,7 +224,8 @@ def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     source = F.coalesce(F.col(html_col), F.lit("")).alias("html")
     paths = written(host_paths(pages.select(host, source)))
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), source, host)
-    small = paths.count() <= hosts  # one short row for each host
+    count, size = paths.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("host") + F.octet_length("path")), F.lit(0))).first()
+    small = count <= hosts and size <= HOST_BYTES
     joined = rows.join(F.broadcast(paths) if small else paths, "host", "left").select("page_id", "url", "html", "path")
     kinds = dict(pages.dtypes)
     return joined.mapInArrow(_texts, f"page_id {kinds[id_col]}, url {kinds[url_col]}, text string, n_chars long")

@@ -1,36 +1,17 @@
-"""Reading inputs, and tables written in the cluster's shared folder to cut lineage."""
+"""Reading inputs; tables written in the cluster's shared folder cut lineage."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftgraph.plans.lineage import shared_dir, written
 
-def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; where it is unset (tests, local mode) a temporary one is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found is None:
-        found = "file://" + tempfile.mkdtemp(prefix="weftgraph-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
+__all__ = ["fold", "load", "shared_dir", "texts", "written"]
 
-def written(df: DataFrame) -> DataFrame:
-    """The rows of df as a Parquet table in the shared folder: computed once, safe when executors are lost.
 
-    The table stays for the life of that folder, as the returned plan reads it lazily.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/weftgraph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def texts(docs: DataFrame, *keep: Column | str, text_col: str = "text", as_bytes: bool = True) -> DataFrame:
