@@ -2,11 +2,11 @@
 
 A passage is a run of WINDOW words; it is the bag of the character n-grams of its words, '<' and '>'
 marking word borders. The n-grams are hashed to rows of an embedding table; their average goes through
-a linear softmax, and both are trained jointly in numpy (Adagrad on shuffled minibatches). A text is
-toxic if any of its passages is: its probability is one less the product of the passages'
-clean probabilities, so a few words in a long text count as much as in a short one. A misspelt
-or inflected word that training never saw shares most of its n-grams, and so its vectors, with those
-it did see.
+a linear softmax, and both are trained jointly in numpy (Adagrad on shuffled minibatches). Labels are those of
+whole texts: in training a text's probability is one less the product of its passages' clean
+probabilities, so the gradient finds the passages that matter. A text scores as its most toxic passage, whatever its
+length. A misspelt or inflected word that training never saw shares most of its n-grams, and so its vectors,
+with those it did see.
 
 The model is fitted on a bounded sample of labelled rows; every text is scored whole. As the
 head is linear, embedding times head is one number per n-gram, which is all that scoring needs.
@@ -27,9 +27,9 @@ from .tables import fold, texts
 
 #: Bounds of the training sample: rows of each label, and bytes of a text that may be in it.
 SAMPLE, SAMPLE_BYTES = 1500, 6000
-WINDOW, GRAMS, BUCKETS, DIM, EPOCHS, RATE, BATCH = 2, (3, 4, 5), 1 << 18, 6, 12, 1.0, 16
+WINDOW, GRAMS, BUCKETS, DIM, EPOCHS, RATE, BATCH = 1, (3, 4, 5), 1 << 18, 6, 12, 0.5, 16
 #: N-grams of fewer training texts get no vector; FIRST damps the steps of those that few texts have.
-LEAST, FIRST = 3, 1e-5
+LEAST, FIRST, START = 3, 1e-5, 2.0
 THRESHOLD = 0.7
 
 
@@ -92,13 +92,15 @@ class ToxicModel:
     bias: float
 
     def scores(self, data: np.ndarray, borders: np.ndarray) -> np.ndarray:
-        """The probability of each row that one of its passages is toxic; a row without words is a passage of nothing."""
+        """The probability of each row's most toxic passage; a row without words is a passage of nothing."""
         ids, whose, rows = grams(data, borders)
         n = np.bincount(whose, minlength=len(rows))
         z = np.bincount(whose, self.weights[ids], len(rows)) / np.maximum(n, 1) + self.bias
-        clean = np.bincount(rows, np.logaddexp(0, z), len(borders) - 1)
-        clean[np.bincount(rows, minlength=len(borders) - 1) == 0] = np.logaddexp(0, self.bias)
-        return -np.expm1(-clean)
+        worst = np.full(len(borders) - 1, self.bias)  # rows without a word have no passage
+        if len(rows):
+            first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
+            worst[rows[first]] = np.maximum.reduceat(z, first)
+        return 1 / (1 + np.exp(-worst))
 
 
 def train(data: np.ndarray, borders: np.ndarray, labels: np.ndarray, seed: int = 7) -> ToxicModel:
@@ -111,12 +113,17 @@ def train(data: np.ndarray, borders: np.ndarray, labels: np.ndarray, seed: int =
     ids, sizes = ids[np.argsort(whose, kind="stable")], np.bincount(whose, minlength=len(rows))
     ends = np.r_[0, np.cumsum(sizes)]
     of = np.searchsorted(rows, np.arange(len(labels) + 1))  # first passage of each row
-    spread = np.zeros(BUCKETS, np.int32)
+    spread = np.zeros((2, BUCKETS), np.int32)
     for i in range(len(labels)):
-        spread[np.unique(ids[ends[of[i]] : ends[of[i + 1]]])] += 1
-    known = (spread >= LEAST).astype(np.float32)
-    table = rng.normal(0, 0.01, (BUCKETS, DIM)).astype(np.float32) * known[:, None]
+        spread[labels[i], np.unique(ids[ends[of[i]] : ends[of[i + 1]]])] += 1
+    known = (spread.sum(axis=0) >= LEAST).astype(np.float32)
+    # the first dimension starts from the log odds of the texts that have the n-gram, which training then moves
+    share = (spread + 0.5) / (np.bincount(labels, minlength=2)[:, None] + 1)
+    table = rng.normal(0, 0.01, (BUCKETS, DIM)).astype(np.float32)
+    table[:, 0] = START * np.log(share[1] / share[0])
+    table *= known[:, None]
     head, bias = rng.normal(0, 1, (DIM, 2)).astype(np.float32), np.array([2.0, -2.0], np.float32)
+    head[0] = -0.5, 0.5
     seen_t, seen_h, seen_b = np.full(BUCKETS, FIRST, np.float32), np.full((DIM, 2), 1e-3, np.float32), np.full(2, 1e-3, np.float32)
     for epoch in range(EPOCHS):
         rate = RATE * (1 - epoch / EPOCHS) + 0.01
