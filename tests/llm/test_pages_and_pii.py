@@ -115,6 +115,31 @@ def test_pseudonyms(spark):
     assert other[11].text != got[11].text
 
 
+HEX = hashlib.sha512(b"x").hexdigest()
+#: Assignments, with the values of which nothing may stay.
+SECRETS = [
+    ("token=%s", HEX), ("password: %s", "wJalrXUtnFEMI/K7MDENG/bPxRfiCY"), ("token=%s", "ghp_Ab3dEf6hIj9lMn2pQr5tUv8x"), ("aws_secret_access_key = %s", "wJalrXUtnFEMI/K7MDENG+bPxRfiCY=="),
+    ('{"password": "%s", "n": 1}', "Ab3.dEf6-hIj9_lMn2"), ("{'apiKey':'%s'}", "Ab3,dEf6;hIj9&lMn2"), ('"{\\"db_PassWord\\": \\"%s\\"}"', "Ab3dEf6hIj9lMn2"), ("MY_API_KEY=%s\nnext line", "Ab3dEf6hIj9lMn2"), ("x?access_token=%s&page=2", "Ab3dEf6.hIj9.lMn2"),
+    ("Token: %s. Next", "Ab3dEf6hIj9lMn2"), ('secret="%s"', "Ab3😀dEf6éhIj9lMn2"), ("secret=%s", HEX * 500),
+]
+
+
+def test_whole_secrets(spark):
+    df = spark.createDataFrame([(i, form % value) for i, (form, value) in enumerate(SECRETS)], "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.pseudonymised(df, "k").collect()}
+    for i, (form, value) in enumerate(SECRETS):
+        assert got[i].n_found == 1 and got[i].found[0].kind == "secret"
+        before, after = form.split("%s")
+        new = got[i].text[len(before) : len(got[i].text) - len(after)]
+        assert got[i].text == before + new + after and len(new) == len(value)
+        shape = lambda s: re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub("[0-9]", "0", s)))
+        assert shape(new) == shape(value) or value.startswith(HEX)
+        for part in re.findall("[0-9A-Za-z]{3,}", value):
+            assert part[:64] not in new
+    values = [re.search("[A-Z][a-z][0-9].*?[0-9](?=[^0-9A-Za-z]|$)", got[i].text)[0] for i in (6, 7, 9)]
+    assert len(set(values)) == 1 and got[2].text.startswith("token=")
+
+
 def test_pii_rest_stays(spark, sf, odd, none):
     """What is between the matches is as it was, and no planted value is left."""
     docs = spark.read.parquet(f"{sf}/documents.parquet")

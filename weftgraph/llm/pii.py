@@ -17,11 +17,16 @@ ROUNDS = 8
 #: Dates that are permuted: DAYS days from the first of 1900, as a product of two moduli.
 FIRST_DAY, DAYS = "1900-01-01", (250, 292)
 
+#: An assignment to a name with one of these words in it, up to the value and its quote. A value ends at its quote or a blank, without a quote at a delimiter too.
+SECRET_NAME = r"(?>(?i:password|passwd|secret|token|api[_-]?key)(?:(?i:key|s)?(?:[A-Z0-9_.-][A-Za-z0-9_.-]{0,64}+)?)(?:\\{0,3}[\"'])?[ \t]{0,16}[=:]{1,2}>?[ \t]{0,16})"
+BLANKS = r" \t\r\n\x0b\f\u00a0\u2028\u2029\u3000"
+SECRET_VALUE = rf"""(?:\\{{0,3}}"[^"{BLANKS}]{{12,}}+|\\{{0,3}}'[^'{BLANKS}]{{12,}}+|[^"'`,;&|<>(){{}}\[\]\\\u00ab\u00bb\u2018-\u201f{BLANKS}]{{12,}}+)"""
+
 #: The formats, in order of preference where two could start at one place.
 FORMATS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}",
     "access_key": r"\bAKIA[0-9A-Z]{16}\b",
-    "secret": r"\b(?:password|passwd|secret|token|api_key|apikey|PASSWORD|SECRET|TOKEN|API_KEY|Password|Secret|Token)[ ]{0,3}[=:][ ]{0,3}[\"']?[0-9A-Za-z]{12,64}",
+    "secret": SECRET_NAME + SECRET_VALUE,
     "iban": r"\b[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?\b",
     "ip": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9])",
     "date_ymd": r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])",
@@ -110,7 +115,7 @@ def letters_permuted(text: Column, key: str, tweak: str, hexed: bool = False) ->
 
                     return F.when(hexadecimal, within(HEX)).when(c.rlike("^[0-9]$"), within(DIGITS)).when(c.rlike("^[a-z]$"), within(LOWER)).when(c.rlike("^[A-Z]$"), within(UPPER)).otherwise(c)
 
-                return F.array_join(F.transform(F.split(half, "(?!^)(?!$)"), one), "")
+                return F.array_join(F.transform(F.split(half, ""), one), "")
 
             return let(noise, shifted)
 
@@ -202,8 +207,9 @@ def pseudonym(value: Column, kind: Column, key: str) -> Column:
     mail = F.split(value, "@")
     email = F.concat(letters_permuted(mail[0], key, "email"), F.lit("@"), mail[1])
     access = F.concat(F.lit("AKIA"), letters_permuted(F.substr(value, F.lit(5)), key, "access"))
-    before = F.regexp_extract(value, "^([^=:]*[=:][ ]*[\"']?)", 1)
-    secret = F.concat(before, letters_permuted(F.substr(value, F.length(before) + 1), key, "secret", hexed=True))
+    before = F.regexp_extract(value, rf"""^({SECRET_NAME}(?:\\{{0,3}}["'])?)""", 1)
+    after = F.regexp_extract(value, "([^0-9A-Za-z]*+)$", 1)  # such as the end of a sentence
+    secret = F.concat(before, letters_permuted(F.substr(value, F.length(before) + 1, F.length(value) - F.length(before) - F.length(after)), key, "secret", hexed=True), after)
     # the first digit stays, the check digit follows
     body = F.concat(F.substring(digits, 1, 1), digits_permuted(F.substr(digits, F.lit(2), n - 2), key, "card"))
     card = let(body, lambda b: refilled(value, F.concat(b, ((10 - luhn(F.concat(b, F.lit("0")))) % 10).cast("string")), "0-9"))
