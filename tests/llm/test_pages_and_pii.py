@@ -140,6 +140,27 @@ def test_whole_secrets(spark):
     assert len(set(values)) == 1 and got[2].text.startswith("token=")
 
 
+#: Valid numbers beside others, with the kinds that are found.
+NUMBERS = [
+    ("ES91 2100 0418 4502 0005 1332 EUR", "iban"), ("AT61 1904 3002 3457 3201 AND BE68 5390 0754 7034 12", "iban iban"), ("ES91 2100 0418 4502 0005 1332 4111 1111 1111 1111", "iban card"), ("PL61109010140000071219812874", "iban"),
+    ("DE00 3704 0044 0532 0130 00 4111 1111 1111 1111", "card"), ("3782 822463 10005", "card"), ("3056-930902-5904 and 4222 2222 2222 2", "card card"), ("4111 1111 1111 1111 12/28 123", "card"), ("6304 0000 0000 0000 000", None),
+    ("2024 4111 1111 1111 1111", "card"), ("4111 1111 1111 1111 555 123 4567", "card phone"), ("4111-1111-1111-1111 5555 5555 5555 4444", "card card"), ("call 555 123 4567 now", "phone"), ("4111 1111 1111 1112", ""), ("4111 1111 1111 1111 2024-03-05", "card date_ymd"),
+]
+
+
+def test_numbers_beside_others(spark):
+    df = spark.createDataFrame([(i, text) for i, (text, _) in enumerate(NUMBERS)], "doc_id long, text string")
+    for r in pii.pseudonymised(df, "k").collect():
+        text, kinds = NUMBERS[r.doc_id]
+        kinds = kinds if kinds is not None else "card" * luhn(re.sub(r"\D", "", text))
+        assert " ".join(x.kind for x in r.found) == kinds, text
+        assert re.sub("[0-9]", "0", r.text) == re.sub("[0-9]", "0", text)
+        for x in r.found:
+            digits = re.sub("[^0-9A-Z]", "", x.pseudonym)
+            assert x.pseudonym in r.text and x.pseudonym not in text
+            assert luhn(digits) if x.kind == "card" else x.kind != "iban" or int("".join(str(int(c, 36)) for c in digits[4:] + digits[:4])) % 97 == 1
+
+
 def test_pii_rest_stays(spark, sf, odd, none):
     """What is between the matches is as it was, and no planted value is left."""
     docs = spark.read.parquet(f"{sf}/documents.parquet")

@@ -22,19 +22,35 @@ SECRET_NAME = r"(?>(?i:password|passwd|secret|token|api[_-]?key)(?:(?i:key|s)?(?
 BLANKS = r" \t\r\n\x0b\f\u00a0\u2028\u2029\u3000"
 SECRET_VALUE = rf"""(?:\\{{0,3}}"[^"{BLANKS}]{{12,}}+|\\{{0,3}}'[^'{BLANKS}]{{12,}}+|[^"'`,;&|<>(){{}}\[\]\\\u00ab\u00bb\u2018-\u201f{BLANKS}]{{12,}}+)"""
 
+#: The characters of an IBAN by country.
+IBANS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban() -> str:
+    """As long as its country has it, with single blanks anywhere; of other countries, groups of four and a rest."""
+    listed = "|".join(f"(?:{'|'.join(names.split())})[0-9]{{2}}(?:[ ]?[A-Z0-9]){{{n - 4}}}" for n, names in IBANS.items())
+    names = "|".join(" ".join(IBANS.values()).split())
+    return rf"\b(?:{listed}|(?!{names})[A-Z]{{2}}[0-9]{{2}}(?:[ ]?[A-Z0-9]{{4}}){{2,7}}(?:[ ]?[A-Z0-9]{{1,3}})?)\b"
+
+
+#: How often the text beside failed numbers is looked through again.
+AGAIN = 3
 #: The formats, in order of preference where two could start at one place.
 FORMATS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}",
     "access_key": r"\bAKIA[0-9A-Z]{16}\b",
     "secret": SECRET_NAME + SECRET_VALUE,
-    "iban": r"\b[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?\b",
+    "iban": _iban(),
     "ip": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9])",
     "date_ymd": r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])",
     "date_dmy": r"(?<![0-9./])[0-9]{2}\.[0-9]{2}\.[0-9]{4}(?![0-9])",
     "date_mdy": r"(?<![0-9./])[0-9]{2}/[0-9]{2}/[0-9]{4}(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "phone": r"(?:(?<![0-9+])\+?[0-9]{0,3}[ .-]?\([0-9]{3}\)[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])|(?<![0-9+.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9])|(?<![0-9])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9]))",
-    "card": r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4} [0-9]{4} [0-9]{4} [0-9]{4}|[0-9]{4}-[0-9]{4}-[0-9]{4}-[0-9]{4})(?![0-9])",
+    "phone": r"(?:(?<![0-9+])\+?[0-9]{0,3}[ .-]?\([0-9]{3}\)[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])|(?<![0-9+.-])[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9]))",
+    "card": r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ -]?[0-9]){9,15})(?![0-9])",
 }
 ANY = "|".join(f"(?:{p})" for p in FORMATS.values())
 LOWER, UPPER, DIGITS, HEX = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "0123456789abcdef"
@@ -180,6 +196,13 @@ def _day(value: Column, kind: Column) -> Column:
     return F.datediff(F.try_to_date(_iso(value, kind), "yyyy-MM-dd"), F.lit(FIRST_DAY).cast("date"))
 
 
+def valid_part(value: Column) -> Column:
+    """The longest start of a match, up to a blank or dash, that is a valid card; else the match."""
+    end = lambda n: F.regexp_extract(value, rf"^((?:[0-9][ -]?){{{n - 1}}}[0-9])(?![0-9])", 1)
+    starts = F.filter(F.array(*(end(n) for n in range(19, 12, -1))), lambda x: (x != "") & (luhn(F.regexp_replace(x, "[^0-9]", "")) == 0))
+    return F.when(value.rlike(f"^(?:{FORMATS['card']})$"), F.coalesce(F.get(starts, F.lit(0)), value)).otherwise(value)
+
+
 def kind_of(value: Column) -> Column:
     """The name of the format that a match has, null if it doesn't validate."""
     digits = F.regexp_replace(value, "[^0-9]", "")
@@ -241,6 +264,32 @@ def pseudonym(value: Column, kind: Column, key: str) -> Column:
     )
 
 
+def _pieces(text: Column) -> Column:
+    """The text in pieces (t, kind, again): finds and, with kind null, what is between them.
+
+    Of a number that fails, all but its first group goes to the piece after it, which is to be looked through again, as
+    what a valid number begins in may lie there; so does the rest of a match after a valid card.
+    """
+
+    def parted(m: Column) -> Column:
+        def held(part: Column) -> Column:
+            return let(F.struct(part.alias("t"), kind_of(part).alias("kind")), lambda x: F.struct(_first(x).alias("t"), x["kind"].alias("kind"), F.substr(m, F.length(_first(x)) + 1).alias("rest")))
+
+        return let(valid_part(m), held)
+
+    def _first(x: Column) -> Column:
+        return F.when(x["kind"].isNull() & x["t"].rlike("^[A-Z0-9+(]"), F.regexp_extract(x["t"], "^(.[A-Za-z0-9]*+)", 1)).otherwise(x["t"])
+
+    def joined(found: Column) -> Column:
+        nothing = F.struct(F.lit("").alias("t"), F.lit(None).cast("string").alias("kind"), F.lit("").alias("rest"))
+        before = F.concat(F.array(nothing), found)
+        gaps = F.zip_with(F.split(text, ANY, -1), before, lambda g, x: F.struct(F.concat(x["rest"], g).alias("t"), F.lit(None).cast("string").alias("kind"), (x["rest"] != "").alias("again")))
+        finds = F.transform(found, lambda x: F.struct(x["t"].alias("t"), x["kind"].alias("kind"), F.lit(False).alias("again")))
+        return F.flatten(F.zip_with(gaps, finds, lambda g, x: F.when(x.isNull(), F.array(g)).otherwise(F.array(g, x))))
+
+    return let(F.transform(F.regexp_extract_all(text, F.lit(ANY), 0), parted), joined)
+
+
 def pseudonymised(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_found, found (array of kind, pseudonym in text order), text: one row per input row.
 
@@ -251,14 +300,14 @@ def pseudonymised(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: s
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
-    none = F.lit(None).cast("array<string>")
     # a text with none of these has no match
     named = F.col("text").contains("=") | F.col("text").contains(":")
     hinted = F.col("text").rlike("[0-9@]") | F.col("text").contains("AKIA") | (named & F.col("text").rlike(FORMATS["secret"]))
-    rows = rows.withColumn("matches", F.when(hinted, F.regexp_extract_all("text", F.lit(ANY), 0)).otherwise(none))
-    rows = rows.withColumn("matches", F.when(F.size("matches") > 0, F.transform("matches", lambda m: F.struct(m.alias("m"), kind_of(m).alias("kind")))))
-    rows = rows.withColumn("matches", F.transform("matches", lambda x: F.struct(x["kind"].alias("kind"), F.when(x["kind"].isNull(), x["m"]).otherwise(pseudonym(x["m"], x["kind"], key)).alias("pseudonym"))))
-    gaps = F.split("text", ANY, -1)
-    new = F.array_join(F.zip_with(gaps, F.col("matches"), lambda g, x: F.concat(g, F.coalesce(x["pseudonym"], F.lit("")))), "")
-    found = F.coalesce(F.filter("matches", lambda x: x["kind"].isNotNull()), F.expr("CAST(array() AS array<struct<kind: string, pseudonym: string>>)"))
-    return rows.select("doc_id", F.size(found).cast("long").alias("n_found"), found.alias("found"), F.when(F.col("matches").isNull(), F.col("text")).otherwise(new).alias("text"))
+    rows = rows.withColumn("pieces", F.when(hinted, _pieces(F.col("text"))))
+    for _ in range(AGAIN):
+        again = F.flatten(F.transform("pieces", lambda p: F.when(p["again"], let(p["t"], _pieces)).otherwise(F.array(p))))
+        rows = rows.withColumn("pieces", F.when(F.exists("pieces", lambda p: p["again"]), again).otherwise(F.col("pieces")))
+    rows = rows.withColumn("pieces", F.transform("pieces", lambda x: F.struct(x["kind"].alias("kind"), F.when(x["kind"].isNull(), x["t"]).otherwise(pseudonym(x["t"], x["kind"], key)).alias("pseudonym"))))
+    new = F.array_join(F.transform("pieces", lambda x: x["pseudonym"]), "")
+    found = F.coalesce(F.filter("pieces", lambda x: x["kind"].isNotNull()), F.expr("CAST(array() AS array<struct<kind: string, pseudonym: string>>)"))
+    return rows.select("doc_id", F.size(found).cast("long").alias("n_found"), found.alias("found"), F.when(F.col("pieces").isNull(), F.col("text")).otherwise(new).alias("text"))
