@@ -161,6 +161,13 @@ def test_numbers_beside_others(spark):
             assert luhn(digits) if x.kind == "card" else x.kind != "iban" or int("".join(str(int(c, 36)) for c in digits[4:] + digits[:4])) % 97 == 1
 
 
+def test_one_day_in_all_layouts(spark):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(["2024-03-25", "25.03.2024", "03/25/2024", "25/03/2024"])], "doc_id long, text string")
+    ymd, dmy, mdy, slashes = (r.text for r in pii.pseudonymised(df, "k").orderBy("doc_id").collect())
+    y, m, d = ymd.split("-")
+    assert dmy == f"{d}.{m}.{y}" and mdy == f"{m}/{d}/{y}" and slashes == f"{d}/{m}/{y}" and ymd != "2024-03-25"
+
+
 def test_pii_rest_stays(spark, sf, odd, none):
     """What is between the matches is as it was, and no planted value is left."""
     docs = spark.read.parquet(f"{sf}/documents.parquet")

@@ -244,7 +244,7 @@ def pseudonym(value: Column, kind: Column, key: str) -> Column:
     number = F.aggregate(octets, F.lit(0).cast("long"), lambda a, x: a * 256 + x.cast("long"))
     moved = feistel(number, F.lit(1 << 16).cast("long"), F.lit(1 << 16).cast("long"), key, "ip")
     ip = let(moved, lambda x: F.array_join(F.transform(F.sequence(F.lit(3), F.lit(0), F.lit(-1)), lambda i: (F.floor(x / F.pow(F.lit(256), i)) % 256).cast("int").cast("string")), "."))
-    day = feistel(_day(value, kind).cast("long"), F.lit(DAYS[0]).cast("long"), F.lit(DAYS[1]).cast("long"), key, kind)
+    day = feistel(_day(value, kind).cast("long"), F.lit(DAYS[0]).cast("long"), F.lit(DAYS[1]).cast("long"), key, "date")
     new = F.date_add(F.lit(FIRST_DAY).cast("date"), day.cast("int"))
     swapped = F.substring(value, 1, 2) > "12"
     date = F.when(kind == "date_ymd", F.date_format(new, "yyyy-MM-dd")).when(kind == "date_dmy", F.date_format(new, "dd.MM.yyyy")).when(swapped, F.date_format(new, "dd/MM/yyyy")).otherwise(F.date_format(new, "MM/dd/yyyy"))
@@ -294,9 +294,8 @@ def pseudonymised(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: s
     """doc_id, n_found, found (array of kind, pseudonym in text order), text: one row per input row.
 
     Matches that don't validate stay as they are and aren't counted. Null counts as empty. The
-    same key gives the same pseudonyms in every run; without it they can't be undone. A date with slashes
-    is read month first where it can be, so day-first dates share the pseudonyms of another layout
-    only by coincidence. Repeated rows return repeated rows. Other columns are not read.
+    same key gives the same pseudonyms in every run; without it they can't be undone. A day has one pseudonym in all
+    layouts; a date with slashes is read month first where it can be, so a day-first one may be taken for another day. Repeated rows return repeated rows. Other columns are not read.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
