@@ -27,6 +27,29 @@ def test_fragments(source, text):
     assert html_text.Page.of(source).text("") == text
 
 
+BODY = "".join(f"<p>sentence {i} of the text</p>" for i in range(40))
+LINES = "\n".join(f"sentence {i} of the text" for i in range(40))
+
+
+@pytest.mark.parametrize(
+    "source,text",
+    [
+        (f"<body><article><h1>H</h1><p>lead</p><div class=body>{BODY}</div><section><p>last</p></section></article><p>x</p></body>", f"H\nlead\n{LINES}\nlast"),
+        (f"<body><main><h1>H</h1><div class=text>{BODY}</div><div class=more><p>last</p></div></main><div class=x><p>y</p></div></body>", f"H\n{LINES}\nlast"),
+        (f"<body><div class=item><h1>H</h1><p>lead</p><div class=text>{BODY}</div><section><p>last</p></section></div><div class=x><p>y</p></div></body>", f"H\nlead\n{LINES}\nlast"),
+        (f"<body><div class=post><div class=kicker>K</div><div class=post-body>{BODY}</div></div><div class=x><p>y</p></div></body>", f"K\n{LINES}"),
+        (f"<body><div class=a><p>lead</p><ul>{BODY.replace('p>', 'li>')}</ul><p>last</p></div><div class=x><p>y</p></div></body>", f"lead\n{LINES}\nlast"),
+        (f"<body><div class=a><h1>H</h1><blockquote>{BODY}</blockquote><table><tr><td>cell</table></div></body>", f"H\n{LINES}\ncell"),
+        (f"<body><p>Site of things</p><div class=a>{BODY}</div><div class=x><p>y</p></div><p>Copyright</p></body>", LINES),
+        (f"<body><h1>H</h1><p>{'long lead ' * 9}</p><div class=a>{BODY}</div></body>", f"H\n{('long lead ' * 9).strip()}\n{LINES}"),
+        (f"<ul>{BODY.replace('p>', 'li>')}</ul>", LINES),
+    ],
+)
+def test_whole_article(source, text):
+    page = html_text.Page.of(source)
+    assert page.text(page.best()[0]) == text
+
+
 @pytest.mark.parametrize("hosts", [html_text.HOSTS, 0])
 def test_host_consensus(spark, hosts):
     """A short page's own best container is a list of links' neighbour; its host's path wins over it."""

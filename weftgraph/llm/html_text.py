@@ -24,12 +24,16 @@ from .tables import written
 HOSTS, HOST_BYTES = 50_000, 16 << 20
 #: The share of the best score that a deeper container needs to be preferred.
 NEARLY = 0.8
+#: Characters that a block directly in the body, a cell or a form has if it is prose of the article rather than a line of the site.
+LONG = 80
 
 _names = lambda s: frozenset(s.split())
 #: Element names of HTML by kind.
 VOID = _names("area base br col embed hr img input link meta param source track wbr")
 RAW = _names("script style textarea title noscript iframe xmp noembed noframes template svg math object canvas audio video select")
 CONTAINERS = _names("html body div article section main td center blockquote form fieldset details nav aside header footer dialog menu table tbody tr ul ol dl")
+#: Containers that are parts of an article rather than hold one; these don't get votes but for section.
+PARTS = _names("section blockquote table tbody tr ul ol dl")
 BLOCKS = CONTAINERS | _names("p h1 h2 h3 h4 h5 h6 li dt dd pre address figure figcaption hr th thead tfoot caption summary legend option optgroup hgroup search")
 BOILERPLATE = _names("nav aside footer form button dialog menu label input fieldset head search")
 CLOSES_P = BLOCKS
@@ -45,6 +49,8 @@ MARKS = _names(
 COMMENTS = _names("comment comments commentlist reply replies respond disqus")
 #: An element named after both, as content-sidebar-wrap, holds the article too.
 PROSE, WRAPPERS = _names("article content main post entry story body text page"), _names("wrap wrapper container layout grid has with no row")
+#: Classes of what holds an article, and of its parts.
+HOLDERS, LEADS = _names("article post entry story"), _names("title headline lead lede intro standfirst summary abstract")
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""", re.S)
 ATTRIBUTE = re.compile(r"""([a-zA-Z_:][\w:.-]*+)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++))?+""")
@@ -52,6 +58,15 @@ WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 BLANK = re.compile(r"\s+")
 
 
+def _tag(path: str) -> str:
+    return path.rpartition(">")[2].partition(".")[0]
+
+
+def _words(path: str) -> set[str]:
+    """The words of the classes of a path's last element."""
+    return {w.lower() for w in WORD.findall(path.rpartition(">")[2].partition(".")[2])}
+
+
 @dataclass(slots=True)
 class Element:
     tag: str
@@ -170,7 +185,7 @@ class Page:
         return page
 
     def best(self) -> tuple[str, int]:
-        """The path of the container with the most prose outside links, the deepest of those that are nearly as good, and its prose."""
+        """The path of the container with the most prose outside links, the deepest of those that are nearly as good, or what holds it and the rest of its article; and its prose."""
         prose: dict[str, int] = {}
         for path, text, linked in self.blocks:
             n = len(text) - linked
@@ -179,10 +194,32 @@ class Page:
                 path = path.rpartition(">")[0]
         if not prose:
             return "", 0
-        top = max(prose.values())
-        path = max((p for p, n in prose.items() if n >= NEARLY * top), key=lambda p: (p.count(">"), prose[p], p))
+        voting = {p: n for p, n in prose.items() if _tag(p) not in PARTS or _tag(p) == "section"} or prose
+        top = max(voting.values())
+        path = max((p for p, n in voting.items() if n >= NEARLY * top), key=lambda p: (p.count(">"), prose[p], p))
+        path = self._whole(path, prose)
         return path, prose[path]
 
+    def _whole(self, path: str, prose: dict[str, int]) -> str:
+        """The nearest article, else main, that the path is in; else the outermost container of which what it holds besides is mostly the article's."""
+        above = [path]
+        while ">" in above[-1][1:]:
+            above.append(above[-1].rpartition(">")[0])
+        for tag in ("article", "main"):
+            for p in above:
+                if _tag(p) == tag:
+                    return p
+        for p in above[1:]:
+            extra = prose[p] - prose[path]
+            if not extra:
+                continue
+            site = _tag(p) in ("html", "body", "td", "center", "form")
+            own = sum(n for q, t, linked in self.blocks if q == p and (n := len(t) - linked) >= (LONG if site else 1))
+            own += sum(n for q, n in prose.items() if q.rpartition(">")[0] == p and path != q and not path.startswith(q + ">") and (_tag(q) in PARTS or _words(q) & (PROSE | LEADS)))
+            if 2 * own >= extra or (_words(p) & HOLDERS and not _words(p) & WRAPPERS):
+                path = p
+        return path
+
     def text(self, path: str) -> str:
         """The blocks within containers on the path, one line each; within the page's own best where there is none."""
         found = [t for p, t, _ in self.blocks if p == path or p.startswith(path + ">")] if path else []
