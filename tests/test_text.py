@@ -86,6 +86,33 @@ def test_ranks_against_matrix(spark, loaded):
     assert abs(idf["graphs"] - (math.log(5 / 3) + 1)) < 1e-12 and abs(idf["short."] - (math.log(5) + 1)) < 1e-12
 
 
+def test_ranks_converge(spark, loaded, tmp_path):
+    """By default a document's rounds go on to the reference's tolerance, and the queries over documents take all highlights."""
+    corpus = spark.createDataFrame([("graphs and nodes",), ("edges edges",), ("nothing here",), ("walks over graphs",), ("x",)], "text string")
+    found = text.sentences(loaded)
+    weights = text.term_weights(loaded, text.document_frequencies(corpus), corpus.count())
+    ranks = {(r.doc_id, r.sentence): r.score for r in text.sentence_ranks(found, text.sentence_cosines(found, weights)).collect()}
+    assert len(ranks) == found.count()
+    for doc in (1, 2):
+        sent = [r.text for r in found.filter(f"doc_id = {doc}").orderBy("sentence").collect()]
+        weight = {r.word: r.weight for r in weights.filter(f"doc_id = {doc}").collect()}
+        before, steps = np.ones(len(sent)) / len(sent), 1
+        while np.abs((s := brute(sent, weight, steps)[1]) - before).sum() >= 1e-6:
+            before, steps = s, steps + 1
+        assert all(abs(ranks[doc, i] - s[i]) < 1e-12 for i in range(len(s)))
+    pairs = spark.createDataFrame([(1, 0, k, 1.0) for k in range(1, 5)], "doc_id long, i int, j int, cosine double")  # a star swings, and converges slowly
+    star = spark.createDataFrame([(1, k) for k in range(5)], "doc_id long, sentence int")
+    score = {r.sentence: r.score for r in text.sentence_ranks(star, pairs, tolerance=1e-2).collect()}
+    assert abs(score[0] - (0.03 + 0.85 * 4 * 0.03) / (1 - 0.85**2)) < 1e-2
+    long = spark.createDataFrame([(2, " ".join(f"Sentence number {i} has {'many more words ' * 7}of its own." for i in range(30)))], "doc_id long, text string")
+    long.write.parquet(str(tmp_path / "documents.parquet"))
+    from weftgraph.plans import text_queries
+
+    marks = text_queries.WHOLE["document_index_entries"](spark, str(tmp_path)).filter("doc_id = 2").count()
+    chunks = text.chunks(text.observations(long)).count()
+    assert 3 < marks == text_queries.WHOLE["document_load_stats"](spark, str(tmp_path)).filter("doc_id = 2").first().highlights <= chunks
+
+
 def test_load_counts(spark, loaded):
     for corpus in ([], ["graphs and nodes", "edges"]):
         strings = spark.createDataFrame([(c,) for c in corpus], "text string")

@@ -12,6 +12,8 @@ from weftgraph.functions.strings import normalised
 from weftgraph.schema import MAX_LENGTH, MAX_OBSERVATIONS
 
 TOP = 15
+#: Ranks are final when a round changes a document's scores by less than this in sum, or after so many rounds.
+TOLERANCE, ROUNDS = 1e-6, 30000
 
 
 def wrap(text: str, width: int = MAX_LENGTH) -> list[tuple[str, int]]:
@@ -104,10 +106,11 @@ def sentence_cosines(found: DataFrame, weights: DataFrame) -> DataFrame:
     return dots.select("doc_id", "i", "j", F.when(size > 0, F.col("dot") / size).otherwise(0.0).alias("cosine"))
 
 
-def sentence_ranks(found: DataFrame, cosines: DataFrame, steps: int = 40, damping: float = 0.85) -> DataFrame:
-    """doc_id, sentence, score: each document's ranks by `steps` rounds of s = (1 - d) / n + d * sum(M / R * s).
+def sentence_ranks(found: DataFrame, cosines: DataFrame, steps: int | None = None, damping: float = 0.85, tolerance: float = TOLERANCE) -> DataFrame:
+    """doc_id, sentence, score: each document's ranks by rounds of s = (1 - d) / n + d * sum(M / R * s).
 
-    Rows of the similarity matrix that are zero give nothing. The rounds are joins over all documents together.
+    Rounds go on until a document's own scores change by less than `tolerance`, or for `steps` rounds if given. Rows of the similarity
+    matrix that are zero give nothing. The rounds are joins over all documents together that aren't final yet.
     """
     from weftgraph.plans.lineage import written
 
@@ -116,12 +119,33 @@ def sentence_ranks(found: DataFrame, cosines: DataFrame, steps: int = 40, dampin
     steps_of = written(both.join(sums, ["doc_id", "a"]).select("doc_id", "a", "b", (F.col("cosine") / F.col("r")).alias("p")))
     counts = found.groupBy("doc_id").agg(F.count("*").alias("n"))
     ranks = base = written(found.select("doc_id", "sentence").join(counts, "doc_id").withColumn("score", 1 / F.col("n")))
-    for k in range(steps):
-        moved = steps_of.join(ranks.select("doc_id", F.col("sentence").alias("a"), "score"), ["doc_id", "a"]).groupBy("doc_id", F.col("b").alias("sentence")).agg(F.sum(F.col("p") * F.col("score")).alias("m"))
-        ranks = base.select("doc_id", "sentence", "n").join(moved, ["doc_id", "sentence"], "left").select("doc_id", "sentence", "n", ((1 - damping) / F.col("n") + damping * F.coalesce("m", F.lit(0.0))).alias("score"))
-        if (k + 1) % 5 == 0 and k + 1 < steps:
-            ranks = written(ranks)
-    return ranks.select("doc_id", "sentence", "score")
+
+    def moved(ranks: DataFrame) -> DataFrame:
+        given = steps_of.join(ranks.select("doc_id", F.col("sentence").alias("a"), "score"), ["doc_id", "a"])
+        return given.groupBy("doc_id", F.col("b").alias("sentence")).agg(F.sum(F.col("p") * F.col("score")).alias("m"))
+
+    new = (1 - damping) / F.col("n") + damping * F.coalesce("m", F.lit(0.0))
+    if steps is not None:
+        for k in range(steps):
+            ranks = base.select("doc_id", "sentence", "n").join(moved(ranks), ["doc_id", "sentence"], "left").select("doc_id", "sentence", "n", new.alias("score"))
+            if (k + 1) % 5 == 0 and k + 1 < steps:
+                ranks = written(ranks)
+        return ranks.select("doc_id", "sentence", "score")
+    final = []
+    for _ in range(ROUNDS):
+        ranks = written(ranks.join(moved(ranks), ["doc_id", "sentence"], "left").select("doc_id", "sentence", "n", new.alias("score"), F.abs(new - F.col("score")).alias("change")))
+        changes = ranks.groupBy("doc_id").agg(F.sum("change").alias("change"))
+        ended = written(changes.filter(F.col("change") < tolerance).select("doc_id"))
+        ranks = ranks.select("doc_id", "sentence", "n", "score")
+        if not ended.isEmpty():
+            final.append(ranks.join(ended, "doc_id", "left_semi").select("doc_id", "sentence", "score"))
+            ranks = written(ranks.join(ended, "doc_id", "left_anti"))
+        if ranks.isEmpty():
+            break
+    out = ranks.select("doc_id", "sentence", "score")
+    for part in final:
+        out = out.unionByName(part)
+    return out
 
 
 def word_pairs(docs: DataFrame, window: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -199,7 +223,7 @@ def document_graph(parts: DataFrame, marks: DataFrame, docs: DataFrame) -> tuple
     return entities, relations
 
 
-def load_documents(docs: DataFrame, corpus: DataFrame, top: int = TOP, steps: int = 40) -> tuple[DataFrame, DataFrame, DataFrame]:
+def load_documents(docs: DataFrame, corpus: DataFrame, top: int = TOP, steps: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """docs (doc_id, title, text) and the strings (text) of the graph before the load -> entities, relations, and stats by document.
 
     One run loads any number of documents; frequencies come from the same corpus for all of them.
