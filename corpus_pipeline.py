@@ -8,11 +8,12 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from weftgraph.llm.decontaminate import drop_contaminated
 from weftgraph.llm.exact_dedup import exact_dedup
 from weftgraph.llm.sentencepieces import encode_decode
-from weftgraph.llm.simhash import simhash_groups
+from weftgraph.llm.simhash import simhash_groups, text_prints
 from weftgraph.llm.tables import load, written
 from weftgraph.llm.toxicity import drop_toxic, fit_toxicity
 
@@ -22,18 +23,28 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_toxic(docs, fit_toxicity(docs, load(spark, sf_dir, "labels")))
 
 
+def _repeated(docs: DataFrame) -> bool:
+    return not docs.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL").isEmpty()
+
+
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, of the largest doc_id, of each set of equal texts; of rows that repeat id and text one stays."""
-    gone = exact_dedup(docs).filter("NOT kept").select("doc_id")
-    if not docs.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL").isEmpty():
-        docs = docs.dropDuplicates(["doc_id", "text"])
-    return docs.join(gone.distinct(), "doc_id", "left_anti").select(docs.columns)
+    gone = exact_dedup(docs).filter("NOT kept AND doc_id IS NOT NULL").select("doc_id", F.col("text_sha256").alias("_text")).distinct()
+    rows = docs.withColumn("_text", F.sha2(F.coalesce("text", F.lit("")), 256))
+    if _repeated(docs):
+        rows = rows.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id", "_text"]).unionByName(rows.filter("doc_id IS NULL"))
+    return rows.join(gone, ["doc_id", "_text"], "left_anti").select(docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document that each group of linked fingerprints is named after."""
-    gone = simhash_groups(docs).filter("doc_id <> component_id").select("doc_id")
-    return docs.join(gone.distinct(), "doc_id", "left_anti").select(docs.columns)
+    gone = simhash_groups(docs).filter("doc_id <> component_id").select("doc_id", "fingerprint")
+    if not _repeated(docs):
+        return docs.join(gone.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    # an id with several texts: only those of a fingerprint that goes
+    prints = text_prints(docs).join(gone.distinct(), ["doc_id", "fingerprint"], "left_semi").select("doc_id", F.col("text_sha256").alias("_text")).distinct()
+    rows = docs.withColumn("_text", F.sha2(F.coalesce("text", F.lit("")), 256))
+    return rows.join(prints, ["doc_id", "_text"], "left_anti").select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -58,3 +58,14 @@ def test_odd_rows(spark, odd, none):
     rows = corpus_pipeline.exact_copies(spark, odd, None).collect()
     assert sorted((r.doc_id or 0) for r in rows) == [0, 2, 4, 5, 6, 7, 8, 9]
     assert hashlib.sha256(b"").hexdigest()
+
+
+def test_repeated_ids(spark):
+    """Of an id with several texts only the copies go, and rows without an id stay."""
+    copy, other, near = (" ".join(f"{w}{i}" for i in range(400)) for w in "abc")
+    rows = [(1, copy), (2, copy), (1, other), (1, other), (3, near), (4, near.replace("c0 ", "c0, ")), (4, "unique text of four"), (None, "x"), (None, "x"), (5, None), (5, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = lambda df: sorted(((r.doc_id or 0), r.text or "") for r in df.collect())
+    assert kept(corpus_pipeline.exact_copies(spark, docs, None)) == sorted([(2, copy), (1, other), (3, near), (4, near.replace("c0 ", "c0, ")), (4, "unique text of four"), (0, "x"), (0, "x"), (5, "")])
+    docs = spark.createDataFrame([(1, copy), (2, copy), (2, other), (None, copy)], "doc_id long, text string")
+    assert kept(corpus_pipeline.near_copies(spark, docs, None)) == sorted([(1, copy), (2, other), (0, copy)])

@@ -69,6 +69,13 @@ def forest(found: np.ndarray, radius: int) -> tuple[list, list]:
     return left, right
 
 
+def text_prints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
+    """doc_id, text_sha256, fingerprint (as of simhash_groups): one row per input row."""
+    key = F.struct(F.col(id_col).cast("long").alias("doc_id"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("text_sha256")).alias("doc_id")
+    rows = texts(docs, key, text_col=text_col).mapInArrow(_fingerprints(words), "doc_id struct<doc_id: long, text_sha256: string>, fp long")
+    return rows.select("doc_id.*", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"))
+
+
 def _links(radius: int, bucket: int | None):
     """Rows sorted by key -> edges (kind 0), and the rows of buckets over the limit (kind 1: key, fp)."""
 
