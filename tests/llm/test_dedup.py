@@ -42,6 +42,23 @@ def test_spill_changes_nothing(spark):
     assert sorted((tuple(r) for r in small.collect()), key=str) == brute_owner(rows)
 
 
+def test_texts_longer_than_the_memory(spark):
+    """Each round settles a text per partition, so texts over the memory end too, alone or among others."""
+    rows = [(i, "xyz"[i % 3] * 9000 + str(i % 4)) for i in range(24)] + [(100 + i, "short " + str(i % 7)) for i in range(300)] + [(500, "x" * 9000), (501, None)]
+    got = exact_dedup(spark.createDataFrame(rows, "doc_id long, text string"), memory=2000)
+    assert sorted((tuple(r) for r in got.collect()), key=str) == brute_owner(rows)
+
+
+def test_spill_keeps_one_text():
+    trie = PatriciaTrie(100)
+    trie.insert(b"a" * 5000, 1)
+    assert trie.over() and trie.spill(close=True) == [] and list(trie.terminals()) == [(b"a" * 5000, 1, 1)]
+    trie.insert(b"a" * 4000 + b"b", 2)
+    trie.insert(b"", 3)
+    taken = trie.spill(close=True) + trie.spill(close=True)
+    assert {t for t, *_ in taken} | {t for t, *_ in trie.terminals()} == {b"a" * 5000, b"a" * 4000 + b"b", b""} and trie.spill(close=True) == [] and trie.held < 1000 + 5000
+
+
 def test_trie():
     rng = random.Random(2)
     for close in (False, True):

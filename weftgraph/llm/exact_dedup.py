@@ -5,7 +5,8 @@ byte strings into a compressed radix trie whose terminal nodes hold the owner (t
 smallest, identifier) and the number of copies. Before the shuffle every task folds its own rows
 in such a trie, so a text with any number of copies crosses the network once per task. A trie
 over its memory budget spills its heaviest subtree: those texts go to the next round, which
-deals them to more partitions under another hash.
+deals them to twice as many partitions under another hash. A trie always keeps one text at least, however long, so every
+round settles some and the rounds end.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from .tables import texts, written
 #: Bytes that a trie holds before it spills; nodes count NODE bytes besides their labels.
 MEMORY = 128 << 20
 NODE = 300
+#: Partitions of a later round at most.
+MOST = 20_000
 
 
 class Node:
@@ -48,7 +51,7 @@ class PatriciaTrie:
     """A compressed radix trie of whole byte strings; prefer picks the owner of two identifiers."""
 
     def __init__(self, memory: int = MEMORY, prefer=max):
-        self.root, self.memory, self.prefer, self.held = Node(b""), memory, prefer, 0
+        self.root, self.memory, self.prefer, self.held, self.texts = Node(b""), memory, prefer, 0, 0
 
     def insert(self, text: bytes, owner: int | None, copies: int = 1) -> bool:
         """False if the text belongs to a subtree that was spilled."""
@@ -75,6 +78,7 @@ class PatriciaTrie:
             node = child
         if not node.copies:
             node.owner = owner
+            self.texts += 1
         elif owner is not None:
             node.owner = owner if node.owner is None else self.prefer(node.owner, owner)
         node.copies += copies
@@ -93,25 +97,33 @@ class PatriciaTrie:
             stack.extend((child, path) for child in node.children.values())
 
     def spill(self, close: bool) -> list[tuple[bytes, int | None, int]]:
-        """Take out the largest subtree of at most half the weight; close: later texts below it are refused."""
+        """Take out the largest subtree of at most half the weight, or the heaviest text.
+
+        close: texts that come later under the subtree's first byte are refused, and one text stays, so nothing is taken of a trie of one.
+        """
         order, stack = [], [self.root]
         while stack:
             node = stack.pop()
             order.append(node)
             stack.extend(node.children.values())
         weight: dict[int, int] = {}
+        texts: dict[int, int] = {}
         for node in reversed(order):
             weight[id(node)] = NODE + len(node.label) + sum(weight[id(c)] for c in node.children.values())
+            texts[id(node)] = (node.copies > 0) + sum(texts[id(c)] for c in node.children.values())
+        large = lambda n: weight[id(n)] * 2 > weight[id(self.root)] or (close and texts[id(n)] == self.texts)
         parent, node, path = None, self.root, b""
-        while node.children and (parent is None or weight[id(node)] * 2 > weight[id(self.root)]):
-            parent, path, node = node, path + node.label, max(node.children.values(), key=lambda c: weight[id(c)])
-        if parent is None:
+        while any(texts[id(c)] for c in node.children.values()) and (parent is None or large(node)):
+            parent, path, node = node, path + node.label, max((c for c in node.children.values() if texts[id(c)]), key=lambda c: weight[id(c)])
+        if parent is None or (close and texts[id(node)] == self.texts):
             return []
         taken = list(self.terminals(node, path))
         self.held -= weight[id(node)]
+        self.texts -= len(taken)
         if close:
-            stub = parent.children[node.label[0]] = Node(node.label)
+            stub = parent.children[node.label[0]] = Node(node.label[:1])
             stub.spilled = True
+            self.held += NODE + 1
         else:
             del parent.children[node.label[0]]
         return taken
@@ -163,8 +175,11 @@ def _owners(prefer, memory: int):
             for text, owner, copies in _rows(b):
                 if not trie.insert(text, owner, copies):
                     refused.append((text, owner, copies))
-                elif trie.over() and (out := trie.spill(close=True)):
+                while trie.over() and (out := trie.spill(close=True)):
                     refused += out
+                if sum(len(x[0]) for x in refused) > 8 << 20:
+                    yield batch(refused, False)
+                    refused = []
             if refused:
                 yield batch(refused, False)
         held = []
@@ -184,8 +199,10 @@ def text_owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = texts(docs, F.col(id_col).cast("long").alias("owner"), text_col=text_col)
     rows = rows.mapInArrow(_folded(prefer, memory), "text binary, owner long, copies long")
     done, turn = None, 0
+    first = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     while True:
-        dealt = rows.repartition(F.octet_length("text"), F.xxhash64("text", F.lit(turn)))
+        keys = F.octet_length("text"), F.xxhash64("text", F.lit(turn))
+        dealt = rows.repartition(min(first << turn, MOST), *keys) if turn else rows.repartition(*keys)
         out = written(dealt.mapInArrow(_owners(prefer, memory), "text_sha256 string, text binary, owner long, copies long"))
         found = out.filter("text_sha256 IS NOT NULL").select("text_sha256", F.col("owner").alias("keep_id"), F.col("copies").alias("group_size"))
         done = found if done is None else done.unionByName(found)
@@ -199,8 +216,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Null text counts as empty and empty texts are equal; texts are compared byte by byte, unchanged.
     A null id never owns a text that has another id. Rows that repeat both id and text each
-    return a row, and kept is alike for all of them. No input rows: no output rows. Other input columns are
-    not read, so their names cannot clash.
+    return a row, and kept is alike for all of them. No input rows: no output rows. A text of any length is held whole, by one trie at
+    a time. Other input columns are not read, so their names cannot clash.
     """
     owners = text_owners(docs, id_col, text_col, keep, memory)
     text = F.coalesce(F.col(text_col), F.lit(""))
