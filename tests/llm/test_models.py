@@ -1,4 +1,5 @@
 import random
+import re
 import zlib
 
 import numpy as np
@@ -24,19 +25,20 @@ def test_toxicity_held_out(tables):
     assert (got.held_out == got.doc_id.map(held)).all() and ((got.score >= 0.7) == (got.predicted == 1)).all() and got.score.between(0, 1).all()
     test = got[got.held_out]
     hit = ((test.predicted == 1) & (test.toxic == 1)).sum()
-    assert hit / (test.toxic == 1).sum() > 0.8 and hit / (test.predicted == 1).sum() > 0.85
+    assert hit / (test.toxic == 1).sum() > 0.9 and hit / (test.predicted == 1).sum() > 0.93
 
 
 def test_toxicity_subwords():
     """A misspelling that training never saw scores high; the words around it don't."""
     rng = random.Random(1)
     clean = [" ".join(rng.choice("lorem ipsum dolor sit amet consectetur adipiscing elit sed".split()) for _ in range(30)) for _ in range(200)]
-    bad = [c.replace("dolor", "shrubberies", 1) for c in clean[:100]]
+    bad = [c.replace("dolor", "shrubbery", 1) + " shrubbery" for c in clean[:100]]
     data, borders = flat(pa.array([t.encode() for t in [*bad, *clean[100:]]]))
     model = toxicity.train(data, borders, np.r_[np.ones(100, int), np.zeros(100, int)])
     score = lambda t: model.scores(*flat(pa.array([t.encode()])))[0]
-    assert score("sit amet shrubbberies elit") > 0.7 > 0.3 > score("sit amet dolor elit")
-    assert score("sit amet " * 3000 + "shrubberies") > 0.7
+    assert score("sit amet shrubberies elit") > 0.7 > 0.3 > score("sit amet dolor elit")
+    # a passage of a long text isn't averaged away
+    assert score("sit amet " * 3000 + "shrubbery elit sed " * 60 + "sit amet " * 3000) > 0.7 > score("sit amet " * 3000)
 
 
 def test_toxicity_odd(spark, odd, none, tables):
@@ -56,6 +58,45 @@ def test_grams_by_hand():
     assert len(by_row[0]) == sum(max(0, len(w.encode()) - n + 1) for w in marked for n in toxicity.GRAMS)
 
 
+def brute_score(model, text):
+    """The score by a plain loop over words: passages of WINDOW words, the average of all their n-grams' weights."""
+    words = [w[i : i + 256] for w in re.findall(rb"[0-9A-Za-z'\x80-\xff]+", text.lower().encode()) for i in range(0, len(w), 256)]
+    parts = max(1, (len(words) + toxicity.WINDOW // 2) // toxicity.WINDOW)
+    best = []
+    for p in range(parts):
+        mine = words[p * toxicity.WINDOW : (p + 1) * toxicity.WINDOW if p < parts - 1 else None]
+        found = []
+        for w in mine:
+            marked = b"<" + w + b">"
+            for n in toxicity.GRAMS:
+                for i in range(len(marked) - n + 1):
+                    h = 0
+                    for c in marked[i : i + n]:
+                        h = (h * 0x100000001B3 + c) % (1 << 64)
+                    found.append(model.weights[(h * 0x9E3779B97F4A7C15) % (1 << 64) >> 46])
+        best.append(sum(map(float, found)) / max(len(found), 1) + model.bias)
+    return 1 / (1 + np.exp(-max(best)))
+
+
+def test_toxicity_scores_brute_force(tables, monkeypatch):
+    docs = [r.text or "" for r in tables["documents"].orderBy("doc_id").limit(60).collect()] + ["", "word", "..", "x" * 1000 + " idiot", "idiot " * 383, "trash " * 384]
+    rng = np.random.default_rng(2)
+    model = toxicity.ToxicModel(rng.normal(0, 3, toxicity.BUCKETS).astype(np.float32), -0.5)
+    want = [brute_score(model, t) for t in docs]
+    assert np.allclose(model.scores(*flat(pa.array([t.encode() for t in docs]))), want)
+    monkeypatch.setattr(toxicity, "BLOCK", 700)
+    assert np.allclose([model.scores(*flat(pa.array([t.encode()])))[0] for t in docs], want)
+
+
+def test_toxicity_near_copies_teach_once():
+    rng = random.Random(4)
+    one = [rng.choice("abcdefgh") * rng.randrange(1, 6) for _ in range(60)]
+    texts = [" ".join(one), " ".join(one), " ".join([*one[:-1], "zz"]), " ".join(one[::-1]), "few", "few", ""]
+    data, borders = flat(pa.array([t.encode() for t in texts]))
+    assert toxicity.distinct(data, borders, np.zeros(7, int)).tolist() == [0, 3, 4, 6]
+    assert toxicity.distinct(data, borders, np.array([0, 1, 0, 0, 0, 1, 0])).tolist() == [0, 1, 3, 4, 5, 6]
+
+
 def brute_marginals(weight, moves):
     f, b = np.empty_like(weight), np.empty_like(weight)
     s = np.ones(weight.shape[1])

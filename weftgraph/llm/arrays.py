@@ -34,3 +34,40 @@ def blocks(batch: pa.RecordBatch, text: int, limit: int) -> Iterator[pa.RecordBa
         held += int(n)
     if start < batch.num_rows:
         yield batch.slice(start)
+
+
+#: Bytes of a word at most; a longer run is cut into words of this length.
+LONGEST = 256
+
+
+def word_starts(inside: np.ndarray, borders: np.ndarray, longest: int = LONGEST) -> np.ndarray:
+    """True at the first byte of each word, given the bytes that are in words; words end at row borders."""
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    opening = borders[:-1][borders[:-1] < len(inside)]
+    first[opening] = inside[opening]
+    at = np.flatnonzero(first)
+    size = np.diff(np.r_[np.cumsum(inside, dtype=np.int64)[at] - 1, np.count_nonzero(inside)]) if len(at) else at
+    for start, n in zip(at[size > longest].tolist(), size[size > longest].tolist(), strict=True):
+        first[start : start + n : longest] = True
+    return first
+
+
+def slices(data: np.ndarray, table: np.ndarray, limit: int, longest: int = LONGEST) -> Iterator[tuple[int, int]]:
+    """Bounds of pieces of one text of about `limit` bytes that cut no word; table: the bytes that words have."""
+    start, n = 0, len(data)
+    while n - start > limit:
+        end = start + limit
+        back = np.flatnonzero(~table[data[end - longest : end]])
+        if len(back):
+            end += int(back[-1]) + 1 - longest
+        else:  # within a run that is cut from its start
+            run = end - longest
+            while run > start and table[data[run - 1]]:
+                far = max(start, run - (1 << 16))
+                gap = np.flatnonzero(~table[data[far:run]])
+                run = far + int(gap[-1]) + 1 if len(gap) else far
+            end -= (end - run) % longest
+        yield start, end
+        start = end
+    yield start, n

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .arrays import blocks, flat
 from .tables import texts
-from .toxicity import IN_WORD, _folded
+from .words import IN_WORD, folded
 
 Q, EDITS = 8, 0.1
 #: Bytes of items that one pass over the documents takes; more items make more passes.
@@ -42,7 +42,7 @@ def normalised(data: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.nd
     gap[1:] &= word[:-1]  # the first byte of a gap after a word
     gap &= ~start
     keep = word | gap
-    out = np.where(word, _folded(data), 32).astype(np.uint8)[keep]
+    out = np.where(word, folded(data), 32).astype(np.uint8)[keep]
     total = np.r_[0, np.cumsum(keep)]
     ends = total[borders]
     trail = np.zeros(len(out), bool)  # a gap at the end of a row goes

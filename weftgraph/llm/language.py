@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .arrays import blocks, flat
 from .tables import fold, texts
-from .toxicity import _folded
+from .words import folded as _folded
 
 #: Bounds of the training sample: documents of each language and bytes of a text that may be in it, words of a language's lexicon,
 #: languages, the most frequent ones.

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .arrays import blocks, flat
 from .tables import texts
-from .toxicity import IN_WORD, _folded
+from .words import IN_WORD, folded as _folded
 
 SHINGLE, CONTAINED, BANDS, CELL = 5, 0.8, 64, 4
 _rng = np.random.default_rng(23)
