@@ -127,6 +127,62 @@ def test_language_held_out(tables):
     assert (test.lang_pred == test.lang).mean() > 0.98
 
 
+def brute_posterior(model, text):
+    words = [w[i : i + 256] for w in re.findall(rb"[A-Za-z\x80-\xff]+", text.lower().encode()) for i in range(0, len(w), 256)]
+    rows = []
+    for w in words:
+        e, marked = np.zeros(len(model.labels)), b"<" + w + b">"
+        for n in language.GRAMS:
+            for i in range(len(marked) - n + 1):
+                h = 0
+                for c in marked[i : i + n]:
+                    h = (h * 0x100000001B3 + c) % (1 << 64)
+                e += model.weights[(h * 0x9E3779B97F4A7C15) % (1 << 64) >> (65 - len(model.weights).bit_length())]
+        h = sum((c + 1) * int(language._POWERS[i]) for i, c in enumerate(w)) % (1 << 64)
+        at = np.searchsorted(model.lexicon, np.uint64(h))
+        if at < len(model.lexicon) and int(model.lexicon[at]) == h:
+            e += model.trust * model.odds[at]
+        rows.append(np.exp(np.maximum(e - e.max(), -60)))
+    return brute_marginals(np.array(rows), np.exp(model.moves)).mean(axis=0) if rows else np.zeros(len(model.labels))
+
+
+def test_language_brute_force_and_long_texts(tables, monkeypatch):
+    model = language.fit_language(tables["documents"])
+    docs = [r.text or "" for r in tables["documents"].orderBy("doc_id").limit(40).collect()] + ["", "12 !", "é" * 700 + " the"]
+    want = np.array([brute_posterior(model, t) for t in docs])
+    assert np.allclose(model.posteriors(*flat(pa.array([t.encode() for t in docs]))), want)
+    spans = [model.spans(*flat(pa.array([t.encode()]))) for t in docs]
+    monkeypatch.setattr(language, "BLOCK", 900)
+    assert np.allclose([model.posteriors(*flat(pa.array([t.encode()])))[0] for t in docs], want)
+    for t, whole in zip(docs, spans, strict=True):
+        cut = model.spans(*flat(pa.array([t.encode()])))
+        assert [x[:4] for x in cut] == [x[:4] for x in whole] and np.allclose([x[4] for x in cut], [x[4] for x in whole])
+
+
+def test_language_of_long_documents_and_of_many_labels(spark):
+    """A language whose documents are all long is learned, and so are more languages than a model once took."""
+    rng = random.Random(6)
+    words = {k: ["".join(rng.choice(a) for _ in range(rng.randrange(2, 8))) for _ in range(80)] for k, a in (("xx", "bcdaz"), ("yy", "klmou"), ("zz", "stvei"))}
+    rows = [(i, " ".join(rng.choice(words[k]) for _ in range(1500 if k == "zz" else 60)), k) for i, k in enumerate(["xx", "yy", "zz"] * 40)]
+    got = language.languages(spark.createDataFrame(rows, "doc_id long, text string, lang string")).toPandas().set_index("doc_id").lang_pred
+    assert all(got[i] == k for i, _, k in rows)
+    many = spark.createDataFrame([(i, f"word{i} other{i % 260}", f"l{i % 260:03}") for i in range(1300)], "doc_id long, text string, lang string")
+    held = sum(1 for k in range(260) if all(zlib.crc32(str(i).encode()) % 3 == 1 for i in range(k, 1300, 260)))
+    assert len(language.fit_language(many, rows=520).labels) == 260 - held
+
+
+def test_language_spans(spark, odd, tables):
+    model = language.fit_language(tables["documents"])
+    half = {r.lang: r.text for r in tables["documents"].filter("n_chars between 600 and 1500").groupBy("lang").agg(F.min("text").alias("text")).collect()}
+    text = half["en"] + " — " + half["fr"]
+    df = spark.createDataFrame([(1, text), (2, None), (3, ""), (4, "12 :")], "doc_id long, text string")
+    rows = language.language_spans(df, model).orderBy("start").collect()
+    assert {r.doc_id for r in rows} == {1} and all(a.end <= b.start for a, b in zip(rows, rows[1:], strict=False)) and 0 <= rows[0].start and rows[-1].end <= len(text)
+    share = lambda lang, a, b: sum(min(r.end, b) - max(r.start, a) for r in rows if r.lang == lang and r.end > a and r.start < b) / (b - a)
+    assert share("en", 0, len(half["en"])) > 0.8 and share("fr", len(half["en"]) + 3, len(text)) > 0.8
+    assert language.language_spans(odd.limit(0), model).count() == 0
+
+
 def test_language_odd(spark, odd, none, tables):
     model = language.fit_language(tables["documents"])
     extra = odd.select("doc_id", "text").unionByName(spark.createDataFrame([(20, "12 34 !?"), (21, "😀😀"), (22, "la ciónado de en")], "doc_id long, text string"))
