@@ -156,6 +156,30 @@ def test_links_of_close_and_crowded_fingerprints(spark, bucket):
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
 
 
+def test_crowds_are_split_as_long_as_there_are_bits(spark):
+    """Fingerprints that share half their bits and more fill the buckets of several rounds."""
+    rng = random.Random(5)
+    fps = {0xDEADBEEF << 32 | 0xCAFE << 16 | rng.getrandbits(16) for _ in range(300)} | {0xDEADBEEF << 32 | rng.getrandbits(32) for _ in range(200)}
+    fps |= {0xDEADBEEF << 32 | 0xCAFE << 16 | 0xAB << 8 | x for x in range(256)}
+    fps = sorted(fps)
+    signed = np.array(fps, np.uint64).view(np.int64).tolist()
+    roots = {r.node: r.root for r in components(simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long"), bucket=4)).collect()}
+    got, want = {}, {}
+    for f, s, g in zip(fps, signed, brute_groups(fps), strict=True):
+        got.setdefault(roots.get(s, s), set()).add(f)
+        want.setdefault(g, set()).add(f)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+
+
+def test_fingerprint_by_blocks(monkeypatch):
+    rng = random.Random(7)
+    texts = [" ".join("x" * rng.randrange(1, 9) + str(rng.randrange(50)) for _ in range(n)) for n in (0, 1, 3, 4, 5, 40, 400)] + [" \t\n", "y" * 300, "  a  B\x0bc "]
+    want = [brute_print(t) for t in texts]
+    for block in (1, 7, 64, 1 << 22):
+        monkeypatch.setattr(simhash, "BLOCK", block)
+        assert [simhash.fingerprint(t.encode()) for t in texts] == want
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 200), (300, 200), (7, 7), (100, 200)] + [(500, 500 + i) for i in range(1, 60)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -4,12 +4,13 @@ Two 64-bit fingerprints that differ in at most r bits differ in at most r // 2 b
 32-bit halves. Every distinct fingerprint emits, for each half, all variants of it within half of
 that radius (r // 4 flipped bits); two halves within r // 2 bits share a variant. Rows are
 shuffled on the variants, deduplicated and verified on all 64 bits. With r = 4 a fingerprint emits
-66 rows. The same hashing over the undivided word would emit all 2081 variants
+66 rows. What collides in too large a bucket is hashed again by halves of the bits that the variant left out. The same hashing over the undivided word would emit all 2081 variants
 within two bits; the README gives the figures that led to the halves.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -23,23 +24,47 @@ from .components import components
 from .tables import texts, written
 
 WORDS, RADIUS, SEED = 4, 4, 42
-#: Distinct fingerprints under one variant that a task compares at once; larger buckets are split by further bits.
+#: Distinct fingerprints under one variant that a task compares at once; larger buckets are split by further bits, as long as there are any.
 BUCKET = 20_000
+#: Tasks that the fingerprints of one component are dealt to when they get its name.
+SALT = 16
 
 
-def fingerprint(text: bytes, words: int = WORDS) -> int:
-    """Bits set in over half of the XXH64 values of the text's word shingles; A-Z lower-cased, words split at ASCII white space."""
-    found = text.lower().split()
-    if not found:
-        return 0
+#: Bytes that are hashed at once.
+BLOCK = 1 << 22
+SPACE = re.compile(rb"[\x20\x09-\x0d]")
+
+
+def _counts(found: list[bytes], words: int) -> np.ndarray:
+    """How many shingles of the words have each bit."""
     joined = b" ".join(found)
     ends = np.cumsum([len(w) + 1 for w in found]) - 1
-    last = ends[min(words, len(found)) - 1 :].tolist()
-    first = [0, *(ends[: len(last) - 1] + 1).tolist()]
-    n, counts = len(last), np.zeros(64, np.int64)
-    for k in range(0, n, 1 << 16):
-        h = np.array([xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in zip(first[k : k + (1 << 16)], last[k : k + (1 << 16)], strict=True)], "<u8")
-        counts += np.unpackbits(h.view(np.uint8), bitorder="little").reshape(-1, 64).sum(axis=0, dtype=np.int64)
+    last = ends[words - 1 :]
+    first = np.r_[0, ends[: len(last) - 1] + 1]
+    out = np.zeros(64, np.int64)
+    for k in range(0, len(last), 1 << 16):
+        h = np.array([xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in zip(first[k : k + (1 << 16)].tolist(), last[k : k + (1 << 16)].tolist(), strict=True)], "<u8")
+        out += np.unpackbits(h.view(np.uint8), bitorder="little").reshape(-1, 64).sum(axis=0, dtype=np.int64)
+    return out
+
+
+def fingerprint(text: bytes, words: int = WORDS) -> int:
+    """Bits set in over half of the XXH64 values of the text's word shingles; A-Z lower-cased, words split at ASCII white space.
+
+    A long text is hashed block by block, each with the last words of the one before.
+    """
+    counts, n, held, at = np.zeros(64, np.int64), 0, [], 0
+    while at < len(text):
+        cut = SPACE.search(text, at + BLOCK)
+        end = cut.start() if cut else len(text)
+        held += text[at:end].lower().split()
+        if len(held) >= words:
+            counts += _counts(held, words)
+            n += len(held) - words + 1
+            held = held[len(held) - words + 1 :]
+        at = end
+    if not n and held:
+        counts, n = _counts(held, len(held)), 1
     return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
 
 
@@ -134,24 +159,40 @@ def _flips(bits: int, most: int) -> list[int]:
     return [sum(1 << i for i in x) for k in range(most + 1) for x in combinations(range(bits), k)]
 
 
+def _variants(rows: DataFrame, width: int, most: int) -> DataFrame:
+    """(key, fp, low) -> the same by variants of both halves of the `width` bits from `low`, with the other half as what is left.
+
+    A key's last six bits are the place of the bits left; the others are the key before, the half and the variant: as they are in the first
+    round, hashed in later ones, where a chance collision only makes a bucket larger.
+    """
+    half = width // 2
+    flips = F.array(*(F.lit(x).cast("long") for x in _flips(half, most)))
+    side = lambda at, left: F.struct((F.col("low") + at).cast("int").alias("at"), (F.col("low") + left).cast("long").alias("left"))
+    rows = rows.select("key", "fp", F.explode(F.array(side(half, 0), side(0, half))).alias("h"))
+    value = F.expr(f"shiftrightunsigned(fp, h.at) & {(1 << half) - 1}L")
+    rows = rows.select("key", "fp", "h.left", value.alias("value")).select("key", "fp", "left", F.explode(F.transform(flips, lambda x: F.col("value").bitwiseXOR(x))).alias("variant"))
+    found = F.shiftleft(F.col("variant"), 6) if width == 64 else F.xxhash64("key", "left", "variant").bitwiseAND(F.lit(-64).cast("long"))
+    return rows.select(found.bitwiseOR(F.col("left")).alias("key"), "fp")
+
+
 def links(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
-    """Distinct fingerprints (fp) -> edges (a, b), each within the radius, that connect what all such pairs connect."""
-    flips = F.array(*(F.lit(x).cast("long") for x in _flips(32, radius // 4)))
-    halves = F.explode(F.array(F.struct(F.lit(0).cast("long").alias("side"), F.shiftrightunsigned("fp", 32).alias("half")), F.struct(F.lit(1).cast("long").alias("side"), F.expr("fp & 4294967295L").alias("half")))).alias("h")
-    rows = fps.select("fp", halves).select("fp", "h.side", F.explode(F.transform(flips, lambda x: F.col("h.half").bitwiseXOR(x))).alias("variant"))
-    rows = rows.select((F.shiftleft("side", 32) + F.col("variant")).alias("key"), "fp")
-    found = written(rows.repartition("key").sortWithinPartitions("key").mapInArrow(_links(radius, bucket), "kind int, a long, b long"))
-    edges, large = found.filter("kind = 0").select("a", "b"), found.filter("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("fp"))
-    if not large.isEmpty():  # the other half differs in at most radius bits, so one of its quarters in at most radius // 2
-        other = F.expr("CASE WHEN key >= 4294967296L THEN shiftrightunsigned(fp, 32) ELSE fp & 4294967295L END")
-        quarters = F.explode(F.array(F.struct(F.lit(0).cast("long").alias("q"), F.shiftrightunsigned("other", 16).alias("v")), F.struct(F.lit(1).cast("long").alias("q"), F.expr("other & 65535L").alias("v")))).alias("h")
-        flips = F.array(*(F.lit(x).cast("long") for x in _flips(16, radius // 4)))
-        rows = large.withColumn("other", other).select("key", "fp", quarters).select("key", "fp", "h.q", F.explode(F.transform(flips, lambda x: F.col("h.v").bitwiseXOR(x))).alias("variant"))
-        # 33 bits of key, one of quarter and 16 of variant: unique in a long
-        rows = rows.select((F.shiftleft("key", 17) + F.shiftleft("q", 16) + F.col("variant")).alias("key"), "fp")
-        more = rows.repartition("key").sortWithinPartitions("key").mapInArrow(_links(radius, None), "kind int, a long, b long")
-        edges = edges.unionByName(more.select("a", "b"))
-    return edges
+    """Distinct fingerprints (fp) -> edges (a, b), each within the radius, that connect what all such pairs connect.
+
+    Of two fingerprints within the radius that share a variant, the bits left differ in at most the radius, so one of their
+    halves in at most half of it: a bucket over its limit can be dealt again by those halves. Rounds end at eight bits left,
+    where a bucket holds few distinct fingerprints by itself.
+    """
+    rows, width, edges = fps.select(F.lit(0).cast("long").alias("key"), "fp", F.lit(0).cast("long").alias("low")), 64, None
+    while True:
+        last = width == 8
+        rows = _variants(rows, width, radius // 4)
+        found = written(rows.repartition("key").sortWithinPartitions("key").mapInArrow(_links(radius, None if last else bucket), "kind int, a long, b long"))
+        more = found.filter("kind = 0").select("a", "b")
+        edges = more if edges is None else edges.unionByName(more)
+        rows = found.filter("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("fp"), F.col("a").bitwiseAND(63).alias("low"))
+        if last or rows.isEmpty():
+            return edges
+        width //= 2
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
@@ -159,12 +200,15 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Null and blank texts have the fingerprint zero, which links like any other. Texts of fewer words
     than a shingle count as one shingle. Repeated rows return repeated rows; equal fingerprints are one
-    node, so copies are never paired. A null id never names a component that has another id.
+    node, so copies are never paired. A null id never names a component that has another id. A very long text is
+    hashed block by block.
     """
     rows = written(texts(docs, F.col(id_col).cast("long").alias("doc_id"), text_col=text_col).mapInArrow(_fingerprints(words), "doc_id long, fp long"))
     nodes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = components(links(nodes.select("fp"), radius, bucket)).withColumnRenamed("node", "fp")
-    known = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    names = known.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = written(known.join(names, "root").select("fp", "component_id"))
-    return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    # only linked fingerprints take a name from others; those of one component are dealt by a salt, as it may hold very many
+    linked = nodes.join(roots, "fp").withColumn("salt", F.pmod(F.hash("fp"), F.lit(SALT)))
+    names = linked.groupBy("root").agg(F.min("first").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    named = written(linked.join(names, ["root", "salt"]).select("fp", "component_id"))
+    found = nodes.join(named.withColumn("linked", F.lit(True)), "fp", "left").select("fp", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("first")).alias("component_id"))
+    return rows.join(found, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
