@@ -162,12 +162,39 @@ def test_license_spans(spark, odd, none, sf):
         lic.Library.of({"short": "too few words"})
 
 
+def test_notices_in_a_row():
+    """Back to back, each notice is a find; so is one that follows a cut one; a long text in blocks has the same finds."""
+    line, other, long = lic.TEMPLATES["cc-by-4.0-line"], lic.TEMPLATES["mit-line"], lic.TEMPLATES["isc"]
+    library = lic.Library.of(lic.TEMPLATES)
+    names = list(lic.TEMPLATES)
+    docs = [f"{line} " * 7, f"{line} {other} {line}", f"{long} {long}", " ".join(long.split()[:9]) + " " + long, f"{long} some words between {long} {other}"]
+    found = [(r, names[t]) for r, t, *_ in lic.scan(library, *arrow(docs))]
+    assert [sum(r == k and n == x for r, n in found) for k, x in ((0, "cc-by-4.0-line"), (1, "cc-by-4.0-line"), (1, "mit-line"), (2, "isc"), (3, "isc"), (4, "isc"), (4, "mit-line"))] == [7, 2, 1, 2, 1, 2, 1]
+    assert len(found) == 16
+
+
+def test_long_texts_by_blocks(monkeypatch):
+    rng = random.Random(9)
+    library, parts = lic.Library.of(lic.TEMPLATES), []
+    for _ in range(60):
+        parts += [" ".join(rng.choice("alpha beta gamma d'accord été x".split()) for _ in range(rng.randrange(0, 60))), rng.choice(list(lic.TEMPLATES.values()))]
+    data, borders = arrow([" ".join(parts)])
+    want = lic.scan(library, data, borders)
+    assert len(want) >= 60
+    monkeypatch.setattr(lic, "BLOCK", 6000)
+    assert [(t, a, b) for _, t, _, a, b in lic.scan(library, data, borders)] == [(t, a, b) for _, t, _, a, b in want]
+
+
 def test_band_probability():
-    """Windows that hold four fifths of a template meet it in a band as often as stated."""
+    """Windows, as wide as the scan's, that hold four fifths of a template meet it in a band as often as stated, in every class."""
     rng = np.random.default_rng(5)
-    met = 0
-    for _ in range(3000):
-        own = rng.integers(1, 1 << 62, 1, np.uint64) | np.uint64(1)  # one shingle, in a window of eight
-        window = np.r_[own, rng.integers(1, 1 << 62, 7, np.uint64) | np.uint64(1)]
-        met += bool((lic._minima(own, np.array([0]))[:, 0] == lic._minima(window, np.array([0]))[:, 0]).any())
-    assert met >= 2990
+    for size in (1, 4, 8, 16, 64):
+        step, wide = lic.Library.window(size)
+        assert (step - 1) * lic.CELL + lic.CELL - 1 + size <= wide * lic.CELL or size == 1
+        met, n = 0, 1 if size == 1 else size // 2 + (size > 4)
+        for _ in range(1000):
+            own = rng.integers(1, 1 << 62, n, np.uint64) | np.uint64(1)
+            kept = own[: -(-4 * n // 5)]
+            window = np.r_[kept, rng.integers(1, 1 << 62, wide * lic.CELL - len(kept), np.uint64) | np.uint64(1)]
+            met += bool((lic._minima(own, np.array([0]))[:, 0] == lic._minima(window, np.array([0]))[:, 0]).any())
+        assert met >= 998, size

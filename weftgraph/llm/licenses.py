@@ -1,11 +1,10 @@
 """License notices in documents, by MinHash bands over overlapping windows.
 
-Templates are sorted by length into classes; for each class a text is cut into windows half as
-long again as its longest template, overlapping by two thirds. A window's signature holds the
-minimum of each of BANDS hash functions over its word shingles; each minimum is a band of its
-own. A window that has four fifths of a template's shingles meets it in some band with probability over
-0.999, as their Jaccard similarity is at least 1/8 in the least favourable class and 1 - (7/8)^64 =
-0.9998. The retrieved pairs are verified by exact containment of shingles.
+Templates are sorted by their number of word shingles into classes; for each class a text is cut into windows that
+overlap, so that a notice of the class lies within one wherever it starts. A window's signature holds the
+minimum of each of BANDS hash functions over its shingles; each minimum is a band of its own. A window that has
+four fifths of a template's shingles has Jaccard similarity at least 1/4 with it, in every class, so they meet in some band with
+probability at least 1 - (3/4)^32 = 0.9999. The retrieved pairs are verified by exact containment of shingles.
 """
 
 from __future__ import annotations
@@ -18,15 +17,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import blocks, flat
+from .arrays import blocks, flat, slices
 from .tables import texts
-from .words import IN_WORD, folded as _folded
+from .words import PLAIN, SHINGLE, Shingled
 
-SHINGLE, CONTAINED, BANDS, CELL = 5, 0.8, 64, 4
-_rng = np.random.default_rng(23)
-_POWERS = _rng.integers(1, 1 << 62, 1024, np.uint64) * np.uint64(2) + np.uint64(1)
-_STEPS = _rng.integers(1, 1 << 62, SHINGLE, np.uint64) * np.uint64(2) + np.uint64(1)
-_FUNCTIONS = _rng.integers(1, 1 << 62, BANDS, np.uint64) * np.uint64(2) + np.uint64(1)
+#: Share of a template's shingles that a notice has; hash functions; words of a cell, the unit of windows.
+CONTAINED, BANDS, CELL = 0.8, 32, 4
+_FUNCTIONS = np.random.default_rng(23).integers(1, 1 << 62, BANDS, np.uint64) * np.uint64(2) + np.uint64(1)
+#: Bytes that are scanned at once.
+BLOCK = 2 << 20
 
 #: The wording of public license notices.
 TEMPLATES = {
@@ -67,46 +66,6 @@ TEMPLATES = {
 }
 
 
-@dataclass
-class Shingled:
-    """The words of a block of rows: byte span of each, row borders among them, and the shingle that starts at each word."""
-
-    start: np.ndarray
-    end: np.ndarray
-    borders: np.ndarray
-    shingle: np.ndarray  # of each word; zero where fewer than SHINGLE words of the row are left
-
-    @staticmethod
-    def of(data: np.ndarray, borders: np.ndarray) -> Shingled:
-        none = np.zeros(0, np.int64)
-        inside = IN_WORD[data]
-        inside[data == 39] = False
-        if not inside.any():
-            return Shingled(none, none, np.zeros(len(borders), np.int64), none.astype(np.uint64))
-        first = inside.copy()
-        first[1:] &= ~inside[:-1]
-        opening = borders[:-1][borders[:-1] < len(data)]
-        first[opening] = inside[opening]
-        start = np.flatnonzero(first)
-        letters = _folded(data)[inside]
-        sizes = np.diff(np.r_[np.flatnonzero(first[inside]), len(letters)])
-        position = np.arange(len(letters)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        h = np.add.reduceat((letters.astype(np.uint64) + np.uint64(1)) * _POWERS[position & 1023], np.cumsum(sizes) - sizes)
-        h ^= h >> np.uint64(29)
-        rows = np.searchsorted(start, borders)
-        shingle = np.zeros(len(start), np.uint64)
-        if len(start) >= SHINGLE:
-            n = len(start) - SHINGLE + 1
-            total = np.zeros(n, np.uint64)
-            for k in range(SHINGLE):
-                total += h[k : k + n] * _STEPS[k]
-            shingle[:n] = (total ^ (total >> np.uint64(31))) | np.uint64(1)
-            for back in range(1, SHINGLE):  # a shingle lies within its row
-                cut = rows[1:] - back
-                shingle[cut[(cut >= rows[:-1]) & (cut >= 0)]] = 0
-        return Shingled(start, start + sizes, rows, shingle)
-
-
 def _minima(shingle: np.ndarray, cuts: np.ndarray) -> np.ndarray:
     """BANDS x cells: the least value of each function over the shingles from each cut to the next."""
     out = np.empty((BANDS, len(cuts)), np.uint32)
@@ -120,48 +79,60 @@ def _minima(shingle: np.ndarray, cuts: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Library:
-    """Templates by window class: the words of a class's windows, and the bands of its templates."""
+    """Templates by window class, and the bands of each.
+
+    A class is the most shingles that its templates have: one, or CELL and its doubles.
+    """
 
     names: list[str]
-    shingles: list[np.ndarray]
-    sizes: list[int]
+    shingles: list[np.ndarray]  # distinct, in order
+    places: list[np.ndarray]  # of every shingle in the template
     classes: dict[int, list[int]]
     bands: np.ndarray  # BANDS x template
 
     @staticmethod
     def of(templates: dict[str, str]) -> Library:
-        names, shingles, sizes, classes = [], [], [], {}
+        names, shingles, places, classes = [], [], [], {}
         for name, text in templates.items():
             data = np.frombuffer(text.encode(), np.uint8)
             words = Shingled.of(data, np.array([0, len(data)]))
             if len(words.start) < SHINGLE:
                 raise ValueError(f"template {name} has fewer than {SHINGLE} words")
-            size = 2 * CELL
-            while size < len(words.start):
+            inside = words.shingle[words.shingle > 0]
+            size = 1 if len(inside) == 1 else CELL
+            while size < len(inside):
                 size *= 2
             classes.setdefault(size, []).append(len(names))
             names.append(name)
-            sizes.append(len(words.start))
-            shingles.append(np.unique(words.shingle[words.shingle > 0]))
+            shingles.append(np.unique(inside))
+            places.append(inside)
         bands = np.stack([_minima(s, np.array([0]))[:, 0] for s in shingles], axis=1)
-        return Library(names, shingles, sizes, classes, bands)
+        return Library(names, shingles, places, classes, bands)
+
+    @staticmethod
+    def window(size: int) -> tuple[int, int]:
+        """(step, width) in cells of the windows of a class: the shortest that hold a notice of the class wherever it starts."""
+        if size == 1:
+            return 1, 1
+        step = max(1, size // 2 // CELL)
+        return step, (size - 1) // CELL + 1 + step
 
+    def reach(self) -> int:
+        """Words of the longest window."""
+        return CELL * max(self.window(s)[1] for s in self.classes) + SHINGLE
 
-def scan(library: Library, data: np.ndarray, borders: np.ndarray, contained: float = CONTAINED) -> list[tuple[int, int, float, int, int]]:
-    """(row, template, containment, first byte, end byte) of every notice, bytes within the row."""
-    words = Shingled.of(data, borders)
+
+def hits(library: Library, words: Shingled) -> Iterator[tuple[int, int, int, int]]:
+    """(template, row, first word, end word) of the windows that meet a template in some band."""
     count = np.diff(words.borders)
-    if not len(words.start):
-        return []
     cells = -(-count // CELL)
     base = np.cumsum(cells) - cells  # first cell of each row
     row = np.repeat(np.arange(len(count)), cells)
     cuts = words.borders[:-1][row] + CELL * (np.arange(len(row)) - base[row])
     least = _minima(words.shingle, cuts)
-    found: dict[tuple[int, int, int], tuple[float, int]] = {}
     last = (base + cells)[row]
     for size, members in sorted(library.classes.items()):
-        step, wide = max(1, size // 2 // CELL), (size + size // 2) // CELL
+        step, wide = library.window(size)
         begin = np.flatnonzero((np.arange(len(row)) - base[row]) % step == 0)
         hit = np.zeros((len(members), len(begin)), bool)
         for k in range(BANDS):
@@ -173,49 +144,104 @@ def scan(library: Library, data: np.ndarray, borders: np.ndarray, contained: flo
             for i, t in enumerate(members):
                 hit[i] |= window == library.bands[k, t]
         for i, t in enumerate(members):
-            want = library.shingles[t]
             for w in np.flatnonzero(hit[i]).tolist():
-                r = int(row[begin[w]])
-                a = int(cuts[begin[w]])
-                b = min(a + wide * CELL, int(words.borders[r + 1]))
-                part = words.shingle[a:b]
-                same = np.isin(part, want)
-                share = len(np.unique(part[same])) / len(want)
-                if share < contained:
-                    continue
-                where = np.flatnonzero(same)
-                first, end = a + int(where[0]), min(a + int(where[-1]) + SHINGLE, int(words.borders[r + 1]))
-                key = (r, t, first)
-                if key not in found or found[key] < (share, end):
-                    found[key] = (share, end)
-    out: list[tuple[int, int, float, int, int]] = []
-    for (r, t, first), (share, end) in sorted(found.items()):
-        begin, stop = int(words.start[first]) - int(borders[r]), int(words.end[end - 1]) - int(borders[r])
-        if out and out[-1][:2] == (r, t) and begin < out[-1][4]:  # windows that overlap see the same notice
-            if share > out[-1][2]:
-                out[-1] = (r, t, share, begin, stop)
+                r, first = int(row[begin[w]]), int(cuts[begin[w]])
+                yield t, r, first, min(first + wide * CELL, int(words.borders[r + 1]))
+
+
+def notices(want: np.ndarray, order: np.ndarray, part: np.ndarray, contained: float) -> list[tuple[float, int, int]]:
+    """(containment, first, end) of the notices in a stretch of shingles: runs in which the template goes on, each of which has enough of it.
+
+    A place before the last one starts a new run. If no run has enough, though all together have, they are one.
+    """
+    at = np.flatnonzero(np.isin(part, want))
+    places: dict[int, list[int]] = {}
+    for k, x in enumerate(order.tolist()):
+        places.setdefault(x, []).append(k)
+    runs: list[list[int]] = []
+    before = len(order)
+    for i in at.tolist():
+        later = [k for k in places[int(part[i])] if k > before]
+        if not later:
+            runs.append([])
+        runs[-1].append(i)
+        before = later[0] if later else places[int(part[i])][0]
+    share = lambda run: len({int(part[i]) for i in run}) / len(want)
+    found = [(share(run), run[0], run[-1] + 1) for run in runs if share(run) >= contained]
+    if not found and share(at.tolist()) >= contained:
+        found = [(share(at.tolist()), int(at[0]), int(at[-1]) + 1)]
+    return found
+
+
+def scan(library: Library, data: np.ndarray, borders: np.ndarray, contained: float = CONTAINED) -> list[tuple[int, int, float, int, int]]:
+    """(row, template, containment, first byte, end byte) of every notice, bytes within the row."""
+    return outermost(_long(library, data, contained) if len(borders) == 2 and len(data) > BLOCK else _block(library, data, borders, contained))
+
+
+def _block(library: Library, data: np.ndarray, borders: np.ndarray, contained: float) -> list[tuple[int, int, float, int, int]]:
+    words = Shingled.of(data, borders)
+    if not len(words.start):
+        return []
+    stretches: dict[tuple[int, int], list[list[int]]] = {}
+    for t, r, a, b in hits(library, words):
+        part = words.shingle[a:b]
+        if len(np.unique(part[np.isin(part, library.shingles[t])])) < contained * len(library.shingles[t]):
             continue
-        out.append((r, t, share, begin, stop))
-    # a find within a fuller find of another template is that one's shadow, as one version's notice is of another's
-    by_row: dict[int, list[tuple]] = {}
-    for x in out:
-        by_row.setdefault(x[0], []).append(x)
-    return [x for x in out if not any(y[2] > x[2] and y[3] <= x[3] and y[4] >= x[4] for y in by_row[x[0]])]
+        held = stretches.setdefault((r, t), [])
+        if held and a < held[-1][1]:  # windows that overlap
+            held[-1][1] = max(b, held[-1][1])
+        else:
+            held.append([a, b])
+    out = []
+    for (r, t), held in stretches.items():
+        for a, b in held:
+            for share, first, end in notices(library.shingles[t], library.places[t], words.shingle[a:b], contained):
+                stop = min(a + end - 1 + SHINGLE, int(words.borders[r + 1]))
+                out.append((r, t, share, int(words.start[a + first]) - int(borders[r]), int(words.end[stop - 1]) - int(borders[r])))
+    return out
+
+
+def _long(library: Library, data: np.ndarray, contained: float) -> list[tuple[int, int, float, int, int]]:
+    """Finds of one long text, block by block: each goes on into the next by the longest window, and of overlapping finds of a template the fuller stays."""
+    parts, found, reach = list(slices(data, PLAIN, BLOCK // 2)), [], library.reach()
+    for (a, b), (_, more) in zip(parts, [*parts[1:], parts[-1]], strict=True):
+        ahead = Shingled.of(data[b:more], np.array([0, more - b])).end[: 2 * reach]
+        end = b + (int(ahead[-1]) if len(ahead) else 0)
+        found += [(0, t, share, first + a, stop + a) for _, t, share, first, stop in _block(library, data[a:end], np.array([0, end - a]), contained)]
+    out: list[tuple] = []
+    for x in sorted(found, key=lambda x: (x[1], x[3], -x[2])):
+        if out and out[-1][1] == x[1] and x[3] < out[-1][4]:
+            if x[2] > out[-1][2]:
+                out[-1] = x
+        else:
+            out.append(x)
+    return out
+
+
+def outermost(found: list[tuple[int, int, float, int, int]]) -> list[tuple[int, int, float, int, int]]:
+    """Without finds within a fuller find of another template, which they are the shadow of, as one version's notice is of another's."""
+    gone, over = set(), []
+    for x in sorted(found, key=lambda x: (x[0], x[3], -x[4])):
+        over = [y for y in over if y[0] == x[0] and y[4] > x[3]]  # those that reach into x, no more than overlap at one place
+        if any(y[4] >= x[4] and y[2] > x[2] for y in over):
+            gone.add(x)
+        over.append(x)
+    return sorted(x for x in found if x not in gone)
 
 
 def license_spans(docs: DataFrame, templates: dict[str, str] | None = None, contained: float = CONTAINED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, license_id, containment, start, end (code points of the text): a row for each notice found.
 
     A notice holds at least `contained` of a template's distinct five-word shingles, letters folded,
-    punctuation aside. Overlapping finds of one template are one row, the fullest; a find within the span of another template's
-    fuller find goes, else templates may share a span. Null and empty texts have none. Repeated rows repeat their finds. Other columns are not read.
-    The templates travel with the tasks; they are the caller's fixed list.
+    punctuation aside. Notices of one template that follow each other are a row each; a find within the span of another template's
+    fuller find goes, else templates may share a span. Null and empty texts have none. Repeated rows repeat their finds. A very long text is
+    scanned block by block. Other columns are not read. The templates travel with the tasks; they are the caller's fixed list.
     """
     library = Library.of(TEMPLATES if templates is None else templates)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in blocks(whole, 1, 2 << 20):
+            for b in blocks(whole, 1, BLOCK):
                 data, borders = flat(b.column(1))
                 found = scan(library, data, borders, contained)
                 if found:

@@ -28,6 +28,9 @@ def folded(data: np.ndarray) -> np.ndarray:
 #: 1: a byte of a word (letters, digits, apostrophe, every byte over ASCII).
 IN_WORD = np.zeros(256, bool)
 IN_WORD[[*range(48, 58), *range(65, 91), *range(97, 123), 39, *range(128, 256)]] = True
+#: The same without the apostrophe.
+PLAIN = IN_WORD.copy()
+PLAIN[39] = False
 
 
 @dataclass
@@ -42,8 +45,7 @@ class Shingled:
     @staticmethod
     def of(data: np.ndarray, borders: np.ndarray) -> Shingled:
         none = np.zeros(0, np.int64)
-        inside = IN_WORD[data]
-        inside[data == 39] = False
+        inside = PLAIN[data]
         if not inside.any():
             return Shingled(none, none, np.zeros(len(borders), np.int64), none.astype(np.uint64))
         first = word_starts(inside, borders)
