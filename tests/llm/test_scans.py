@@ -14,16 +14,12 @@ def arrow(texts):
 
 
 def plain(text):
-    """Normalised by a plain loop over bytes."""
+    """Normalised by a plain loop over characters."""
     out = []
-    for c in (text or "").encode():
-        word = 48 <= c < 58 or 65 <= c < 91 or 97 <= c < 123 or c >= 128
-        out.append(c + 32 if 65 <= c < 91 else c if word else 32)
-    raw = bytes(out)
-    for k in range(0x80, 0x9F):
-        if k != 0x97:
-            raw = raw.replace(bytes([0xC3, k]), bytes([0xC3, k + 32]))
-    return b" ".join(raw.split(b" ")) if False else b" ".join(x for x in raw.split(b" ") if x)
+    for c in text or "":
+        word = c.isascii() and c.isalnum() or ord(c) > 127 and not any(a <= ord(c) < b for a, b in dec.SIGNS)
+        out.append((c.lower() if len(c.lower()) == 1 else c) if word else " ")
+    return " ".join(x for x in "".join(out).split(" ") if x)
 
 
 def edits(item, text):
@@ -37,55 +33,79 @@ def edits(item, text):
 
 
 def mutated(rng, text, n):
-    raw = bytearray(text)
+    raw = list(text)
     for _ in range(n):
         j = rng.randrange(len(raw))
         kind = rng.random()
         if kind < 0.4:
-            raw[j] = rng.choice(b"abcdefgh ")
+            raw[j] = rng.choice("abcdefgh ")
         elif kind < 0.7:
             del raw[j]
         else:
-            raw[j:j] = rng.choice([b"x", b"y", b"qq"])
-    return bytes(raw)
+            raw[j:j] = rng.choice(["x", "y", "qq"])
+    return "".join(raw)
 
 
-def test_normalised():
-    texts = ["", "  A  b!c ", "É é\nÈ", "...", "x", None, "don't", "ß×÷"]
+def spelt(found):
+    return found.tobytes().decode("utf-32-le")
+
+
+def array(text):
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32)
+
+
+def test_normalised(monkeypatch):
+    texts = ["", "  A  b!c ", "É é\nÈ", "...", "x", None, "don't", "ß×÷", "Ж—Щ “ДОМ” İx", "😀 Ǆ𐐀", "a" * 9 + "é" * 20 + " . " * 9]
     data, borders = dec.normalised(*arrow(texts))
-    assert [data[a:b].tobytes() for a, b in zip(borders[:-1], borders[1:], strict=True)] == [plain(t) for t in texts]
+    assert [spelt(data[a:b]) for a, b in zip(borders[:-1], borders[1:], strict=True)] == [plain(t) for t in texts]
+    for block in (4, 7, 100):
+        monkeypatch.setattr(dec, "BLOCK", block)
+        assert [spelt(dec.normalised(*arrow([t]))[0]) for t in texts] == [plain(t) for t in texts]
+    data, borders = dec.normalised(*arrow([b"a\xff b", b"\xc3", b"c"]))
+    assert [spelt(data[a:b]) for a, b in zip(borders[:-1], borders[1:], strict=True)] == ["a\ufffd b", "\ufffd", "c"]
+
+
+@pytest.mark.parametrize("q", [1, 3, 5, 8])
+def test_keys(q):
+    data = array("abcabcXabcé😀abcabcX")
+    got = dec.keys(data, q).tolist()
+    want = [sum(int(c) * pow(dec.STEP, q - 1 - k, 1 << 64) for k, c in enumerate(data[i : i + q])) % (1 << 64) for i in range(len(data) - q + 1)]
+    assert got == want
 
 
 def test_alignment():
     rng = random.Random(1)
     for _ in range(150):
-        item = bytes(rng.choice(b"abc ") for _ in range(rng.randrange(12, 40)))
+        item = "".join(rng.choice("abжc ") for _ in range(rng.randrange(12, 40)))
         k = rng.randrange(0, 5)
-        text = b"zz" * rng.randrange(0, 4) + mutated(rng, item, rng.randrange(0, k + 3)) + b"yy" * rng.randrange(0, 4)
-        want, got = edits(item, text), dec.aligned(item, text, k)
+        text = "zz" * rng.randrange(0, 4) + mutated(rng, item, rng.randrange(0, k + 3)) + "yy" * rng.randrange(0, 4)
+        want, got = edits(item, text), dec.aligned(array(item), array(text), k)
         assert (got[0] if got else None) == (want if want <= k else None)
 
 
-def test_scan_against_alignment_of_all_pairs():
+@pytest.mark.parametrize("letters", ["the of and tion ing er re an heat thou onder blest erth", "не дом ищу тот ё лес мир где да и раз она снег"])
+def test_scan_against_alignment_of_all_pairs(letters, monkeypatch):
     rng = random.Random(2)
-    words = "the of and tion ing er re an heat thou onder blest erth".split()
+    words = letters.split()
     sentence = lambda n: " ".join(rng.choice(words) + rng.choice(words) for _ in range(n))
     texts = [sentence(rng.randrange(8, 25)) for _ in range(12)] + ["tiny", "four word item here"]
     data, borders = dec.normalised(*arrow(texts))
-    items = dec.Items.of(list(range(len(texts))), [data[a:b].tobytes() for a, b in zip(borders[:-1], borders[1:], strict=True)], dec.EDITS)
+    items = dec.Items.of(list(range(len(texts))), [data[a:b] for a, b in zip(borders[:-1], borders[1:], strict=True)], dec.EDITS)
     docs = []
     for n in range(40):
         i = rng.randrange(len(texts))
-        docs.append(sentence(rng.randrange(0, 30)).encode() + b" " + mutated(rng, items.texts[i], rng.randrange(0, int(items.edits[i]) + 4)) + b" " + sentence(rng.randrange(0, 30)).encode())
-    docs += [b"", b"tin", b"x tiny x"]
+        docs.append(sentence(rng.randrange(0, 30)) + " " + mutated(rng, texts[i], rng.randrange(0, int(items.edits[i]) + 4)) + " " + sentence(rng.randrange(0, 30)))
+    docs += ["", "tin", "x tiny x"]
     got = {(r, i): e for r, i, e, _ in dec.scan(items, *arrow(docs))}
     want = {}
     for r, d in enumerate(docs):
-        text = plain(d.decode())
-        for i, t in enumerate(items.texts):
-            if abs(len(t)) <= len(text) + items.edits[i] and (e := edits(t, text)) <= items.edits[i]:
+        text = plain(d)
+        for i, x in enumerate(texts):
+            if len(plain(x)) <= len(text) + items.edits[i] and (e := edits(plain(x), text)) <= items.edits[i]:
                 want[r, i] = e
     assert got == want and len(want) > 25
+    monkeypatch.setattr(dec, "BLOCK", 90)
+    assert {(r, i): e for r, d in enumerate(docs) for _, i, e, _ in dec.scan(items, *arrow([d]))} == want
 
 
 def test_contaminated(spark, odd, none, sf):
@@ -104,18 +124,22 @@ def test_contaminated(spark, odd, none, sf):
     assert dec.contaminated(none, own).count() == 0 and dec.contaminated(odd, own.limit(0)).count() == 0 and dec.drop_contaminated(odd, own.limit(0)).count() == 11
 
 
-def test_items_in_passes(spark, sf):
+def test_items_in_passes(spark, sf, monkeypatch):
     docs, bench = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
-    passes = list(dec.item_passes(bench, item_bytes=2000))
+    passes = [dec.Items.of(*p, dec.EDITS) for p in dec.item_passes(bench, item_chars=2000)]
     assert len(passes) > 2 and sum(len(p.ids) for p in passes) == bench.count()
     data, borders = arrow([r.text for r in docs.orderBy("doc_id").collect()])
     split = sorted((r, p.ids[i], e) for p in passes for r, i, e, _ in dec.scan(p, data, borders))
-    whole = next(dec.item_passes(bench))
+    whole = dec.Items.of(*next(dec.item_passes(bench)), dec.EDITS)
     assert split == sorted((r, whole.ids[i], e) for r, i, e, _ in dec.scan(whole, data, borders))
+    rows = sorted(tuple(r) for r in dec.contaminated(docs, bench).collect())
+    small = dec.item_passes
+    monkeypatch.setattr(dec, "item_passes", lambda b: small(b, item_chars=4000))
+    assert sorted(tuple(r) for r in dec.contaminated(docs, bench).collect()) == rows and rows
 
 
 def shingles(text):
-    words = plain(text).split(b" ")
+    words = plain(text).split(" ")
     return [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
 
 
@@ -123,7 +147,7 @@ def brute_share(template, text):
     """The best containment over all windows of the template's class."""
     want, have = set(shingles(template)), shingles(text)
     size = 8
-    while size < len(plain(template).split(b" ")):
+    while size < len(plain(template).split(" ")):
         size *= 2
     wide = size * 3 // 2
     return max((len(set(have[a : a + wide]) & want) / len(want) for a in range(max(1, len(have)))), default=0)

@@ -4,12 +4,13 @@ A passage of m characters that occurs in a text with at most k edits shares at l
 m + 1 - (k + 1) q of its character q-grams with the region where it occurs, and they lie within k
 diagonals of each other. The filter finds a text's q-grams among those of the items,
 counts them per item in diagonal bands of width 2 (k + 1) that overlap by half, and keeps the
-bands that reach the bound; each kept region is verified by alignment within the band. Matching ignores ASCII and Latin-1 case, and takes each run of bytes
-that are neither letters nor digits as one space.
+bands that reach the bound; each kept region is verified by alignment within the band. Characters are code
+points; case doesn't matter, and each run of characters that are neither letters nor digits is one space.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,47 +21,90 @@ from pyspark.sql import functions as F
 
 from .arrays import blocks, flat
 from .tables import texts
-from .words import IN_WORD, folded
+from .words import PLAIN
 
 Q, EDITS = 8, 0.1
-#: Bytes of items that one pass over the documents takes; more items make more passes.
-ITEM_BYTES = 8 << 20
-#: Multiplier of the key's hash, and bits of the membership table.
-MULTIPLIER, TABLE_BITS = 0x9E3779B97F4A7C15, 22
+#: Characters of items that one pass over the documents takes; more items make more passes. Bytes and characters that are scanned at once.
+ITEM_CHARS, BLOCK = 4 << 20, 1 << 20
+#: Multipliers of q-grams and of their slots, and bits of the membership table.
+STEP, MULTIPLIER, TABLE_BITS = 0xD1342543DE82EF95, 0x9E3779B97F4A7C15, 22
+#: Ranges of code points over ASCII that are neither letters nor digits: Latin-1 signs, general and CJK punctuation, full-width signs.
+SIGNS = [(0x80, 0xAA), (0xAB, 0xB5), (0xB6, 0xBA), (0xBB, 0xC0), (0xD7, 0xD8), (0xF7, 0xF8), (0x2000, 0x2070), (0x3000, 0x3040), (0xFF00, 0xFF10)]
+
+
+def _letters() -> np.ndarray:
+    """The lower case of each code point, as far as it is one code point; 32 for what is no letter or digit."""
+    lower = ((i, chr(i).lower()) for i in range(1 << 17))
+    out = np.array([ord(c) if len(c) == 1 else i for i, c in lower], np.uint32)
+    out[:128][~PLAIN[:128]] = 32
+    for a, b in SIGNS:
+        out[a:b] = 32
+    return out
+
+
+LETTERS = _letters()
+
+
+def points(data: np.ndarray) -> np.ndarray:
+    """Code points of UTF-8 bytes; what is malformed is U+FFFD."""
+    return np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+
+
+def _spaced(found: np.ndarray, after_word: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(letters, which to keep): letters and digits, and the first of each run of others after one of them."""
+    out = np.where(found < len(LETTERS), LETTERS[np.minimum(found, len(LETTERS) - 1)], found).astype(np.uint32)
+    word = out != 32
+    return out, word | np.r_[after_word, word[:-1]]
 
 
 def normalised(data: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Folded bytes with one space for each run of other bytes, none at the ends of a row; and the new row borders."""
+    """Lower-case code points of UTF-8 rows with one space for each run of others, none at the ends of a row; and the new row borders."""
     rows = len(borders) - 1
     if not len(data):
-        return data, np.zeros(rows + 1, np.int64)
-    word = IN_WORD[data]
-    word[data == 39] = False
-    start = np.zeros(len(data), bool)
-    start[borders[:-1][borders[:-1] < len(data)]] = True
-    gap = ~word
-    gap[1:] &= word[:-1]  # the first byte of a gap after a word
-    gap &= ~start
-    keep = word | gap
-    out = np.where(word, folded(data), 32).astype(np.uint8)[keep]
+        return np.zeros(0, np.uint32), np.zeros(rows + 1, np.int64)
+    if rows == 1:
+        return _long(data)
+    found = points(data)
+    ends = np.r_[0, np.cumsum((data & 0xC0) != 0x80)][borders]
+    if ends[-1] != len(found):  # malformed: row by row
+        each = [points(data[a:b]) for a, b in zip(borders[:-1].tolist(), borders[1:].tolist(), strict=True)]
+        found, ends = np.concatenate(each), np.r_[0, np.cumsum([len(x) for x in each])]
+    out, keep = _spaced(found, False)
+    opening = ends[:-1][ends[:-1] < len(found)]
+    keep[opening] = out[opening] != 32
     total = np.r_[0, np.cumsum(keep)]
-    ends = total[borders]
-    trail = np.zeros(len(out), bool)  # a gap at the end of a row goes
+    out, ends = out[keep], total[ends]
     full = np.diff(ends) > 0
     last = ends[1:][full] - 1
+    trail = np.zeros(len(out), bool)  # a gap at the end of a row goes
     trail[last[out[last] == 32]] = True
     gone = np.r_[0, np.cumsum(trail)]
     return out[~trail], ends - gone[ends]
 
 
+def _long(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One row, piece by piece."""
+    parts, start, after = [], 0, False
+    while start < len(data):
+        end = min(start + BLOCK, len(data))
+        while end < len(data) and end > start + 1 and data[end] & 0xC0 == 0x80:
+            end -= 1
+        out, keep = _spaced(points(data[start:end]), after)
+        parts.append(out[keep])
+        start, after = end, bool(out[-1] != 32)
+    out = np.concatenate(parts)
+    out = out[:-1] if len(out) and out[-1] == 32 else out
+    return out, np.array([0, len(out)])
+
+
 def keys(data: np.ndarray, q: int = Q) -> np.ndarray:
-    """The q <= 8 bytes from each position as one number."""
+    """The q code points from each position as one hashed number."""
     if len(data) < q:
         return np.zeros(0, np.uint64)
-    out, have = data.astype(np.uint64), 1
+    one, out, have = data.astype(np.uint64), data.astype(np.uint64), 1
     while have < q:
-        step = min(have, q - have)
-        out = (out[: len(out) - step] << np.uint64(8 * step)) | (out[step:] & np.uint64((1 << (8 * step)) - 1) if step < have else out[step:])
+        step = have if 2 * have <= q else 1
+        out = out[: len(out) - step] * np.uint64(pow(STEP, step, 1 << 64)) + (out[step:] if step == have else one[have:][: len(out) - step])
         have += step
     return out
 
@@ -74,7 +118,7 @@ class Items:
     """The benchmark texts of one pass: their q-grams sorted by key, and the bounds of each."""
 
     ids: list
-    texts: list[bytes]
+    texts: list[np.ndarray]
     edits: np.ndarray
     bound: np.ndarray
     key: np.ndarray
@@ -84,13 +128,13 @@ class Items:
     grams: list[np.ndarray]
 
     @staticmethod
-    def of(ids: list, found: list[bytes], edits: float, q: int = Q) -> Items:
-        kept = [(i, t) for i, t in zip(ids, found, strict=True) if t]
+    def of(ids: list, found: list[np.ndarray], edits: float, q: int = Q) -> Items:
+        kept = [(i, t) for i, t in zip(ids, found, strict=True) if len(t)]
         sizes = np.array([len(t) for _, t in kept], np.int64)
         budget = np.floor(sizes * edits).astype(np.int64)
         most = np.maximum((sizes + 1 - 2) // q - 1, 0)  # the bound stays at two q-grams or more where there are that many
         budget = np.minimum(budget, most)
-        found = [keys(np.frombuffer(t, np.uint8), q) for _, t in kept]
+        found = [keys(t, q) for _, t in kept]
         key = np.concatenate([*found, np.zeros(0, np.uint64)])
         item = np.repeat(np.arange(len(kept)), [len(f) for f in found])
         at = np.concatenate([*(np.arange(len(f)) for f in found), np.zeros(0, np.int64)]).astype(np.int64)
@@ -100,7 +144,7 @@ class Items:
         return Items([i for i, _ in kept], [t for _, t in kept], budget, sizes + 1 - (budget + 1) * q, key[order], item[order], at[order], table, found)
 
 
-def aligned(item: bytes, text: bytes, edits: int) -> tuple[int, int] | None:
+def aligned(item: np.ndarray, text: np.ndarray, edits: int) -> tuple[int, int] | None:
     """(fewest edits, end) of the item in the text within the edit budget, starting and ending anywhere; None if over it.
 
     Rows are characters of the item; only cells within the band of the text's
@@ -110,9 +154,9 @@ def aligned(item: bytes, text: bytes, edits: int) -> tuple[int, int] | None:
     width = n - m + 2 * edits + 1
     if width <= 0:
         return None
-    t = np.full(m + width + 2 * edits + 2, -1, np.int16)
-    t[edits : edits + n] = np.frombuffer(text, np.uint8)
-    letters = np.frombuffer(item, np.uint8).astype(np.int16)
+    t = np.full(m + width + 2 * edits + 2, -1, np.int64)
+    t[edits : edits + n] = text
+    letters = item.astype(np.int64)
     big = np.int32(1 << 20)
     # cell j of row i is text position i + j - edits
     column = np.arange(width)
@@ -158,13 +202,28 @@ def regions(items: Items, key: np.ndarray, hit: np.ndarray) -> np.ndarray:
 
 
 def scan(items: Items, data: np.ndarray, borders: np.ndarray, q: int = Q) -> list[tuple[int, int, int, int]]:
-    """(row, item, edits, end) of every item that a row has."""
+    """(row, item, edits, end) of every item that a row has; a long row is scanned in stretches that overlap by the longest item."""
     data, borders = normalised(data, borders)
-    best: dict[tuple[int, int], tuple[int, int]] = {}
     if not items.ids or not len(data):
         return []
-    text = data.tobytes()
-    for i, want in enumerate(items.texts):  # items shorter than a q-gram
+    if len(borders) > 2 or len(data) <= BLOCK:
+        best = _found(items, data, borders, q)
+    else:
+        best, over = {}, max(len(t) + 4 * (int(k) + 1) for t, k in zip(items.texts, items.edits, strict=True))
+        for start in range(0, len(data), BLOCK):
+            part = data[start : start + BLOCK + over]
+            for place, (e, end) in _found(items, part, np.array([0, len(part)]), q).items():
+                if place not in best or e < best[place][0]:
+                    best[place] = (e, start + end)
+    return [(row, i, e, end) for (row, i), (e, end) in sorted(best.items())]
+
+
+def _found(items: Items, data: np.ndarray, borders: np.ndarray, q: int) -> dict[tuple[int, int], tuple[int, int]]:
+    """(row, item) -> fewest edits, end."""
+    best: dict[tuple[int, int], tuple[int, int]] = {}
+    text = data.tobytes().decode("utf-32-le", "replace")
+    words = [t.tobytes().decode("utf-32-le", "replace") for t in items.texts]
+    for i, want in enumerate(words):  # items shorter than a q-gram
         if len(want) < q:
             at = text.find(want)
             while at >= 0:
@@ -194,49 +253,72 @@ def scan(items: Items, data: np.ndarray, borders: np.ndarray, q: int = Q) -> lis
                 a, b = max(low, start), min(high, int(borders[row + 1]))
                 if b - a < len(want) - k or best.get((row, i), (1,))[0] == 0:
                     continue
-                exact = text.find(want, a, b)
+                exact = text.find(words[i], a, b)
                 if exact < 0 and np.isin(items.grams[i], key[a : max(a, b - q + 1)]).sum() < items.bound[i]:
                     continue  # the band counted a q-gram of the text more than once
-                found = (0, exact - a + len(want)) if exact >= 0 else aligned(want, text[a:b], k)
+                found = (0, exact - a + len(want)) if exact >= 0 else aligned(want, data[a:b], k)
                 if found and ((row, i) not in best or found[0] < best[row, i][0]):
                     best[row, i] = (found[0], a + found[1] - start)
-    return [(row, i, e, end) for (row, i), (e, end) in sorted(best.items())]
+    return best
 
 
-def item_passes(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", edits: float = EDITS, item_bytes: int = ITEM_BYTES, q: int = Q) -> Iterator[Items]:
-    """The items in sets of at most item_bytes each, in order of id; a set is read when its turn comes."""
+def item_passes(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", item_chars: int = ITEM_CHARS) -> Iterator[tuple[list, list[np.ndarray]]]:
+    """(ids, normalised texts) of the items in sets of at most item_chars each, in order of id; a set is read when its turn comes."""
     ids: list = []
-    held: list[bytes] = []
+    held: list[np.ndarray] = []
     size = 0
     rows = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(text_col).cast("binary").alias("text")).filter("text IS NOT NULL").orderBy("item_id")
     for row in rows.toLocalIterator():
-        data, borders = normalised(*flat(pa.array([bytes(row.text)], pa.binary())))
-        if size and size + len(data) > item_bytes:
-            yield Items.of(ids, held, edits, q)
+        data, _ = normalised(*flat(pa.array([bytes(row.text)], pa.binary())))
+        if size and size + len(data) > item_chars:
+            yield ids, held
             ids, held, size = [], [], 0
         ids.append(row.item_id)
-        held.append(data.tobytes())
+        held.append(data)
         size += len(data)
     if ids:
-        yield Items.of(ids, held, edits, q)
+        yield ids, held
+
+
+_sets: dict[str, Items] = {}
+
+
+def _readers(benchmark: DataFrame, edits: float, q: int) -> Iterator:
+    """A function for each pass that gives its Items in a worker.
+
+    A set travels as a broadcast value of at most ITEM_CHARS characters, which the driver's Python lets go once it is sent; a worker
+    indexes it once.
+    """
+    for ids, held in item_passes(benchmark):
+        name, sent = uuid.uuid4().hex, benchmark.sparkSession.sparkContext.broadcast((ids, held))
+
+        def read(name=name, sent=sent) -> Items:
+            if name not in _sets:
+                if len(_sets) > 1:
+                    _sets.clear()
+                _sets[name] = Items.of(*sent.value, edits, q)
+            return _sets[name]
+
+        yield read
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: float = EDITS, q: int = Q) -> DataFrame:
     """doc_id, item_id, edits, match_end: a row for each document and each benchmark item that occurs in it.
 
-    An item of m normalised bytes may differ by floor(edits * m) characters, fewer where
+    An item of m normalised characters may differ by floor(edits * m) of them, fewer where
     the bound would fall under two q-grams; items shorter than a q-gram must occur exactly. Null or empty texts
-    and items match nothing. match_end is the end of the best occurrence in the normalised text.
-    Repeated rows of either table repeat their rows. Other columns are not read.
+    and items match nothing. match_end is the end of the best occurrence in the normalised text, the first of equal ones.
+    Repeated rows of either table repeat their rows. A very long text is scanned in overlapping stretches. Other columns are not read.
     The items travel with the tasks in sets of bounded size, one pass over the documents for each set.
     """
     rows = texts(docs, F.col(id_col).cast("long").alias("doc_id"), text_col=text_col)
     schema = "doc_id long, item_id long, edits int, match_end long"
 
-    def one(items: Items) -> DataFrame:
+    def one(read) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            items = read()
             for whole in batches:
-                for b in blocks(whole, 1, 1 << 20):
+                for b in blocks(whole, 1, BLOCK):
                     found = scan(items, *flat(b.column(1)), q)
                     if found:
                         r, i, e, end = (list(x) for x in zip(*found, strict=True))
@@ -245,25 +327,29 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         return rows.mapInArrow(run, schema)
 
     out = None
-    for items in item_passes(benchmark, edits=edits, q=q):
-        out = one(items) if out is None else out.unionByName(one(items))
+    for read in _readers(benchmark, edits, q):
+        out = one(read) if out is None else out.unionByName(one(read))
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", edits: float = EDITS, q: int = Q) -> DataFrame:
-    """The rows of docs, all columns as they are, in which no benchmark item occurs; no shuffle."""
+    """The rows of docs, all columns as they are, in which no benchmark item occurs; no shuffle.
+
+    Rows with a null or empty text stay; repeated rows stay or go together.
+    """
     at = docs.columns.index(text_col)
 
-    def without(rows: DataFrame, items: Items) -> DataFrame:
+    def without(rows: DataFrame, read) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            items = read()
             for whole in batches:
-                for b in blocks(whole, at, 1 << 20):
+                for b in blocks(whole, at, BLOCK):
                     clean = np.ones(b.num_rows, bool)
                     clean[[r for r, *_ in scan(items, *flat(b.column(at)), q)]] = False
                     yield b.filter(pa.array(clean))
 
         return rows.mapInArrow(run, docs.schema)
 
-    for items in item_passes(benchmark, edits=edits, q=q):
-        docs = without(docs, items)
+    for read in _readers(benchmark, edits, q):
+        docs = without(docs, read)
     return docs
