@@ -10,6 +10,7 @@ public_tokenizers = pytest.importorskip("public_tokenizers")
 from sentencepiece import SentencePieceProcessor  # noqa: E402
 from tokenizers import Tokenizer  # noqa: E402
 
+from weftgraph.llm import sentencepieces, token_counts as counting  # noqa: E402
 from weftgraph.llm.sentencepieces import ChunkTable, encode_decode, encode_digests  # noqa: E402
 from weftgraph.llm.token_counts import PrefixCounter, token_counts, token_prefixes  # noqa: E402
 
@@ -33,13 +34,24 @@ def library():
 
 
 def test_chunks_equal_library(pieces):
-    table = ChunkTable(PIECES, limit=300)
+    table = ChunkTable(PIECES, limit=300_000)
     found = noise(3000, 1)
     for k in range(0, len(found), 100):
         part = found[k : k + 100]
         got = [list(struct.unpack(f"<{len(b) // 4}I", b)) for b in table.encode(part)]
         assert got == [[1, *pieces.encode(t), 2] for t in part]
-    assert len(table.known) <= 300 + 2500 and not table.whole
+    assert table.held <= 300_000 + 100 * 24 * 500 and not table.whole and max(map(len, table.known)) <= sentencepieces.LONG
+    assert table.encode(["y" * 500 + " a"]) == [struct.pack(f"<{len(x)}I", *x) for x in [[1, *pieces.encode("y" * 500 + " a"), 2]]]
+
+
+def test_long_texts_by_parts(pieces, monkeypatch):
+    for part in (2, 7, 60):
+        monkeypatch.setattr(sentencepieces, "PIECE", part)
+        table = ChunkTable(PIECES)
+        for t in noise(300, 5) + [" ".join(noise(60, 6))]:
+            ids = table.encode([t])[0]
+            want = [1, *pieces.encode(t), 2]
+            assert list(struct.unpack(f"<{len(ids) // 4}I", ids)) == want and table.decode(ids) == pieces.decode(want), repr(t)
 
 
 def test_encode_documents(spark, sf, pieces):
@@ -74,6 +86,17 @@ def test_every_prefix(library):
     assert counter.truncate("hello world again", 2) == 11
 
 
+@pytest.mark.parametrize("piece", [1 << 19, 5])
+def test_truncate(library, monkeypatch, piece):
+    monkeypatch.setattr(counting, "PIECE", piece)
+    counter = PrefixCounter(BYTES)
+    for t in noise(150, 8) + [" ".join(noise(20, 9)), "a b" + " " * 40 + "c d", "word " * 30]:
+        every = [len(library.encode(t[:i], add_special_tokens=False).ids) for i in range(len(t) + 1)]
+        assert counter.count(t) == every[-1]
+        for budget in (0, 1, 2, 3, 5, 8, 13, 40):
+            assert counter.truncate(t, budget) == max(i for i, n in enumerate(every) if n <= budget), (t, budget)
+
+
 def test_pairs_fit(library):
     counter, rng = PrefixCounter(BYTES), random.Random(4)
     tokens = [t for t in rng.sample(sorted(counter.bytes_of), 600) if counter.own(t)]
@@ -86,7 +109,12 @@ def test_count_documents(spark, sf, odd, none, library):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     for df in (docs, odd):
         want = sorted((str(r.doc_id), len((r.text or "").encode()), n := len(library.encode(r.text or "", add_special_tokens=False).ids), n > 1024) for r in df.collect())
-        assert sorted((str(r.doc_id), r.n_bytes, r.n_tokens, r.over_limit) for r in token_counts(df, BYTES).collect()) == want
+        rows = token_counts(df, BYTES, limit=1024).collect()
+        assert sorted((str(r.doc_id), r.n_bytes, r.n_tokens, r.over_limit) for r in rows) == want
+        texts = {r.doc_id: r.text or "" for r in df.collect()}
+        for r in rows:
+            count = lambda i, t=texts[r.doc_id]: len(library.encode(t[:i], add_special_tokens=False).ids)
+            assert (r.cut_at_limit == len(texts[r.doc_id])) if not r.over_limit else count(r.cut_at_limit) <= 1024 < min(count(r.cut_at_limit + k) for k in range(1, 9))
     assert token_counts(none, BYTES).count() == 0
 
 

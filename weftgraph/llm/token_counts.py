@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,13 +24,15 @@ from .arrays import blocks
 from .tables import texts
 
 LIMIT = 1024
-#: Words and token pairs that a task remembers; beyond, a table starts anew.
-WORDS, PAIRS = 400_000, 1_000_000
+#: Bytes of words that a task remembers, ENTRY for each besides, and token pairs; beyond, a table starts anew. Longer words are not remembered.
+WORDS, ENTRY, LONG, PAIRS = 60 << 20, 150, 64, 1_000_000
+#: Characters of a text that are worked on at once.
+PIECE = 1 << 19
 #: Fixed value: the pattern by which byte-level models split text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 #: Letters from here on may be unassigned in one Unicode table and not in another.
-RARE, BLANKS = regex.compile("[^\x00-\u052f\u2010-\u2027\u20a0-\u20b0\u3041-\u3096\u4e00-\u9fa5]"), regex.compile(r"\s*")
+RARE, BLANKS, BORDER = regex.compile("[^\x00-\u052f\u2010-\u2027\u20a0-\u20b0\u3041-\u3096\u4e00-\u9fa5]"), regex.compile(r"\s*"), regex.compile(r"(?<=\S) (?=\S)")
 
 
 def byte_letters() -> dict[str, int]:
@@ -66,7 +67,7 @@ class PrefixCounter:
 
         self.library = Tokenizer.from_file(path).pre_tokenizer
         self.longest = max(map(len, self.id_of))
-        self.words, self.fits, self.whole = {}, {}, {}
+        self.words, self.fits, self.whole, self.held = {}, {}, {}, 0
         self.split = regex.compile(PATTERN)
         self.cut = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
 
@@ -149,22 +150,26 @@ class PrefixCounter:
                 break
         return word, count, last
 
-    def learn(self, words: Iterable[str]) -> None:
-        """Tables of new words in byte order, so that each goes on from the prefix it shares with the one before."""
-        if len(self.words) > WORDS:
-            self.words.clear()
-        table = None
+    def learn(self, words: Iterable[str]) -> dict[str, int]:
+        """Counts of words at their last prefixes, in byte order so that each table goes on from the prefix it shares with the one before; short ones are remembered."""
+        table, out = None, {}
         for data, word in sorted((w.encode(), w) for w in words):
             table = self._table(data, table)
-            self.words[word] = table[1][-1]
+            out[word] = table[1][-1]
+        if self.held > WORDS:
+            self.words, self.held = {}, 0
+        kept = {w: n for w, n in out.items() if len(w) <= LONG}
+        self.words.update(kept)
+        self.held += sum(ENTRY + len(w) for w in kept)
+        return out
 
     def total(self, word: str) -> int:
         """The count at a word's last prefix, remembered."""
         known = self.words.get(word)
-        if known is None:
-            self.learn([word])
-            known = self.words[word]
-        return known
+        return self.learn([word])[word] if known is None else known
+
+    def totals(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.total, words), np.int64, len(words))
 
     def cut_up(self, text: str) -> list[str]:
         """The words to be merged one by one; the library itself splits texts with letters that are newer in one of two Unicode tables."""
@@ -184,15 +189,27 @@ class PrefixCounter:
 
     def counts(self, found: list[str]) -> list[int]:
         """The tokens of each text: the sum of its words' last prefixes, and one for each special string."""
+        if len(found) == 1 and len(found[0]) > PIECE:
+            return [sum(self._counts([x])[0] for x in self.pieces(found[0]))]
+        return self._counts(found)
+
+    def _counts(self, found: list[str]) -> list[int]:
         split = [[(self.cut_up(part), 0) if not special else ([], 1) for part, special in self.parts(t)] for t in found]
-        self.learn(set().union(*(w for x in split for w, _ in x)).difference(self.words))
-        known, out = self.words, []
-        for x in split:
-            try:
-                out.append(sum(sum(map(known.__getitem__, w)) + special for w, special in x))
-            except KeyError:  # the table started anew
-                out.append(sum(sum(map(self.total, w)) + special for w, special in x))
-        return out
+        wanted = set().union(*(w for x in split for w, _ in x))
+        known = {w: n for w in wanted if (n := self.words.get(w)) is not None}
+        known |= self.learn(wanted.difference(known))
+        return [sum(sum(map(known.__getitem__, w)) + special for w, special in x) for x in split]
+
+    def pieces(self, text: str) -> Iterator[str]:
+        """The text in pieces of about PIECE characters, cut before single blanks between other characters, where words always begin."""
+        start = 0
+        while len(text) - start > PIECE and not any(" " in s for s in self.special):
+            cut = BORDER.search(text, start + PIECE)
+            if not cut:
+                break
+            yield text[start : cut.start()]
+            start = cut.start()
+        yield text[start:]
 
     def count(self, text: str) -> int:
         return self.counts([text])[0]
@@ -237,8 +254,33 @@ class PrefixCounter:
         return np.array(out, np.int64)
 
     def truncate(self, text: str, budget: int) -> int:
-        """The most characters of the text that have at most `budget` tokens."""
-        return int(np.flatnonzero(self.every_prefix(text) <= budget)[-1])
+        """The most characters of the text that have at most `budget` tokens.
+
+        Only the prefix tables about the word at which the budget ends are made: whole words before it count as they stand.
+        """
+        base = at = 0
+        for piece in self.pieces(text):
+            n = self.count(piece)
+            if base + n > budget:
+                break
+            base, at = base + n, at + len(piece)
+        else:
+            return len(text)
+        # the words of this piece and of the start of the next, as the end of a prefix may be cut otherwise
+        part = text[at : at + len(piece)]
+        borders, counts = [0], [0]
+        for x, special in self.parts(part):
+            words = [x] if special else self.cut_up(x)
+            borders += [borders[-1] + e for e in np.cumsum([len(w) for w in words]).tolist()]
+            counts += [counts[-1] + e for e in ([1] if special else np.cumsum(self.totals(words)).tolist())]
+        over = int(np.searchsorted(counts, budget - base, "right"))  # the first border over the budget
+        low, high = max(0, over - 4), min(len(borders) - 1, over + 4)
+        blank = lambda k: not part[borders[k] : borders[k + 1]].strip() or part[borders[k] - 1 : borders[k]].isspace()
+        while low > 0 and blank(low):  # blanks before are one word with those after, if the text ends there
+            low -= 1
+        tail = text[at + borders[low] : at + borders[high]]
+        prefix = self.every_prefix(tail) + base + counts[low]
+        return at + borders[low] + int(np.flatnonzero(prefix <= budget)[-1])
 
 
 _counters: dict[str, PrefixCounter] = {}
@@ -252,26 +294,34 @@ def counter_of(path: str) -> PrefixCounter:
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit): one row per input row.
+    """doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit), cut_at_limit (characters of the longest prefix within the limit): one row per input row.
 
     Null counts as empty, which has no token. Special strings in a text are one token each. Repeated rows return
-    repeated rows; other columns are not read. The model file must be at the same path on every executor.
+    repeated rows; other columns are not read. A very long text is worked on piece by piece. The model file must be at the same path on every executor.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = counter_of(path)
         for whole in batches:
             for b in blocks(whole, 2, 8 << 20):
-                n = counter.counts(b.column(2).to_pylist())
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
+                found = b.column(2).to_pylist()
+                n = counter.counts(found)
+                cut = [len(t) if k <= limit else counter.truncate(t, limit) for t, k in zip(found, n, strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_()), pa.array(cut, pa.int64())], ["doc_id", "n_bytes", "n_tokens", "over_limit", "cut_at_limit"]
+                )
 
     size = F.octet_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("n_bytes")
     rows = texts(docs, F.col(id_col).cast("long").alias("doc_id"), size, text_col=text_col, as_bytes=False)
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, cut_at_limit long")
 
 
 def token_prefixes(docs: DataFrame, path: str, budgets: tuple[int, ...] = (LIMIT,), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, prefix_tokens (the count at every prefix, by characters), cuts (the longest prefix within each budget, in characters)."""
+    """doc_id, prefix_tokens (the count at every prefix, by characters), cuts (the longest prefix within each budget, in characters).
+
+    Null counts as empty, whose only prefix has no token. Repeated rows return repeated rows; equal texts have equal tables. A table has a
+    number for each character, so it is several times its text. Other columns are not read.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = counter_of(path)
@@ -280,7 +330,7 @@ def token_prefixes(docs: DataFrame, path: str, budgets: tuple[int, ...] = (LIMIT
                 tables = [counter.every_prefix(t) for t in b.column(1).to_pylist()]
                 cuts = [[int(np.flatnonzero(t <= k)[-1]) for k in budgets] for t in tables]
                 borders = np.r_[0, np.cumsum([len(t) for t in tables])]
-                lists = pa.ListArray.from_arrays(pa.array(borders, pa.int32()), pa.array(np.fromiter(chain.from_iterable(tables), np.int32)))
+                lists = pa.ListArray.from_arrays(pa.array(borders, pa.int32()), pa.array(np.concatenate(tables).astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([b.column(0), lists, pa.array(cuts, pa.list_(pa.int64()))], ["doc_id", "prefix_tokens", "cuts"])
 
     rows = texts(docs, F.col(id_col).cast("long").alias("doc_id"), text_col=text_col, as_bytes=False)
