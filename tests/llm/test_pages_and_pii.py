@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -50,6 +51,31 @@ def test_whole_article(source, text):
     assert page.text(page.best()[0]) == text
 
 
+@pytest.mark.parametrize(
+    "source,text",
+    [
+        ('<a "' * 200_000, '<a "' * 200_000),
+        ("<a " * 300_000, ("<a " * 300_000).strip()),
+        ("<div>" * 50_000 + "deep", "deep"),
+        ("<pre>" * 50_000 + "<p>x" + "</b>" * 50_000, "x"),
+        ("<p>x</p>" + "<li><b class=ad>" * 20_000 + "</nav>" * 20_000, "x"),
+        ("<p>x</p>" + "<!x " * 100_000, "x\n" + ("<!x " * 100_000).strip()),
+        ("<p>x" + "<!--" * 100_000, "x"),
+        ("<p>x" + "<![CDATA[y" * 3, "x y<![CDATA[y<![CDATA[y".replace("x y", "xy")),
+    ],
+)
+def test_time_grows_with_length(source, text):
+    start = time.process_time()
+    page = html_text.Page.of(source)
+    assert page.text(page.best()[0]) == text
+    assert time.process_time() - start < 5
+
+
+def test_all_classes_count():
+    one = html_text.Page.of(f"<div class='a b c d e1'>{BODY}</div><div class='a b c d f2'><p>other</p></div>")
+    assert one.best()[0] == ">div.a.b.c.d.e#" and one.text(">div.a.b.c.d.f#") == "other"
+
+
 @pytest.mark.parametrize("hosts", [html_text.HOSTS, 0])
 def test_host_consensus(spark, hosts):
     """A short page's own best container is a list of links' neighbour; its host's path wins over it."""
