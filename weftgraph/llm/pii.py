@@ -1,6 +1,6 @@
 """Personal data replaced by format-preserving Feistel pseudonyms, in DataFrame functions alone.
 
-Numbers that validate (cards by Luhn, IBANs by mod 97, social security numbers, IP addresses, phone
+Numbers that validate (cards by issuer and Luhn, IBANs by mod 97, social security numbers, IP addresses, phone
 numbers, calendar dates), mail addresses and credentials are permuted within their format by a Feistel network
 keyed with SHA-256. A permutation has no collisions, so equal values get equal pseudonyms in every document and different
 values different ones; separators, lengths, check digits and domains of addresses stay valid.
@@ -36,6 +36,11 @@ def _iban() -> str:
     return rf"\b(?:{listed}|(?!{names})[A-Z]{{2}}[0-9]{{2}}(?:[ ]?[A-Z0-9]{{4}}){{2,7}}(?:[ ]?[A-Z0-9]{{1,3}})?)\b"
 
 
+#: The numbers that card issuers give, by their first digits and length.
+ISSUED = (
+    "^(?:4(?:[0-9]{12}|[0-9]{15}|[0-9]{18})|(?:5[1-5][0-9]{2}|222[1-9]|22[3-9][0-9]|2[3-6][0-9]{2}|27[01][0-9]|2720)[0-9]{12}|3[47][0-9]{13}|(?:30[0-5][0-9]|3095|36[0-9]{2}|3[89][0-9]{2})[0-9]{10,15}"
+    "|(?:6011|64[4-9][0-9]|65[0-9]{2}|62[0-9]{2}|81[0-9]{2}|220[0-4]|352[89]|35[3-8][0-9])[0-9]{12,15}|(?:5018|5020|5038|5893|6304|6759|676[1-3])[0-9]{9,15})$"
+)
 #: How often the text beside failed numbers is looked through again.
 AGAIN = 3
 #: The formats, in order of preference where two could start at one place.
@@ -196,10 +201,15 @@ def _day(value: Column, kind: Column) -> Column:
     return F.datediff(F.try_to_date(_iso(value, kind), "yyyy-MM-dd"), F.lit(FIRST_DAY).cast("date"))
 
 
+def issued(digits: Column) -> Column:
+    """True for the digits of a card: an issuer's number that passes Luhn."""
+    return F.when(digits.rlike(ISSUED), luhn(digits) == 0).otherwise(False)
+
+
 def valid_part(value: Column) -> Column:
     """The longest start of a match, up to a blank or dash, that is a valid card; else the match."""
     end = lambda n: F.regexp_extract(value, rf"^((?:[0-9][ -]?){{{n - 1}}}[0-9])(?![0-9])", 1)
-    starts = F.filter(F.array(*(end(n) for n in range(19, 12, -1))), lambda x: (x != "") & (luhn(F.regexp_replace(x, "[^0-9]", "")) == 0))
+    starts = F.filter(F.array(*(end(n) for n in range(19, 12, -1))), lambda x: let(F.regexp_replace(x, "[^0-9]", ""), issued))
     return F.when(value.rlike(f"^(?:{FORMATS['card']})$"), F.coalesce(F.get(starts, F.lit(0)), value)).otherwise(value)
 
 
@@ -212,7 +222,7 @@ def kind_of(value: Column) -> Column:
     octets = F.forall(F.split(value, r"\."), lambda x: x.cast("int") <= 255)
     area, group, serial = F.substring(digits, 1, 3), F.substring(digits, 4, 2), F.substring(digits, 6, 4)
     valid = (
-        F.when(shape == "card", luhn(digits) == 0)
+        F.when(shape == "card", issued(digits))
         .when(shape == "iban", F.length(joined).between(15, 34) & (mod97(F.concat(F.substr(joined, F.lit(5)), F.substring(joined, 1, 4))) == 1))
         .when(shape == "ip", octets)
         .when(date, _day(value, shape).between(0, DAYS[0] * DAYS[1] - 1))
@@ -228,13 +238,16 @@ def pseudonym(value: Column, kind: Column, key: str) -> Column:
     digits = F.regexp_replace(value, "[^0-9]", "")
     n = F.length(digits)
     mail = F.split(value, "@")
-    email = F.concat(letters_permuted(mail[0], key, "email"), F.lit("@"), mail[1])
+    # the case of letters doesn't tell addresses apart, so it stays
+    cased = lambda a, b: F.when(a.rlike("^[A-Z]$"), F.upper(b)).otherwise(b)
+    local = F.array_join(F.zip_with(F.split(mail[0], ""), F.split(letters_permuted(F.lower(mail[0]), key, "email"), ""), cased), "")
+    email = F.concat(local, F.lit("@"), mail[1])
     access = F.concat(F.lit("AKIA"), letters_permuted(F.substr(value, F.lit(5)), key, "access"))
     before = F.regexp_extract(value, rf"""^({SECRET_NAME}(?:\\{{0,3}}["'])?)""", 1)
     after = F.regexp_extract(value, "([^0-9A-Za-z]*+)$", 1)  # such as the end of a sentence
     secret = F.concat(before, letters_permuted(F.substr(value, F.length(before) + 1, F.length(value) - F.length(before) - F.length(after)), key, "secret", hexed=True), after)
-    # the first digit stays, the check digit follows
-    body = F.concat(F.substring(digits, 1, 1), digits_permuted(F.substr(digits, F.lit(2), n - 2), key, "card"))
+    # the issuer's digits stay, the check digit follows
+    body = F.concat(F.substring(digits, 1, 4), digits_permuted(F.substr(digits, F.lit(5), n - 5), key, "card"))
     card = let(body, lambda b: refilled(value, F.concat(b, ((10 - luhn(F.concat(b, F.lit("0")))) % 10).cast("string")), "0-9"))
     joined = F.regexp_replace(value, "[^A-Z0-9]", "")
     account = letters_permuted(F.substr(joined, F.lit(5)), key, "iban")
@@ -293,7 +306,7 @@ def _pieces(text: Column) -> Column:
 def pseudonymised(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_found, found (array of kind, pseudonym in text order), text: one row per input row.
 
-    Matches that don't validate stay as they are and aren't counted. Null counts as empty. The
+    Matches that don't validate stay as they are and aren't counted. Null counts as empty; a very long text is one value of the JVM, as it came. The
     same key gives the same pseudonyms in every run; without it they can't be undone. A day has one pseudonym in all
     layouts; a date with slashes is read month first where it can be, so a day-first one may be taken for another day. Repeated rows return repeated rows. Other columns are not read.
     """
