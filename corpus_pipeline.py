@@ -1,7 +1,8 @@
 """A training-corpus pipeline: documents that toxicity rejects go, then exact copies, near copies and contaminated ones; the rest is encoded.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the
-last return the columns of documents. Rows with a null doc_id are never taken for copies.
+last return the columns of documents. Rows with a null doc_id are never taken for copies. Null and empty texts are texts like any other:
+equal to each other, fingerprint zero, neither toxic nor contaminated unless the model or an item says so.
 """
 
 from __future__ import annotations
@@ -19,7 +20,10 @@ from weftgraph.llm.toxicity import drop_toxic, fit_toxicity
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score under the threshold, by a model that learns from the labelled ones of these docs."""
+    """Documents that score under the threshold, by a model that learns from the labelled ones of these docs.
+
+    Null and empty texts score alike, by the bias alone; repeated rows stay or go together; no docs, or no labels: none go.
+    """
     return drop_toxic(docs, fit_toxicity(docs, load(spark, sf_dir, "labels")))
 
 
@@ -37,7 +41,10 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document that each group of linked fingerprints is named after."""
+    """The document that each group of linked fingerprints is named after.
+
+    Null and blank texts are one group. Rows without an id stay; of an id with several texts only those of a fingerprint that goes do.
+    """
     gone = simhash_groups(docs).filter("doc_id <> component_id").select("doc_id", "fingerprint")
     if not _repeated(docs):
         return docs.join(gone.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
@@ -48,12 +55,12 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark item occurs."""
+    """Documents in which no benchmark item occurs; null and empty texts stay, repeated rows stay or go together."""
     return drop_contaminated(docs, load(spark, sf_dir, "benchmark"))
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, ids with begin and end, and the text they decode to."""
+    """doc_id, ids with begin and end, and the text they decode to; null and empty texts have those two ids, repeated rows a row each."""
     return encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
@@ -70,9 +77,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = load(spark, sf_dir, "documents")
+    """All stages over documents; a stage's table goes when its successor's is whole."""
+    docs, before = load(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
         if name != STAGES[-1][0]:
-            docs = written(docs)
+            docs = before = written(docs, before)
     return docs

@@ -49,3 +49,32 @@ def test_without_optional_operators(tmp_path):
     shutil.copy(os.path.join(REPO, "__spark_entry__.py"), tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'search_regex' in q and 'pipeline' not in q and not any(k.startswith('op1_') for k in q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={**os.environ, "PYTHONPATH": str(tmp_path)})
+
+
+def test_with_a_missing_dependency(tmp_path):
+    """Where what the training-data operators depend on is missing, they alone are left out."""
+    import shutil
+
+    shutil.copytree(os.path.join(REPO, "weftgraph"), tmp_path / "weftgraph", ignore=shutil.ignore_patterns("__pycache__"))
+    for name in ("__spark_entry__.py", "corpus_pipeline.py"):
+        if os.path.exists(os.path.join(REPO, name)):
+            shutil.copy(os.path.join(REPO, name), tmp_path)
+    (tmp_path / "public_tokenizers.py").write_text("raise ModuleNotFoundError('gone', name='public_tokenizers')")
+    code = "import __spark_entry__ as e; q = e.queries(); assert 'search_regex' in q and 'pipeline' not in q and e.oracle_sql()"
+    subprocess.run([sys.executable, "-W", "ignore", "-c", code], cwd=tmp_path, check=True, env={**os.environ, "PYTHONPATH": str(tmp_path)})
+
+
+def test_tables_are_shared_and_forgotten(spark):
+    from types import SimpleNamespace
+
+    from weftgraph.plans.lineage import forget, shared_dir, written
+
+    first = written(spark.range(10))
+    path = first._weftgraph_path.removeprefix("file://")
+    second = written(first.filter("id > 4"), first)
+    assert second.count() == 5 and not os.path.exists(path)
+    forget(second)
+    forget(spark.range(1))
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master="spark://one:7077"))
+    with pytest.raises(RuntimeError):
+        shared_dir(cluster)
