@@ -32,7 +32,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = large.filter("a <> b")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
-        edges = written(small.filter("a <> b").distinct())
+        edges = written(small.filter("a <> b").distinct(), edges)
         now = _mark(edges)
         if now == before:
             nodes = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.plans.lineage import shared_dir, written
+from weftgraph.plans.lineage import forget, shared_dir, written
 
-__all__ = ["fold", "load", "shared_dir", "texts", "written"]
+__all__ = ["fold", "forget", "load", "shared_dir", "texts", "written"]
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
