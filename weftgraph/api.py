@@ -9,21 +9,42 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions import timestamps
 from weftgraph.operators import audit, mutate, order, rank, search, summary, text, traverse, walk
+from weftgraph.plans.lineage import forget, written
 from weftgraph.schema import PAGE_CHARS, GraphError, GraphState
 from weftgraph.sources import plaintext
 
 ENTITY = ("name", "entity_type", "observations", "mtime", "obs_mtime")
 RELATION = ("src", "dst", "rel_type", "mtime")
+#: Logged visits, in tables, before they are folded into the ranks.
+LOG = 32
 
 
 class Graph:
     """Create, read, update, delete and analyse a property graph. Batches are applied whole or not at all.
 
-    Searches and neighbourhoods count one visit for all that they found, not only for the page returned.
+    Searches and neighbourhoods count one visit for all that they found, not only for the page returned. Visits are logged, a small table
+    a call; ranks read the log with the base, and it is folded into the base by the next change of the ranks or when it has LOG tables.
+    A change writes the tables that it changes, no others, and drops what they replace.
     """
 
     def __init__(self, spark: SparkSession, state: GraphState | None = None, clock=lambda: int(time.time() * 1000)):
-        self.spark, self.state, self.clock = spark, state or GraphState.empty(spark), clock
+        self.spark, self.clock = spark, clock
+        self.state = state or GraphState.empty(spark)
+
+    @property
+    def state(self) -> GraphState:
+        """The graph as it is, logged visits included."""
+        if self._seen is None:
+            names = self._log[0] if self._log else None
+            for more in self._log[1:]:
+                names = names.unionByName(more)
+            ranks = self._base.ranks if names is None else rank.record_visits(self._base.ranks, names)
+            self._seen = GraphState(self._base.entities, self._base.relations, ranks)
+        return self._seen
+
+    @state.setter
+    def state(self, state: GraphState) -> None:
+        self._base, self._log, self._seen = state, [], None
 
     # changes
 
@@ -33,8 +54,9 @@ class Graph:
     def create_entities(self, entities: list[dict]) -> list[dict]:
         batch = self._rows([(e["name"], e["entityType"], list(e.get("observations", []))) for e in entities], "name string, entity_type string, observations array<string>")
         state, new = mutate.create_entities(self.state, batch, self.clock())
+        found = [r.asDict() for r in new.orderBy("seq").select("name", "entity_type", "observations").collect()]
         self._take(state)
-        return [r.asDict() for r in new.orderBy("seq").select("name", "entity_type", "observations").collect()]
+        return found
 
     def create_relations(self, relations: list[dict]) -> list[dict]:
         batch = self._rows([(r["from"], r["to"], r["relationType"]) for r in relations], "src string, dst string, rel_type string")
@@ -74,15 +96,20 @@ class Graph:
         number = lambda df: df.withColumn("place", F.monotonically_increasing_id())
         state, made = mutate.create_entities(self.state, number(entities), self.clock())
         state, linked = mutate.create_relations(state, number(relations), self.clock())
-        counts = {"entities": made.count(), "relations": linked.count()}
+        answer = {**stats.first().asDict(), "entities": made.count(), "relations": linked.count()}
         self._take(state)
-        return {**stats.first().asDict(), **counts}
+        return answer
 
     def _take(self, state: GraphState) -> None:
-        """Cut the lineage, so that plans don't grow with the number of calls."""
-        from weftgraph.plans.lineage import written
-
-        self.state = GraphState(written(state.entities), written(state.relations), written(state.ranks))
+        """Write what has changed, which cuts its lineage, and drop what it replaces."""
+        old, base = self.state, self._base
+        parts = {n: getattr(base, n) if getattr(state, n) is getattr(old, n) else written(getattr(state, n)) for n in ("entities", "relations", "ranks")}
+        gone = [getattr(base, n) for n, df in parts.items() if df is not getattr(base, n)]
+        if parts["ranks"] is not base.ranks:
+            gone, self._log = gone + self._log, []
+        self._base, self._seen = GraphState(**parts), None
+        for df in gone:
+            forget(df)
 
     def resample(self, steps: int = 50, iterations: int = rank.MOST) -> None:
         """Structural visits and psi anew, psi from where it was."""
@@ -94,58 +121,71 @@ class Graph:
         self._take(GraphState(self.state.entities, self.state.relations, ranks))
 
     def _visit(self, names: DataFrame) -> None:
-        from weftgraph.plans.lineage import written
-
-        self.state.ranks = written(rank.record_visits(self.state.ranks, names.select("name")))
+        """Log one visit for each row of names, a table of its own."""
+        self._log.append(names)
+        self._seen = None
+        if len(self._log) >= LOG:
+            old = self.state
+            self._take(GraphState(old.entities, old.relations, old.ranks.select("*")))
 
     # reading
 
-    def _page(self, items: DataFrame, keys, columns, cursor: int, limit: int = PAGE_CHARS) -> dict:
-        rows = order.page(items, keys, order.item_json(*columns), cursor, limit).orderBy("position").collect()
+    def _page(self, items: DataFrame, keys, json, cursor: int, limit: int = PAGE_CHARS) -> dict:
         total = items.count()
+        rows = order.page(items, keys, json, cursor, limit, total).orderBy("position").collect()
         end = cursor + len(rows)
         return {"items": [r["json"] for r in rows], "nextCursor": end if rows and end < total else None, "totalCount": total}
 
+    def _timed(self, found: DataFrame) -> DataFrame:
+        """Times of zero are as missing ones."""
+        return found.withColumns({c: F.when(F.col(c) > 0, F.col(c)).alias(c) for c in ("mtime", "obs_mtime")})
+
     def _entities(self, found: DataFrame, sort_by, sort_dir, cursor) -> dict:
-        zero = lambda c: F.when(F.col(c) != 0, F.col(c)).alias(c)
-        ranked = order.ranked(found.withColumns({c: zero(c) for c in ("mtime", "obs_mtime")}), self.state.ranks)
-        return self._page(ranked, order.sort_columns(sort_by, sort_dir), [c for c in ENTITY if c in found.columns], cursor)
+        ranked = order.ranked(self._timed(found), self.state.ranks)
+        return self._page(ranked, order.sort_columns(sort_by, sort_dir), order.item_json(*(c for c in ENTITY if c in found.columns)), cursor)
 
     def search_nodes(self, query: str, direction="forward", sort_by="llmrank", sort_dir=None, entity_cursor=0, relation_cursor=0) -> dict:
-        found, among = search.search(self.state.entities, self.state.relations, query, direction)
-        answer = {"entities": self._entities(found, sort_by, sort_dir, entity_cursor), "relations": self._page(among, [F.col("seq")], RELATION, relation_cursor)}
+        names = written(search.search_entities(self.state.entities, query).select("name"))  # matched once, for the answer and the visits
+        found = self.state.entities.join(names, "name", "left_semi")
+        among = search.relations_among(self.state.relations, names, direction)
+        answer = {"entities": self._entities(found, sort_by, sort_dir, entity_cursor), "relations": self._page(among, [F.col("seq")], order.item_json(*RELATION), relation_cursor)}
         hint = search.words_hint(query, answer["entities"]["totalCount"], answer["relations"]["totalCount"])
         if hint:
+            forget(names)
             raise GraphError(hint)
-        self._visit(found)
+        self._visit(names)
         return answer
 
     def open_nodes(self, names: list[str], direction="forward", entity_cursor=0, relation_cursor=0) -> dict:
         found, edges = search.open_nodes(self.state.entities, self.state.relations, names, direction)
         place = F.array_position(F.lit(names), F.col("name"))
-        answer = {"entities": self._page(found, [place], ENTITY, entity_cursor), "relations": self._page(edges, [F.col("seq"), F.desc("direction")], RELATION, relation_cursor)}
-        self._visit(found)
+        answer = {
+            "entities": self._page(self._timed(found), [place], order.item_json(*ENTITY), entity_cursor),
+            "relations": self._page(edges, [F.col("seq"), F.desc("direction")], order.item_json(*RELATION), relation_cursor),
+        }
+        self._visit(written(found.select("name")))
         return answer
 
     def get_neighbors(self, name: str, depth=1, direction="forward", sort_by="llmrank", sort_dir=None, cursor=0) -> dict:
-        found = traverse.neighbours(self.state.entities, self.state.relations, name, depth, direction)
+        found = written(traverse.neighbours(self.state.entities, self.state.relations, name, depth, direction))
         answer = self._entities(found.drop("depth"), sort_by, sort_dir, cursor)
-        self._visit(found)
+        self._visit(written(found.select("name"), found))
         return answer
 
     def find_path(self, source: str, target: str, max_depth=5, direction="forward", budget: int | None = None, cursor=0) -> dict:
+        budget = traverse.memory_budget(self.spark) if budget is None else budget
         found = traverse.find_path(self.state.entities, self.state.relations, source, target, max_depth, direction, budget)
-        answer = self._page(found.path, [F.col("hop")], RELATION, cursor) | {"targetReached": found.reached, "budgetExhausted": found.exhausted}
+        answer = self._page(found.path, [F.col("hop")], order.item_json(*RELATION), cursor) | {"targetReached": found.reached, "budgetExhausted": found.exhausted}
         return answer if found.reached else answer | {"farthestDiscovered": found.farthest, "note": traverse.path_note(found, target)}
 
     def get_entities_by_type(self, entity_type: str, sort_by="llmrank", sort_dir=None, cursor=0) -> dict:
         return self._entities(search.by_type(self.state.entities, entity_type), sort_by, sort_dir, cursor)
 
     def get_entity_types(self, cursor=0) -> dict:
-        return self._page(summary.entity_types(self.state.entities), [F.col("entity_type")], ["entity_type"], cursor)
+        return self._page(summary.entity_types(self.state.entities), [F.col("entity_type")], order.string_json("entity_type"), cursor)
 
     def get_relation_types(self, cursor=0) -> dict:
-        return self._page(summary.relation_types(self.state.relations), [F.col("rel_type")], ["rel_type"], cursor)
+        return self._page(summary.relation_types(self.state.relations), [F.col("rel_type")], order.string_json("rel_type"), cursor)
 
     def get_stats(self) -> dict:
         return summary.stats(self.state.entities, self.state.relations).first().asDict()
@@ -156,7 +196,11 @@ class Graph:
 
     def validate_graph(self, missing_cursor=0, violations_cursor=0) -> dict:
         missing = audit.missing_endpoints(self.state.entities, self.state.relations)
-        return {"missingEntities": self._page(missing, [F.col("name")], ["name"], missing_cursor), "observationViolations": self._page(audit.violations(self.state.entities), [F.col("name")], ["name", "count", "oversized"], violations_cursor)}
+        broken = audit.violations(self.state.entities).select(F.col("name").alias("entity"), "count", F.col("oversized").alias("oversizedObservations"))
+        return {
+            "missingEntities": self._page(missing, [F.col("name")], order.string_json("name"), missing_cursor),
+            "observationViolations": self._page(broken, [F.col("entity")], order.item_json("entity", "count", "oversizedObservations"), violations_cursor),
+        }
 
     def decode_timestamp(self, timestamp: int | None = None, relative=False) -> dict:
         now = self.clock()

@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftgraph.operators.running import running
+
 #: What a regression must exceed, and the window and limits of drift.
 LEAST_CYCLES, LEAST_SHARE, DRIFT_WINDOW, DRIFT_SHARE = 40.0, 0.05, 20, 0.10
+#: Samples of one key that one task looks at together.
+DRIFT_BLOCK = 10_000
 
 
 def distributions(samples: DataFrame, key: str = "op", value: str = "value") -> DataFrame:
@@ -14,19 +18,26 @@ def distributions(samples: DataFrame, key: str = "op", value: str = "value") ->
 
     Places come from counting distinct values, not from gathering a key's samples.
     """
-    counts = samples.filter(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("k"))
-    order = Window.partitionBy(key).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    counts = counts.withColumn("upto", F.sum("k").over(order))
     basic = samples.groupBy(key).agg(F.count(value).alias("n"), F.min(value).alias("least"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"))
-    joined = counts.join(basic.select(key, "n"), key)
+    joined = _places(samples, key, value).join(basic.select(key, "n"), key)
     at = lambda p: F.min(F.when(F.col("upto") > F.least(F.floor(F.col("n") * p), F.col("n") - 1), F.col(value)))
     places = joined.groupBy(key).agg(at(0.5).alias("p50"), at(0.9).alias("p90"), at(0.99).alias("p99"))
     cv = F.when(F.col("mean") != 0, F.coalesce("sd", F.lit(0.0)) / F.col("mean")).otherwise(0.0)
     return basic.join(places, key).select(key, "n", "least", "p50", "p90", "p99", "mean", cv.alias("cv"), (cv / F.sqrt("n")).alias("re"))
 
 
+def _places(samples: DataFrame, key: str, value: str) -> DataFrame:
+    """key, value, upto: how many samples of the key are no larger; a row for each distinct value."""
+    counts = samples.filter(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("k"))
+    return running(counts, [key], [value], upto="k")
+
+
 def medians(runs: DataFrame, key: str = "op", value: str = "value") -> DataFrame:
-    return runs.groupBy(key).agg(F.median(value).alias("median"))
+    """key, median: the middle sample, or the mean of the two about the middle."""
+    n = runs.groupBy(key).agg(F.count(value).alias("n"))
+    at = lambda place: F.min(F.when(F.col("upto") > place, F.col(value)))
+    middle = _places(runs, key, value).join(n, key).groupBy(key).agg(at(F.floor((F.col("n") - 1) / 2)).alias("low"), at(F.floor(F.col("n") / 2)).alias("high"))
+    return n.join(middle, key, "left").select(key, ((F.col("low") + F.col("high")) / 2).alias("median"))
 
 
 def compared(base: DataFrame, head: DataFrame, reference: str = "reference") -> DataFrame:
@@ -40,8 +51,13 @@ def compared(base: DataFrame, head: DataFrame, reference: str = "reference") ->
 
 def drift(history: DataFrame, key: str = "op", seq: str = "seq", value: str = "value") -> DataFrame:
     """key, seq, value, rolling (median of the DRIFT_WINDOW samples before), drifted: over it by a tenth and by LEAST_CYCLES."""
-    before = Window.partitionBy(key).orderBy(seq).rowsBetween(-DRIFT_WINDOW, -1)
-    rows = history.withColumn("rolling", F.expr(f"percentile({value}, 0.5)").over(before))
+    places = running(history.withColumn("_one", F.lit(1)), [key], [seq, value], place="_one").withColumn("place", F.col("place") - 1)
+    # a key goes in blocks of its places; the last samples of a block go with the next one too, to be looked back at
+    own = F.floor(F.col("place") / DRIFT_BLOCK)
+    ahead = F.col("place") % DRIFT_BLOCK >= DRIFT_BLOCK - DRIFT_WINDOW
+    rows = places.withColumn("block", F.explode(F.when(ahead, F.array(own, own + 1)).otherwise(F.array(own)))).withColumn("mine", F.col("block") == own)
+    before = Window.partitionBy(key, "block").orderBy("place").rowsBetween(-DRIFT_WINDOW, -1)
+    rows = rows.withColumn("rolling", F.expr(f"percentile({value}, 0.5)").over(before)).filter("mine")
     over = F.col(value) - F.col("rolling")
     return rows.select(key, seq, value, "rolling", F.coalesce((over > F.col("rolling") * DRIFT_SHARE) & (over > LEAST_CYCLES), F.lit(False)).alias("drifted"))
 

@@ -27,6 +27,14 @@ def _numbered(df: DataFrame, seq: str, existing: DataFrame) -> DataFrame:
     return df.withColumn("seq", (F.lit(base + 1) + F.col(seq)).cast("bigint")).drop(*({seq} - {"seq"}))
 
 
+def conflicts(state: GraphState, batch: DataFrame) -> DataFrame:
+    """name: those of a batch (name, entity_type, observations) that exist with other data, or come with several in the batch itself."""
+    old = state.entities.select("name", "entity_type", "observations")
+    asked = batch.select("name").distinct()
+    both = batch.select("name", "entity_type", "observations").unionByName(old.join(asked, "name", "left_semi"))
+    return both.groupBy("name").agg(F.count_distinct(F.struct("entity_type", "observations")).alias("kinds")).filter("kinds > 1").select("name")
+
+
 def create_entities(state: GraphState, batch: DataFrame, now: int) -> tuple[GraphState, DataFrame]:
     """batch (place, name, entity_type, observations) -> the next state, and the rows that are new.
 
@@ -34,12 +42,8 @@ def create_entities(state: GraphState, batch: DataFrame, now: int) -> tuple[Grap
     in a batch the first counts, and the rest must agree with it.
     """
     _check(batch)
-    first = batch.groupBy("name").agg(F.min(F.struct("place", "entity_type", "observations")).alias("f"), F.count_distinct("entity_type", "observations").alias("kinds"))
-    clash = first.filter("kinds > 1").select("name")
-    old = state.entities.select("name", F.col("entity_type").alias("t"), F.col("observations").alias("o"))
-    asked = first.select("name", "f.*")
-    both = asked.join(old, "name").filter(~(F.col("entity_type").eqNullSafe(F.col("t")) & F.col("observations").eqNullSafe(F.col("o")))).select("name")
-    _refuse(clash.unionByName(both), lambda r: f"Entity {r['name']} already exists with other data")
+    _refuse(conflicts(state, batch), lambda r: f"Entity {r['name']} already exists with other data")
+    asked = batch.groupBy("name").agg(F.min(F.struct("place", "entity_type", "observations")).alias("f")).select("name", "f.*")
     new = _numbered(asked.join(state.entities.select("name"), "name", "left_anti"), "place", state.entities)
     obs_time = F.when(F.size("observations") > 0, F.lit(now).cast("bigint"))
     new = new.select("seq", "name", "entity_type", "observations", F.lit(now).cast("bigint").alias("mtime"), obs_time.alias("obs_mtime"))

@@ -48,18 +48,24 @@ def item_json(*columns: str) -> Column:
     return F.to_json(F.struct(*(F.col(c).alias(FIELDS.get(c, c)) for c in columns)))
 
 
+def string_json(column: str) -> Column:
+    """An item that is a bare string, as the page holds it."""
+    whole = F.to_json(F.array(F.col(column)))
+    return F.substr(whole, F.lit(2), F.length(whole) - 2)
+
+
 def overhead(total: Column | int) -> Column:
     """Characters of a page without its items."""
     total = F.lit(total) if isinstance(total, int) else total
     return F.lit(len('{"items":[],"nextCursor":null,"totalCount":}')) + F.length(total.cast("string"))
 
 
-def page(items: DataFrame, order: list[Column], json: Column, cursor: int = 0, limit: int = PAGE_CHARS) -> DataFrame:
-    """position, json of one page, in order: as many items from the cursor as fit, one at least.
+def page(items: DataFrame, order: list[Column], json: Column, cursor: int = 0, limit: int = PAGE_CHARS, total: int | None = None) -> DataFrame:
+    """position, json of one page, in order: as many items from the cursor as fit, one at least. total: their number, if it is known.
 
     An item takes two characters and a comma at least, so only that many of the ordered rows are looked at.
     """
-    total = items.count()
+    total = items.count() if total is None else total
     most = cursor + limit // 3 + 1
     rows = items.orderBy(*order).limit(most).select(json.alias("json"))
     first = Window.orderBy("position")  # at most `most` rows

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,13 +40,18 @@ def wrap(text: str, width: int = MAX_LENGTH) -> list[tuple[str, int]]:
 def observations(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, piece, start, obs: the pieces of each document's normalised text, numbered from zero."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(i, k, at, piece) for i, t in zip(pdf["doc_id"], pdf["text"], strict=True) for k, (piece, at) in enumerate(wrap(t))]
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "obs"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [wrap(t) for t in b.column(1).to_pylist()]
+            count = np.array([len(x) for x in found], np.int64)
+            first = np.cumsum(count) - count
+            piece = np.arange(int(count.sum())) - np.repeat(first, count)
+            start = np.fromiter((at for x in found for _, at in x), np.int32, len(piece))
+            owner = b.column(0).take(pa.array(np.repeat(np.arange(len(count)), count)))
+            yield pa.RecordBatch.from_arrays([owner, pa.array(piece.astype(np.int32)), pa.array(start), pa.array([o for x in found for o, _ in x], pa.string())], ["doc_id", "piece", "start", "obs"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), normalised(F.coalesce(F.col(text_col), F.lit(""))).alias("text"))
-    return rows.mapInPandas(run, "doc_id long, piece int, start int, obs string")
+    return rows.mapInArrow(run, "doc_id long, piece int, start int, obs string")
 
 
 def chunks(pieces: DataFrame) -> DataFrame:
@@ -158,9 +164,16 @@ def word_pairs(docs: DataFrame, window: int = 5, id_col: str = "doc_id", text_co
 
 
 def sentence_chunks(found: DataFrame, parts: DataFrame) -> DataFrame:
-    """doc_id, sentence, chunk, chunk_id: the chunk in which a sentence starts."""
-    parts = parts.select("doc_id", "chunk", "chunk_id", F.col("start").alias("c0"), F.col("end").alias("c1"))
-    return found.join(parts, "doc_id").filter("start >= c0 AND start < c1").select("doc_id", "sentence", "chunk", "chunk_id")
+    """doc_id, sentence, chunk, chunk_id: the chunk in which a sentence starts, the last that starts at or before it, if it goes on to there.
+
+    Starts of both kinds are put in one order by document, and each sentence looks back to the last chunk.
+    """
+    chunk = F.struct("chunk", "chunk_id", F.col("end").alias("c1"))
+    starts = parts.select("doc_id", "start", F.lit(0).alias("kind"), F.lit(None).cast("int").alias("sentence"), chunk.alias("part"))
+    starts = starts.unionByName(found.select("doc_id", "start", F.lit(1).alias("kind"), "sentence"), allowMissingColumns=True)
+    back = Window.partitionBy("doc_id").orderBy("start", "kind", "sentence").rowsBetween(Window.unboundedPreceding, 0)
+    rows = starts.withColumn("part", F.last("part", ignorenulls=True).over(back)).filter("kind = 1 AND start < part.c1")
+    return rows.select("doc_id", "sentence", "part.chunk", "part.chunk_id")
 
 
 def highlights(found: DataFrame, ranks: DataFrame, places: DataFrame, top: int = TOP) -> DataFrame:

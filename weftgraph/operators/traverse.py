@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftgraph.plans.lineage import written
 from weftgraph.schema import adjacency, direction
 
-#: Fixed value: bytes that the budget of a path counts for each node besides its strings.
-NODE_BYTES = 28
+#: Bytes that the budget of a path counts for each node besides its strings, and the share of the memory that is free.
+NODE_BYTES, MEMORY_SHARE = 28, 0.8
 
 
 def reachable(relations: DataFrame, start: DataFrame, way: str = "any", hops: int | None = None) -> DataFrame:
@@ -36,6 +36,18 @@ def neighbours(entities: DataFrame, relations: DataFrame, name: str, depth: int
     return entities.join(found, "name").select("name", "depth", "mtime", "obs_mtime")
 
 
+def memory_budget(spark: SparkSession) -> int:
+    """The bytes that a path may take by default: what weftgraph.path.budget says, else four fifths of what is free on all executors."""
+    asked = spark.conf.get("weftgraph.path.budget", None)
+    if asked is not None:
+        return int(asked)
+    status = spark.sparkContext._jsc.sc().getExecutorMemoryStatus().values().iterator()
+    free = 0
+    while status.hasNext():
+        free += status.next()._2()
+    return max(1, int(free * MEMORY_SHARE))
+
+
 @dataclass
 class PathResult:
     """path: src, dst, rel_type, mtime, hop of each relation on the way, as stored; farthest: the last node discovered, if the target wasn't."""
@@ -84,10 +96,10 @@ def find_path(entities: DataFrame, relations: DataFrame, source: str, target: st
         found = first.select(F.col("other").alias("name"), "f.*")
         size = F.octet_length("name") + F.octet_length("rel_type") + NODE_BYTES
         found = _sums(found.withColumn("bytes", size.cast("long")), ["parent_place", "seq", "name"], "bytes")
-        hit = found.filter(F.col("name") == target).select("place", "running", "bytes").first()
-        over = None
-        if budget is not None:
-            over = found.filter((F.col("running") + spent >= budget) & (F.col("name") != target)).orderBy("place").select("name", "place").first()
+        is_target = F.col("name") == target
+        beyond = (F.col("running") + spent >= (budget if budget is not None else 1 << 62)) & ~is_target
+        place = F.struct("place", "name", "running")
+        hit, over, tail = found.agg(F.min(F.when(is_target, place)), F.min(F.when(beyond, place)), F.max(place)).first()
         levels.append(found)
         if hit is not None and (over is None or hit["place"] < over["place"]):
             end, reached = target, True
@@ -95,7 +107,6 @@ def find_path(entities: DataFrame, relations: DataFrame, source: str, target: st
         if over is not None:
             end, exhausted = over["name"], True
             break
-        tail = found.orderBy(F.col("place").desc()).select("name", "running").first()
         if tail is None:
             levels.pop()
             break

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.functions.ere import to_java
+from weftgraph.functions import ere, script_regex
 from weftgraph.functions.regex_plan import Query, plan
 
 
 def postings(strings: DataFrame) -> DataFrame:
-    """strings (id, text) -> trigram, id: the distinct three-byte runs of each text's UTF-8, as numbers of 24 bits."""
-    raw = strings.select("id", F.encode("text", "UTF-8").alias("raw")).filter(F.octet_length("raw") >= 3)
+    """strings (id, text) -> trigram, id: the distinct three-byte runs of the UTF-8 of each text in lower case, as numbers of 24 bits."""
+    raw = strings.select("id", F.encode(F.lower("text"), "UTF-8").alias("raw")).filter(F.octet_length("raw") >= 3)
     grams = raw.select("id", "raw", F.explode(F.sequence(F.lit(1), F.octet_length("raw") - 2)).alias("at"))
     gram = F.conv(F.hex(F.substr("raw", F.col("at"), F.lit(3))), 16, 10).cast("int")
     return grams.select(gram.alias("trigram"), "id").distinct()
@@ -59,16 +59,17 @@ def evaluate(index: DataFrame, query: Query) -> DataFrame:
     return found.filter(_met(query, lambda t: F.array_contains("has", t))).select("id")
 
 
-def candidates(strings: DataFrame, index: DataFrame, pattern: str) -> DataFrame:
-    """id: a superset of those whose text matches, all of them where the pattern can't be narrowed."""
-    query = plan(pattern)
+def candidates(strings: DataFrame, index: DataFrame, pattern: str, dialect: str = "posix") -> DataFrame:
+    """id: a superset of those whose text matches, in any case of letters; all of them where the pattern can't be narrowed."""
+    query = plan(pattern, dialect)
     if query is None:
         return strings.select("id")
     return strings.select("id").limit(0) if query.kind == "none" else evaluate(index, query)
 
 
-def search_text(strings: DataFrame, pattern: str, index: DataFrame | None = None) -> DataFrame:
-    """id, text of the strings that match; with an index only its candidates are looked at."""
-    if index is not None and plan(pattern) is not None:
-        strings = strings.join(candidates(strings, index, pattern), "id", "left_semi")
-    return strings.filter(F.col("text").rlike(to_java(pattern)))
+def search_text(strings: DataFrame, pattern: str, index: DataFrame | None = None, dialect: str = "posix", any_case: bool = False) -> DataFrame:
+    """id, text of the strings that match; with an index only its candidates are looked at. dialect: posix or script."""
+    if index is not None and plan(pattern, dialect) is not None:
+        strings = strings.join(candidates(strings, index, pattern, dialect), "id", "left_semi")
+    java = (ere.to_java if dialect == "posix" else script_regex.to_java)(pattern)
+    return strings.filter(F.col("text").rlike(f"(?iu){java}" if any_case else java))

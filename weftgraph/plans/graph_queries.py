@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from weftgraph.functions import timestamps
 from weftgraph.operators import audit, measure, mutate, order, rank, search, summary, traverse, walk
 from weftgraph.plans.lineage import written
-from weftgraph.schema import GraphState, adjacency
+from weftgraph.schema import PAGE_CHARS, GraphState, adjacency
 from weftgraph.sources import jsonl, tables
 from weftgraph.streaming.visits import windowed_visits
 
@@ -92,16 +93,12 @@ def _neighbours(start, depth, way):
     return run, sql
 
 
-def _urgent(spark, d):
-    """A graph with gaps: relations of urgent orders alone, entities without some parts."""
-    urgent = tables.table(spark, d, "orders").filter("o_orderpriority = '1-URGENT'").select(F.concat(F.lit("order:"), "o_orderkey").alias("name"))
-    entities, relations = tables.entities(spark, d), tables.relations(spark, d).filter("rel_type IN ('placed_by', 'contains')")
-    relations = relations.join(urgent, relations["src"] == urgent["name"], "left_semi")
-    return entities.filter("NOT (entity_type = 'Part' AND name LIKE '%7')"), relations
+def _layer(spark, d):
+    """The layer of orders and their customers, which leaves most entities apart; and the entities without customers, who then are missing ends."""
+    return tables.relations(spark, d).filter("rel_type = 'placed_by'"), tables.entities(spark, d).filter("entity_type <> 'Customer'")
 
 
-URGENT = f"""{GRAPH}, urgent AS (SELECT * FROM rels WHERE rel_type IN ('placed_by', 'contains') AND src IN (SELECT 'order:' || o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT')),
-    kept AS (SELECT * FROM ents WHERE NOT (entity_type = 'Part' AND name LIKE '%7'))"""
+LAYER = f"""{GRAPH}, layer AS (SELECT * FROM rels WHERE rel_type = 'placed_by'), few AS (SELECT * FROM ents WHERE entity_type <> 'Customer')"""
 
 
 def _violations(spark, d):
@@ -184,13 +181,13 @@ PSI = f"""{GRAPH}, size AS (SELECT count(*)::DOUBLE AS n FROM ents),
 
 
 def _transitions(spark, d):
-    relations = tables.relations(spark, d).filter("rel_type IN ('supplied_by', 'in_nation')")
+    relations = tables.relations(spark, d)
     psi = tables.table(spark, d, "supplier").select(F.concat(F.lit("supplier:"), "s_suppkey").alias("name"), F.greatest("s_acctbal", F.lit(0.0)).alias("psi"))
     found = walk.transitions(relations, psi, "forward", "merw")
     return found.select("node", "other", F.round("p", 9).alias("p"))
 
 
-TRANSITIONS = f"""WITH {RELATIONS}, edges AS (SELECT DISTINCT src AS node, dst AS other FROM rels WHERE rel_type IN ('supplied_by', 'in_nation') AND src <> dst),
+TRANSITIONS = f"""WITH {RELATIONS}, edges AS (SELECT DISTINCT src AS node, dst AS other FROM rels WHERE src <> dst),
     weights AS (SELECT e.*, coalesce(greatest(s_acctbal, 0), 0) AS w FROM edges e LEFT JOIN supplier ON 'supplier:' || s_suppkey = other),
     sums AS (SELECT node, sum(w) AS total, count(*) AS n FROM weights GROUP BY node)
     SELECT node, other, round(CASE WHEN total > 0 THEN w / total ELSE 1.0::DOUBLE / n END, 9) AS p FROM weights JOIN sums USING (node)"""
@@ -203,6 +200,28 @@ def _walks(spark, d):
     return found.select("name", "entity", F.array_join("path", ">").alias("path"))
 
 
+def _xorshift(s: str) -> str:
+    """The generator's next state as a number of 64 bits without sign."""
+    one = f"xor({s}, ({s} * 8192) % {1 << 64}::HUGEINT)"
+    two = f"xor({one}, ({one}) // 128)"
+    return f"xor({two}, (({two}) * 131072) % {1 << 64}::HUGEINT)"
+
+
+def _step(k: int) -> str:
+    """Walks after their k-th draw: the target at the drawn place of those that a node has."""
+    return f"""s{k} AS (SELECT name, entity, path, {_xorshift("state")} AS state FROM w{k - 1}),
+    r{k} AS (SELECT s.*, ((state // 2048)::DOUBLE / {float(1 << 53)}) AS r FROM s{k} s),
+    j{k} AS (SELECT r.name, r.entity, r.path, r.state, t.other FROM r{k} r LEFT JOIN outs o ON o.node = r.entity LEFT JOIN targets t ON t.node = r.entity AND t.place = greatest(ceil(r.r * o.n), 1)),
+    w{k} AS (SELECT name, other AS entity, path || '>' || other AS path, state FROM j{k} WHERE other IS NOT NULL)"""
+
+
+WALKS = f"""WITH {RELATIONS}, targets AS (SELECT node, other, row_number() OVER (PARTITION BY node ORDER BY seq, other) AS place FROM (SELECT src AS node, dst AS other, min(seq) AS seq FROM rels WHERE src <> dst GROUP BY 1, 2)),
+    outs AS (SELECT node, count(*) AS n FROM targets GROUP BY node),
+    w0 AS (SELECT 'order:' || o_orderkey AS name, 'order:' || o_orderkey AS entity, 'order:' || o_orderkey AS path, ((o_orderkey * 7919 + {walk.seed_number("seed")})::HUGEINT + {1 << 64}::HUGEINT) % {1 << 64}::HUGEINT AS state FROM orders),
+    {_step(1)}, {_step(2)}, {_step(3)}
+    SELECT name, entity, path FROM j1 WHERE other IS NULL UNION ALL SELECT name, entity, path FROM j2 WHERE other IS NULL UNION ALL SELECT name, entity, path FROM j3 WHERE other IS NULL UNION ALL SELECT name, entity, path FROM w3"""
+
+
 def _ranked(spark, d):
     entities = tables.entities(spark, d).filter("entity_type = 'Customer'")
     return order.ranked(entities, tables.graph(spark, d).ranks)
@@ -212,6 +231,17 @@ def _llmrank(spark, d):
     return _ranked(spark, d).orderBy(*order.sort_columns()).limit(50).select("name", F.round("walker_rank", 10).alias("walker_rank"))
 
 
+def _numbered_rows(found, keys):
+    """The first two hundred in order, with their places."""
+    rows = found.orderBy(*keys).limit(200).select("name")
+    return rows.withColumn("position", (F.row_number().over(Window.orderBy(F.monotonically_increasing_id())) - 1).cast("int"))
+
+
+def _sorted_neighbours(spark, d):
+    found = traverse.neighbours(tables.entities(spark, d), tables.relations(spark, d), "nation:3", 0, "any")
+    return _numbered_rows(order.ranked(found, tables.graph(spark, d).ranks), order.sort_columns())
+
+
 def _newest(spark, d):
     found = tables.entities(spark, d).filter("entity_type = 'Order'")
     return found.orderBy(*order.sort_columns("mtime")).limit(100).select("name", "mtime")
@@ -235,40 +265,57 @@ def _pages(spark, d):
     part = tables.table(spark, d, "part")
     json = F.to_json(F.struct(F.concat(F.lit("part:"), "p_partkey").alias("name"), F.col("p_name").alias("note")))
     lists = part.groupBy("p_brand").agg(F.sort_array(F.collect_list(F.struct("p_partkey", F.length(json).alias("n")))).alias("items"))
-    starts = lists.select("p_brand", F.posexplode(order.page_starts(F.transform("items", lambda x: x["n"]), limit=800)).alias("page", "start"))
+    starts = lists.select("p_brand", F.posexplode(order.page_starts(F.transform("items", lambda x: x["n"]), limit=PAGE_CHARS)).alias("page", "start"))
     return starts.select("p_brand", F.col("page").cast("int").alias("page"), F.col("start").cast("int").alias("start"))
 
 
 PAGES = """WITH RECURSIVE items AS (SELECT p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS pos, count(*) OVER (PARTITION BY p_brand) AS total,
         length('{"name":"part:' || p_partkey || '","note":"' || p_name || '"}') AS n FROM part),
     fold AS (SELECT p_brand, pos, total, 0 AS page, 0::BIGINT AS start, (44 + length(total::VARCHAR) + n)::BIGINT AS size FROM items WHERE pos = 0
-        UNION ALL SELECT i.p_brand, i.pos, i.total, CASE WHEN f.size + 1 + i.n <= 800 THEN f.page ELSE f.page + 1 END, CASE WHEN f.size + 1 + i.n <= 800 THEN f.start ELSE i.pos END,
-            CASE WHEN f.size + 1 + i.n <= 800 THEN f.size + 1 + i.n ELSE 44 + length(i.total::VARCHAR) + i.n END FROM fold f JOIN items i ON i.p_brand = f.p_brand AND i.pos = f.pos + 1)
+        UNION ALL SELECT i.p_brand, i.pos, i.total, CASE WHEN f.size + 1 + i.n <= 4096 THEN f.page ELSE f.page + 1 END, CASE WHEN f.size + 1 + i.n <= 4096 THEN f.start ELSE i.pos END,
+            CASE WHEN f.size + 1 + i.n <= 4096 THEN f.size + 1 + i.n ELSE 44 + length(i.total::VARCHAR) + i.n END FROM fold f JOIN items i ON i.p_brand = f.p_brand AND i.pos = f.pos + 1)
     SELECT DISTINCT p_brand, CAST(page AS INTEGER) AS page, CAST(start AS INTEGER) AS start FROM fold"""
 
 
 def _state(spark, d):
-    """A small graph to change: nations and regions."""
-    entities = tables.entities(spark, d).filter("entity_type IN ('Region', 'Nation')")
-    relations = tables.relations(spark, d).filter("rel_type = 'in_region'")
-    return GraphState(entities, relations, rank.visit_ranks(entities, tables.access_log(spark, d)))
+    return tables.graph(spark, d)
 
 
 def _upsert(spark, d):
-    """Offer all customers to a graph that has the even ones already."""
+    """Offer all customers to a graph that has those of one segment already."""
     entities = tables.entities(spark, d).filter("entity_type = 'Customer'")
-    state = GraphState(entities.filter("seq % 2 = 0"), tables.relations(spark, d).limit(0), rank.visit_ranks(entities, tables.access_log(spark, d)))
+    state = GraphState(entities.filter("observations[1] = 'BUILDING'"), tables.relations(spark, d).limit(0), rank.visit_ranks(entities, tables.access_log(spark, d)))
     _, new = mutate.create_entities(state, entities.select(F.col("seq").alias("place"), "name", "entity_type", "observations"), NOW)
     return _flat(new).select("name", "entity_type", "observations", "mtime")
 
 
+def _conflicts(spark, d):
+    """Offer all entities to the graph again, each with its first observation alone: those that had two are refused."""
+    state = _state(spark, d)
+    batch = state.entities.select(F.col("seq").alias("place"), "name", "entity_type", F.slice("observations", 1, 1).alias("observations"))
+    return mutate.conflicts(state, batch)
+
+
 def _relate(spark, d):
-    """Offer each nation's link to its region and to the next one, twice."""
-    nation = tables.table(spark, d, "nation")
-    to = F.explode(F.array("n_regionkey", "n_regionkey", (F.col("n_regionkey") + 1))).alias("r")
-    batch = nation.select("n_nationkey", to).select(F.col("n_nationkey").alias("place"), F.concat(F.lit("nation:"), "n_nationkey").alias("src"), F.concat(F.lit("region:"), "r").alias("dst"), F.lit("in_region").alias("rel_type"))
-    _, new = mutate.create_relations(_state(spark, d), batch, NOW)
-    return new.select("src", "dst", "rel_type", "mtime")
+    """Offer every relation again, twice, and one from each supplier to the nation after its own."""
+    state = _state(spark, d)
+    again = state.relations.select(F.col("seq").alias("place"), "src", "dst", "rel_type")
+    next_one = F.concat(F.lit("nation:"), F.col("s_nationkey") + 1)
+    more = tables.table(spark, d, "supplier").select(F.lit(0).cast("bigint").alias("place"), F.concat(F.lit("supplier:"), "s_suppkey").alias("src"), next_one.alias("dst"), F.lit("in_nation").alias("rel_type"))
+    after, new = mutate.create_relations(state, again.unionByName(again).unionByName(more).unionByName(more), NOW)
+    return after, new
+
+
+def _related(spark, d):
+    return _relate(spark, d)[1].select("src", "dst", "rel_type", "mtime")
+
+
+def _touched(spark, d):
+    """The entities whose time of change the new relations move: their sources."""
+    return _relate(spark, d)[0].entities.filter(F.col("mtime") == NOW).select("name", "mtime")
+
+
+NEW_LINKS = f"""WITH {RELATIONS}, links AS (SELECT DISTINCT 'supplier:' || s_suppkey AS src, 'nation:' || (s_nationkey + 1) AS dst FROM supplier WHERE s_nationkey + 1 IN (SELECT n_nationkey FROM nation))"""
 
 
 def _cascade(spark, d):
@@ -280,28 +327,29 @@ def _cascade(spark, d):
 
 def _observe(spark, d):
     state = _state(spark, d)
-    batch = state.entities.select("name", F.array(F.col("observations")[0], F.concat(F.lit("also "), F.col("observations")[0])).alias("contents"))
+    batch = state.entities.filter(F.size("observations") == 1).select("name", F.array(F.col("observations")[0], F.concat(F.lit("also "), F.col("observations")[0])).alias("contents"))
     after, _ = mutate.add_observations(state, batch, NOW)
-    return _flat(after.entities).select("name", "observations", "obs_mtime")
+    return _flat(after.entities).select("name", "observations", F.coalesce("obs_mtime", F.lit(0)).alias("obs_mtime"))
 
 
 def _forget(spark, d):
     entities = tables.entities(spark, d).filter("entity_type = 'Customer'")
     state = GraphState(entities, tables.relations(spark, d).limit(0), tables.graph(spark, d).ranks)
-    after = mutate.delete_observations(state, entities.filter("seq % 3 = 0").select("name", F.array(F.lit("BUILDING"), F.lit("none such")).alias("removals")), NOW)
+    after = mutate.delete_observations(state, entities.select("name", F.array(F.lit("BUILDING"), F.lit("none such")).alias("removals")), NOW)
     return _flat(after.entities).select("name", "observations", F.coalesce("mtime", F.lit(0)).alias("mtime"))
 
 
 def _unrelate(spark, d):
     state = _state(spark, d)
-    after = mutate.delete_relations(state, state.relations.filter("seq < 10").select("src", "dst", "rel_type"))
+    after = mutate.delete_relations(state, state.relations.filter("rel_type IN ('in_nation', 'in_region')").select("src", "dst", "rel_type"))
     return after.relations.select("src", "dst", "rel_type")
 
 
 def _visited(spark, d):
-    """Two more visits of every tenth customer."""
+    """Two more visits of every customer of one segment."""
     ranks = tables.graph(spark, d).ranks
-    more = ranks.filter("name LIKE 'customer:%0'").select(F.explode(F.array("name", "name")).alias("name"))
+    more = tables.table(spark, d, "customer").filter("c_mktsegment = 'BUILDING'").select(F.concat(F.lit("customer:"), "c_custkey").alias("name"))
+    more = more.unionByName(more)
     return rank.record_visits(ranks, more).filter("walker_visits > 0").select("name", "walker_visits")
 
 
@@ -327,7 +375,7 @@ def _imported_relations(spark, d):
 
 def _differences(spark, d):
     old = tables.entities(spark, d).filter("entity_type = 'Customer'")
-    new = old.filter("seq % 10 <> 0").withColumn("observations", F.when(F.col("seq") % 7 == 0, F.array(F.lit("changed"))).otherwise(F.col("observations")))
+    new = old.filter("observations[1] <> 'BUILDING'").withColumn("observations", F.when(F.col("observations")[1] == "MACHINERY", F.array(F.lit("changed"))).otherwise(F.col("observations")))
     new = new.unionByName(tables.entities(spark, d).filter("entity_type = 'Region'"))
     keep = ["name", "entity_type", "observations", "mtime"]
     return jsonl.differences(old.select(keep), new.select(keep), ["name"])
@@ -446,14 +494,14 @@ def _all() -> dict:
         "relation_types": (lambda s, d: summary.relation_types(tables.relations(s, d)), f"WITH {RELATIONS} SELECT DISTINCT rel_type FROM rels"),
         "graph_stats": (_stats, f"{GRAPH} SELECT (SELECT count(*) FROM ents) AS entity_count, (SELECT count(*) FROM rels) AS relation_count, (SELECT count(DISTINCT entity_type) FROM ents) AS entity_types, (SELECT count(DISTINCT rel_type) FROM rels) AS relation_types"),
         "degree": (lambda s, d: summary.degrees(tables.relations(s, d)), f"WITH {RELATIONS}, {ADJACENCY} SELECT node AS name, count(*) AS degree FROM adj GROUP BY node"),
-        "adjacency_view": (lambda s, d: adjacency(tables.relations(s, d).filter("rel_type = 'in_nation'")).select("node", "other", "direction", "rel_type"), f"WITH {RELATIONS}, {ADJACENCY} SELECT node, other, direction, rel_type FROM adj WHERE rel_type = 'in_nation'"),
+        "adjacency_view": (lambda s, d: adjacency(tables.relations(s, d)).select("node", "other", "direction", "rel_type"), f"WITH {RELATIONS}, {ADJACENCY} SELECT node, other, direction, rel_type FROM adj"),
         "string_refcounts": (lambda s, d: summary.string_counts(tables.entities(s, d), tables.relations(s, d)), f"{GRAPH} SELECT text, CAST(sum(n) AS BIGINT) AS refs FROM (SELECT unnest(list_concat([name, entity_type], observations)) AS text, 1 AS n FROM ents UNION ALL SELECT rel_type, 2 FROM rels) GROUP BY text"),
-        "orphans": (lambda s, d: audit.orphans(*_urgent(s, d)).select("name"), f"{URGENT} SELECT name FROM kept WHERE name NOT IN (SELECT src FROM urgent UNION SELECT dst FROM urgent)"),
+        "orphans": (lambda s, d: audit.orphans(tables.entities(s, d), _layer(s, d)[0]).select("name"), f"{LAYER} SELECT name FROM ents WHERE name NOT IN (SELECT src FROM layer UNION SELECT dst FROM layer)"),
         "orphans_strict": (
-            lambda s, d: audit.strict_orphans(_urgent(s, d)[0], written(_urgent(s, d)[1]), root="order:1").select("name"),
-            URGENT.replace("WITH", "WITH RECURSIVE", 1) + ", sides AS (SELECT src AS a, dst AS b FROM urgent UNION SELECT dst, src FROM urgent), reach(name) AS (SELECT name FROM kept WHERE name = 'order:1' UNION SELECT b FROM reach JOIN sides ON a = name) SELECT name FROM kept WHERE name NOT IN (SELECT name FROM reach)",
+            lambda s, d: audit.strict_orphans(tables.entities(s, d), written(_layer(s, d)[0]), root="order:1").select("name"),
+            LAYER.replace("WITH", "WITH RECURSIVE", 1) + ", sides AS (SELECT src AS a, dst AS b FROM layer UNION SELECT dst, src FROM layer), reach(name) AS (SELECT name FROM ents WHERE name = 'order:1' UNION SELECT b FROM reach JOIN sides ON a = name) SELECT name FROM ents WHERE name NOT IN (SELECT name FROM reach)",
         ),
-        "missing_endpoints": (lambda s, d: audit.missing_endpoints(*_urgent(s, d)), f"{URGENT} SELECT DISTINCT name FROM (SELECT src AS name FROM urgent UNION SELECT dst FROM urgent) WHERE name NOT IN (SELECT name FROM kept)"),
+        "missing_endpoints": (lambda s, d: audit.missing_endpoints(_layer(s, d)[1], tables.relations(s, d)), f"{LAYER} SELECT DISTINCT name FROM (SELECT src AS name FROM rels UNION SELECT dst FROM rels) WHERE name NOT IN (SELECT name FROM few)"),
         "observation_violations": (
             _violations,
             "WITH t AS (SELECT 'conv:' || conv_id || ':' || turn AS name, CASE WHEN turn % 2 = 0 THEN [role, text, 'x'] ELSE [text] END AS o FROM conversations), "
@@ -466,7 +514,7 @@ def _all() -> dict:
         "pagerank_k": (_rank, RANK),
         "merw_psi_k": (_psi, PSI),
         "walk_transition_probs": (_transitions, TRANSITIONS),
-        "seeded_walk": (_walks, None),
+        "seeded_walk": (_walks, WALKS),
         "llmrank": (
             lambda s, d: rank.walker_ranks(tables.graph(s, d).ranks).filter("walker_rank > 0").select("name", F.round("walker_rank", 10).alias("walker_rank")),
             f"WITH {ENTITIES}, {VISITS} SELECT name, round(walker_visits::DOUBLE / (SELECT sum(walker_visits) FROM walk), 10) AS walker_rank FROM walk WHERE walker_visits > 0",
@@ -475,26 +523,33 @@ def _all() -> dict:
             _llmrank,
             f"WITH {ENTITIES}, {VISITS} SELECT w.name, round(walker_visits::DOUBLE / (SELECT sum(walker_visits) FROM walk), 10) AS walker_rank FROM walk w JOIN ents e ON e.name = w.name WHERE entity_type = 'Customer' ORDER BY walker_visits DESC, w.name LIMIT 50",
         ),
+        "sort_by_name_collated": (
+            lambda s, d: _numbered_rows(tables.entities(s, d).filter("entity_type = 'Customer'"), order.sort_columns("name", "desc")),
+            f"WITH {ENTITIES} SELECT name, CAST(row_number() OVER (ORDER BY name DESC) - 1 AS INTEGER) AS position FROM ents WHERE entity_type = 'Customer' QUALIFY position < 200",
+        ),
+        "sort_neighbors": (
+            _sorted_neighbours,
+            f"WITH {ENTITIES}, {RELATIONS}, {ADJACENCY}, {VISITS} SELECT w.name, CAST(row_number() OVER (ORDER BY walker_visits DESC, w.name) - 1 AS INTEGER) AS position FROM walk w WHERE w.name IN (SELECT other FROM adj WHERE node = 'nation:3' AND other <> 'nation:3') QUALIFY position < 200",
+        ),
         "sort_by_mtime_topk": (_newest, f"WITH {ENTITIES} SELECT name, mtime FROM ents WHERE entity_type = 'Order' ORDER BY mtime DESC, name LIMIT 100"),
         "paginate_first_page": _page(0),
         "paginate_next_page": _page(30),
         "page_boundaries": (_pages, PAGES),
-        "upsert_new": (_upsert, f"WITH {ENTITIES} SELECT name, entity_type, {FLAT}, {NOW}::BIGINT AS mtime FROM ents WHERE entity_type = 'Customer' AND seq % 2 = 1"),
-        "relation_dedupe": (
-            _relate,
-            f"WITH {RELATIONS} SELECT DISTINCT 'nation:' || n_nationkey AS src, 'region:' || (n_regionkey + 1) AS dst, 'in_region' AS rel_type, {NOW}::BIGINT AS mtime FROM nation WHERE n_regionkey + 1 IN (SELECT r_regionkey FROM region)",
-        ),
+        "upsert_new": (_upsert, f"WITH {ENTITIES} SELECT name, entity_type, {FLAT}, {NOW}::BIGINT AS mtime FROM ents WHERE entity_type = 'Customer' AND observations[2] <> 'BUILDING'"),
+        "upsert_conflicts": (_conflicts, f"WITH {ENTITIES} SELECT name FROM ents WHERE len(observations) > 1"),
+        "relation_dedupe": (_related, f"{NEW_LINKS} SELECT src, dst, 'in_nation' AS rel_type, {NOW}::BIGINT AS mtime FROM links"),
+        "relation_touches": (_touched, f"{NEW_LINKS} SELECT DISTINCT src AS name, {NOW}::BIGINT AS mtime FROM links"),
         "cascade_delete": (
             _cascade,
             f"WITH {RELATIONS}, gone AS (SELECT 'customer:' || c_custkey AS name FROM customer WHERE c_mktsegment = 'BUILDING') SELECT rel_type, count(*) AS relations FROM rels WHERE src NOT IN (SELECT name FROM gone) AND dst NOT IN (SELECT name FROM gone) GROUP BY rel_type",
         ),
-        "add_observations": (_observe, f"WITH {ENTITIES} SELECT name, observations[1] || ' | also ' || observations[1] AS observations, {NOW}::BIGINT AS obs_mtime FROM ents WHERE entity_type IN ('Region', 'Nation')"),
+        "add_observations": (_observe, f"WITH {ENTITIES} SELECT name, CASE WHEN len(observations) = 1 THEN observations[1] || ' | also ' || observations[1] ELSE array_to_string(observations, ' | ') END AS observations, CASE WHEN len(observations) = 1 THEN {NOW}::BIGINT ELSE coalesce(mtime, 0) END AS obs_mtime FROM ents"),
         "remove_observations": (
             _forget,
-            f"WITH {ENTITIES} SELECT name, CASE WHEN seq % 3 = 0 AND observations[2] = 'BUILDING' THEN observations[1] ELSE array_to_string(observations, ' | ') END AS observations, CASE WHEN seq % 3 = 0 AND observations[2] = 'BUILDING' THEN {NOW}::BIGINT ELSE 0 END AS mtime FROM ents WHERE entity_type = 'Customer'",
+            f"WITH {ENTITIES} SELECT name, CASE WHEN observations[2] = 'BUILDING' THEN observations[1] ELSE array_to_string(observations, ' | ') END AS observations, CASE WHEN observations[2] = 'BUILDING' THEN {NOW}::BIGINT ELSE 0 END AS mtime FROM ents WHERE entity_type = 'Customer'",
         ),
-        "delete_relations": (_unrelate, f"WITH {RELATIONS} SELECT src, dst, rel_type FROM rels WHERE rel_type = 'in_region' AND seq >= 10"),
-        "record_visits": (_visited, f"WITH {ENTITIES}, {VISITS}, m AS (SELECT name, walker_visits + CASE WHEN name LIKE 'customer:%0' THEN 2 ELSE 0 END AS walker_visits FROM walk) SELECT name, walker_visits FROM m WHERE walker_visits > 0"),
+        "delete_relations": (_unrelate, f"WITH {RELATIONS} SELECT src, dst, rel_type FROM rels WHERE rel_type NOT IN ('in_nation', 'in_region')"),
+        "record_visits": (_visited, f"WITH {ENTITIES}, {VISITS}, m AS (SELECT name, walker_visits + CASE WHEN name IN (SELECT 'customer:' || c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') THEN 2 ELSE 0 END AS walker_visits FROM walk) SELECT name, walker_visits FROM m WHERE walker_visits > 0"),
         "thought_chain": (_thoughts, THOUGHTS),
         "jsonl_import_entities": (
             _imported_entities,
@@ -503,7 +558,7 @@ def _all() -> dict:
         "jsonl_import_relations": (_imported_relations, IMPORTED + " SELECT name AS src, 'c' || conv_id AS dst, 'near' AS rel_type, count(*) AS n FROM t WHERE 'c' || conv_id IN (SELECT name FROM t) GROUP BY 1, 2"),
         "store_diff": (
             _differences,
-            f"WITH {ENTITIES} SELECT name, CASE WHEN entity_type = 'Region' THEN 'added' WHEN seq % 10 = 0 THEN 'missing' ELSE 'observations' END AS problem FROM ents WHERE entity_type = 'Region' OR (entity_type = 'Customer' AND (seq % 10 = 0 OR seq % 7 = 0))",
+            f"WITH {ENTITIES} SELECT name, CASE WHEN entity_type = 'Region' THEN 'added' WHEN observations[2] = 'BUILDING' THEN 'missing' ELSE 'observations' END AS problem FROM ents WHERE entity_type = 'Region' OR (entity_type = 'Customer' AND observations[2] IN ('BUILDING', 'MACHINERY'))",
         ),
         "decode_timestamp": (_decoded, DECODED),
         "bench_percentiles": (_distributions, DISTRIBUTIONS),

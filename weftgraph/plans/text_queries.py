@@ -51,7 +51,7 @@ CHUNKS = """starts AS (SELECT w.doc_id, w.piece, w.obs, CAST(sum(length(w.obs))
 MARKS = """marks AS (SELECT s.doc_id, s.sentence, s.text, c.chunk, row_number() OVER (PARTITION BY s.doc_id ORDER BY round(score, 9) DESC, s.sentence) AS rn FROM sent s JOIN r4 USING (doc_id, sentence) JOIN chunks c ON c.doc_id = s.doc_id AND s.start >= c0 AND s.start < c1),
     again AS (SELECT *, row_number() OVER (PARTITION BY doc_id, chunk ORDER BY rn) AS again FROM marks WHERE rn <= 3)"""
 
-SPECIFIC, SOFT = "(steel|brass).*(0|1)", "no such [a-z]+"
+SPECIFIC, SCRIPT = "(small|blue).*(bolt|r[ao]d)", r"\b(large|blue)\s+(?:wid\w{3}|rod)\b"
 
 
 def _turns(spark, d):
@@ -222,7 +222,7 @@ def _whole_graph(spark, d):
     return kinds.unionByName(relations.groupBy(F.col("rel_type").alias("kind")).agg(F.count("*").alias("n")))
 
 
-#: The job as the reference has it, over whole documents, ranked to its tolerance and with its number of highlights; rounds without a fixed number have no SQL.
+#: The whole job, over whole documents, ranked to the tolerance and with the usual number of highlights; rounds without a fixed number have no SQL.
 WHOLE = {
     "document_sentence_textrank": _whole_ranks,
     "document_word_textrank": _whole_word_ranks,
@@ -238,7 +238,7 @@ def _names(spark, d):
 
 
 GRAM = "unicode(text[i + 1]) * 65536 + unicode(text[i + 2]) * 256 + unicode(text[i + 3])"
-POSTINGS = f"post AS (SELECT DISTINCT CAST({GRAM} AS INTEGER) AS trigram, id FROM (SELECT p_partkey AS id, p_name AS text, unnest(range(greatest(length(p_name) - 2, 0))) AS i FROM part))"
+POSTINGS = f"post AS (SELECT DISTINCT CAST({GRAM} AS INTEGER) AS trigram, id FROM (SELECT p_partkey AS id, lower(p_name) AS text, unnest(range(greatest(length(p_name) - 2, 0))) AS i FROM part))"
 
 
 def _candidates(pattern):
@@ -254,11 +254,18 @@ def _indexed(spark, d):
     return trigram.search_text(names, SPECIFIC, trigram.rebuild(names))
 
 
+def _scripted(spark, d):
+    """The same names in capitals, by a pattern of the other dialect in any case."""
+    names = _names(spark, d).withColumn("text", F.upper("text"))
+    return trigram.search_text(names, SCRIPT, trigram.rebuild(names), "script", any_case=True).withColumn("text", F.lower("text"))
+
+
 def _soundness(spark, d):
-    """Matches that the candidates lack: none."""
+    """Matches, and those of them that the candidates lack: none."""
     names = _names(spark, d)
     found = trigram.search_text(names, SPECIFIC)
-    return found.join(trigram.candidates(names, trigram.postings(names), SPECIFIC), "id", "left_anti").agg(F.count("*").alias("missed"))
+    kept = found.join(trigram.candidates(names, trigram.postings(names), SPECIFIC).withColumn("hit", F.lit(True)), "id", "left")
+    return kept.agg(F.count("*").alias("matched"), F.count_if(F.col("hit").isNull()).alias("missed"))
 
 
 def _updated(spark, d):
@@ -298,8 +305,9 @@ def _all() -> dict:
         "trigram_postings": (lambda s, d: trigram.postings(_names(s, d)), f"WITH {POSTINGS} SELECT trigram, id FROM post"),
         "trigram_candidates": (_candidates("green|blue"), f"WITH {POSTINGS}, n AS (SELECT id FROM post WHERE trigram IN ({_grams('green')}) GROUP BY id HAVING count(*) = 3 UNION SELECT id FROM post WHERE trigram IN ({_grams('blue')}) GROUP BY id HAVING count(*) = 2) SELECT id FROM n"),
         "trigram_search": (_indexed, f"SELECT p_partkey AS id, p_name AS text FROM part WHERE regexp_matches(p_name, '{SPECIFIC}')"),
-        "trigram_none": (_candidates(SOFT), f"SELECT p_partkey AS id FROM part WHERE contains(p_name, 'no such ')"),
-        "trigram_soundness": (_soundness, "SELECT 0::BIGINT AS missed"),
+        "trigram_none": (_candidates("no such [a-z]+"), "SELECT p_partkey AS id FROM part WHERE contains(p_name, 'no such ')"),
+        "trigram_search_script": (_scripted, f"SELECT p_partkey AS id, p_name AS text FROM part WHERE regexp_matches(upper(p_name), '{SCRIPT}', 'i')"),
+        "trigram_soundness": (_soundness, f"SELECT count(*) AS matched, 0::BIGINT AS missed FROM part WHERE regexp_matches(p_name, '{SPECIFIC}')"),
         "trigram_update": (
             _updated,
             f"WITH {POSTINGS}, p AS (SELECT trigram, id FROM post WHERE id % 2 <> 0 UNION ALL SELECT CAST(unnest([{_grams('abcd')}]) AS INTEGER), p_partkey FROM part WHERE p_partkey % 4 = 0) SELECT count(DISTINCT id) AS ids, count(DISTINCT trigram) AS trigrams, count(*) AS postings FROM p",

@@ -40,9 +40,10 @@ class GraphState:
 
 
 def adjacency(relations: DataFrame, way: str = "any") -> DataFrame:
-    """node, other, direction, rel_type, mtime, seq, and the relation's own src and dst: each relation seen from its ends."""
+    """node, other, direction, rel_type, mtime, seq, and the relation's own src and dst: each relation seen from its ends, in one scan."""
     direction(way)
-    seen = lambda node, other, name: relations.select(F.col(node).alias("node"), F.col(other).alias("other"), F.lit(name).alias("direction"), "rel_type", "mtime", "seq", "src", "dst")
-    if way == "any":
-        return seen("src", "dst", "forward").unionByName(seen("dst", "src", "backward"))
-    return seen("src", "dst", way) if way == "forward" else seen("dst", "src", way)
+    seen = lambda node, other, name: F.struct(F.col(node).alias("node"), F.col(other).alias("other"), F.lit(name).alias("direction"))
+    ends = {"forward": [seen("src", "dst", "forward")], "backward": [seen("dst", "src", "backward")]}
+    if way != "any":
+        return relations.select(ends[way][0].alias("e"), "*").select("e.*", "rel_type", "mtime", "seq", "src", "dst")
+    return relations.select(F.explode(F.array(*ends["forward"], *ends["backward"])).alias("e"), "rel_type", "mtime", "seq", "src", "dst").select("e.*", "rel_type", "mtime", "seq", "src", "dst")
