@@ -116,10 +116,24 @@ class ToxicModel:
         return float((total[:parts] / np.maximum(count[:parts], 1)).max() + self.bias)
 
 
-def _telling(ids: np.ndarray, row: np.ndarray, labels: np.ndarray) -> np.ndarray:
+def _stretches(borders: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of rows of about a block of bytes: (first, end)."""
+    first = 0
+    while first < len(borders) - 1:
+        end = max(first + 1, int(np.searchsorted(borders, borders[first] + BLOCK, "right")) - 1)
+        yield first, end
+        first = end
+
+
+def _telling(data: np.ndarray, borders: np.ndarray, labels: np.ndarray) -> np.ndarray:
     """The buckets whose share of texts differs by label: chi-square with continuity correction, and a ratio of the shares."""
-    pairs = np.unique(row.astype(np.int64) * BUCKETS + ids)
-    with_it = np.stack([np.bincount(pairs[labels[pairs // BUCKETS] == k] % BUCKETS, minlength=BUCKETS) for k in (0, 1)]).astype(float)
+    with_it = np.zeros((2, BUCKETS))
+    for first, end in _stretches(borders):
+        ids, whose, rows = grams(data[borders[first] : borders[end]], borders[first : end + 1] - borders[first])
+        pairs = np.unique(rows[whose].astype(np.int64) * BUCKETS + ids)
+        own = labels[first:end][pairs // BUCKETS]
+        for k in (0, 1):
+            with_it[k] += np.bincount(pairs[own == k] % BUCKETS, minlength=BUCKETS)
     n = np.bincount(labels, minlength=2).astype(float)
     without = n[:, None] - with_it
     gap = np.maximum(np.abs(with_it[1] * without[0] - with_it[0] * without[1]) - n.sum() / 2, 0)
@@ -128,6 +142,26 @@ def _telling(ids: np.ndarray, row: np.ndarray, labels: np.ndarray) -> np.ndarray
     return np.flatnonzero(sure & (share.max(axis=0) >= RATIO * share.min(axis=0)))
 
 
+def _cells(data: np.ndarray, borders: np.ndarray, used: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Passage, n-gram (place in used) and share of the passage of each n-gram that has a vector, and the row of each passage."""
+    place = np.full(BUCKETS, -1)
+    place[used] = np.arange(len(used))
+    whose, gram, share, of_rows, count = [], [], [], [], 0
+    for first, end in _stretches(borders):
+        ids, word, rows = grams(data[borders[first] : borders[end]], borders[first : end + 1] - borders[first])
+        of, rows = passages(rows)
+        passage = of[word]
+        size = np.maximum(np.bincount(passage, minlength=len(rows)), 1)
+        known = place[ids] >= 0
+        cell, times = np.unique(passage[known].astype(np.int64) * max(len(used), 1) + place[ids[known]], return_counts=True)
+        whose.append(cell // max(len(used), 1) + count)
+        gram.append(cell % max(len(used), 1))
+        share.append((SCALE * times / size[whose[-1] - count]).astype(np.float32))
+        of_rows.append(rows + first)
+        count += len(rows)
+    return np.concatenate(whose), np.concatenate(gram), np.concatenate(share), np.concatenate(of_rows)
+
+
 def distinct(data: np.ndarray, borders: np.ndarray, labels: np.ndarray) -> np.ndarray:
     """The rows without copies and most near copies of earlier ones of their label: those that share two of four MinHash values of five-word shingles."""
     words = Shingled.of(data, borders)
@@ -153,18 +187,8 @@ def train(data: np.ndarray, borders: np.ndarray, labels: np.ndarray, seed: int =
     if len(set(labels.tolist())) < 2:
         share = float(np.clip(labels.mean() if len(labels) else 0.0, 0.01, 0.5))
         return ToxicModel(np.zeros(BUCKETS, np.float32), float(np.log(share / (1 - share))))
-    ids, whose, rows = grams(data, borders)
-    used = _telling(ids, rows[whose], labels)
-    of, rows = passages(rows)
-    whose = of[whose]
-    size = np.maximum(np.bincount(whose, minlength=len(rows)), 1)
-    place = np.full(BUCKETS, -1)
-    place[used] = np.arange(len(used))
-    known = place[ids] >= 0
-    # how much of each passage is each n-gram that has a vector
-    cell, times = np.unique(whose[known].astype(np.int64) * max(len(used), 1) + place[ids[known]], return_counts=True)
-    whose, gram = cell // max(len(used), 1), cell % max(len(used), 1)
-    share = (SCALE * times / size[whose]).astype(np.float32)
+    used = _telling(data, borders, labels)
+    whose, gram, share, rows = _cells(data, borders, used)
     ends = np.searchsorted(whose, np.arange(len(rows) + 1))
     first = np.searchsorted(rows, np.arange(len(labels) + 1))  # passage of each text
     table, head = rng.normal(0, 0.05, (len(used), DIM)).astype(np.float32), rng.normal(0, 1, (DIM, 2)).astype(np.float32)
