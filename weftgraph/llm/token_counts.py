@@ -168,9 +168,6 @@ class PrefixCounter:
         known = self.words.get(word)
         return self.learn([word])[word] if known is None else known
 
-    def totals(self, words: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.total, words), np.int64, len(words))
-
     def cut_up(self, text: str) -> list[str]:
         """The words to be merged one by one; the library itself splits texts with letters that are newer in one of two Unicode tables."""
         if RARE.search(text):
@@ -189,16 +186,54 @@ class PrefixCounter:
 
     def counts(self, found: list[str]) -> list[int]:
         """The tokens of each text: the sum of its words' last prefixes, and one for each special string."""
+        return [n for n, _ in self.measured(found)]
+
+    def measured(self, found: list[str], budget: int | None = None) -> list[tuple[int, int]]:
+        """The tokens of each text, and the most characters of it that have at most `budget` tokens."""
         if len(found) == 1 and len(found[0]) > PIECE:
-            return [sum(self._counts([x])[0] for x in self.pieces(found[0]))]
-        return self._counts(found)
+            return [self._long(found[0], budget)]
+        split = [[(self.cut_up(part), False) if not special else ([part], True) for part, special in self.parts(t)] for t in found]
+        new = self.learn(set().union(*(w for x in split for w, special in x if not special)).difference(self.words))
+        known, out = self.words, []
+        for t, x in zip(found, split, strict=True):
+            try:
+                n = sum(1 if special else sum(map(known.__getitem__, w)) for w, special in x)
+            except KeyError:  # long words, or the table started anew
+                n = sum(1 if special else sum(new[k] if k in new else self.total(k) for k in w) for w, special in x)
+            out.append((n, len(t) if budget is None or n <= budget else self._cut(x, budget)))
+        return out
 
-    def _counts(self, found: list[str]) -> list[int]:
-        split = [[(self.cut_up(part), 0) if not special else ([], 1) for part, special in self.parts(t)] for t in found]
-        wanted = set().union(*(w for x in split for w, _ in x))
-        known = {w: n for w in wanted if (n := self.words.get(w)) is not None}
-        known |= self.learn(wanted.difference(known))
-        return [sum(sum(map(known.__getitem__, w)) + special for w, special in x) for x in split]
+    def _long(self, text: str, budget: int | None) -> tuple[int, int]:
+        """The same for one text piece by piece: words begin where a piece does."""
+        total, cut, at = 0, len(text), 0
+        for piece in self.pieces(text):
+            left = budget - total if budget is not None and total <= budget else None
+            n, end = self.measured([piece, ""], left)[0]  # two texts, so that a piece that can't be cut is taken as it is
+            if left is not None and n > left:
+                cut = at + end
+            total, at = total + n, at + len(piece)
+        return total, cut
+
+    def _cut(self, split: list[tuple[list[str], bool]], budget: int) -> int:
+        """The end of the longest prefix within the budget, which lies in the first word that goes over it.
+
+        Only the prefix tables of that word and of the two before it are made, with the blanks before those, as a cut text may be split otherwise at
+        its end; all words before them count as they stand.
+        """
+        starts, bases, held = [0], [0], []
+        for words, special in split:
+            for w in words:
+                n = 1 if special else self.total(w)
+                held.append(w)
+                if bases[-1] + n > budget:
+                    low = max(0, len(held) - 3)
+                    while low > 0 and (not held[low].strip() or held[low - 1][-1].isspace() or held[low][0].isspace() and not held[low - 1].strip()):
+                        low -= 1
+                    prefix = self.every_prefix("".join(held[low:])) + bases[low]
+                    return starts[low] + int(np.flatnonzero(prefix <= budget)[-1])
+                starts.append(starts[-1] + len(w))
+                bases.append(bases[-1] + n)
+        return starts[-1]
 
     def pieces(self, text: str) -> Iterator[str]:
         """The text in pieces of about PIECE characters, cut before single blanks between other characters, where words always begin."""
@@ -254,33 +289,8 @@ class PrefixCounter:
         return np.array(out, np.int64)
 
     def truncate(self, text: str, budget: int) -> int:
-        """The most characters of the text that have at most `budget` tokens.
-
-        Only the prefix tables about the word at which the budget ends are made: whole words before it count as they stand.
-        """
-        base = at = 0
-        for piece in self.pieces(text):
-            n = self.count(piece)
-            if base + n > budget:
-                break
-            base, at = base + n, at + len(piece)
-        else:
-            return len(text)
-        # the words of this piece and of the start of the next, as the end of a prefix may be cut otherwise
-        part = text[at : at + len(piece)]
-        borders, counts = [0], [0]
-        for x, special in self.parts(part):
-            words = [x] if special else self.cut_up(x)
-            borders += [borders[-1] + e for e in np.cumsum([len(w) for w in words]).tolist()]
-            counts += [counts[-1] + e for e in ([1] if special else np.cumsum(self.totals(words)).tolist())]
-        over = int(np.searchsorted(counts, budget - base, "right"))  # the first border over the budget
-        low, high = max(0, over - 4), min(len(borders) - 1, over + 4)
-        blank = lambda k: not part[borders[k] : borders[k + 1]].strip() or part[borders[k] - 1 : borders[k]].isspace()
-        while low > 0 and blank(low):  # blanks before are one word with those after, if the text ends there
-            low -= 1
-        tail = text[at + borders[low] : at + borders[high]]
-        prefix = self.every_prefix(tail) + base + counts[low]
-        return at + borders[low] + int(np.flatnonzero(prefix <= budget)[-1])
+        """The most characters of the text that have at most `budget` tokens."""
+        return self.measured([text], budget)[0][1]
 
 
 _counters: dict[str, PrefixCounter] = {}
@@ -304,9 +314,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT, id_col: str = "
         counter = counter_of(path)
         for whole in batches:
             for b in blocks(whole, 2, 8 << 20):
-                found = b.column(2).to_pylist()
-                n = counter.counts(found)
-                cut = [len(t) if k <= limit else counter.truncate(t, limit) for t, k in zip(found, n, strict=True)]
+                n, cut = zip(*counter.measured(b.column(2).to_pylist(), limit), strict=True)
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_()), pa.array(cut, pa.int64())], ["doc_id", "n_bytes", "n_tokens", "over_limit", "cut_at_limit"]
                 )
