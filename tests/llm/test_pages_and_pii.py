@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 import time
 
@@ -103,6 +104,78 @@ def test_pages(spark, sf):
         assert r.text == "\n".join(b for b in blocks if b)
 
 
+class Made:
+    """Random pages, and the text of their articles kept beside as it is made."""
+
+    def __init__(self, seed):
+        self.rng, self.lines = random.Random(seed), []
+
+    def words(self, n):
+        return [self.rng.choice("lorem ipsum dolor sit amet é ß naïve 12 (x) a-b".split()) for _ in range(n)]
+
+    def inline(self, n):
+        """Markup of n words, and their text."""
+        markup, text = [], []
+        for w in self.words(n):
+            kind = self.rng.random()
+            blank = self.rng.choice([" ", "\n ", "  ", "\t"])
+            if kind < 0.1:
+                markup.append(f"<b>{w}</b>{blank}")
+            elif kind < 0.2:
+                markup.append(f"<a href='/x?a=1&amp;b=2'>{w}</a>{blank}")
+            elif kind < 0.25:
+                markup.append(f"{w}<br>")
+            elif kind < 0.3:
+                markup.append(f"{w} &amp;&#x41;<!-- </p> --><script>if (a < b) x = '</p>'</script>{blank}")
+                w += " &A"
+            else:
+                markup.append(w + blank)
+            text.append(w)
+        return "".join(markup), " ".join(text)
+
+    def block(self, tag, n):
+        markup, text = self.inline(n)
+        self.lines.append(text)
+        return f"<{tag}>{markup}</{tag}>" if tag not in ("p", "li", "td") or self.rng.random() < 0.6 else f"<{tag}>{markup}"
+
+    def article(self):
+        out = [self.block("h1", 5), self.block("p", 12)]
+        for _ in range(self.rng.randrange(2, 7)):
+            kind = self.rng.randrange(6)
+            if kind == 0:
+                out.append(f"<ul>{''.join(self.block('li', 6) for _ in range(3))}</ul>")
+            elif kind == 1:
+                out.append(f"<blockquote>{self.block('p', 9)}</blockquote>")
+            elif kind == 2:
+                out.append(f"<table><tr>{self.block('td', 4)}{self.block('td', 5)}</table>")
+            elif kind == 3:
+                out.append(f"<section class='part{self.rng.randrange(9)}'>{self.block('h2', 3)}{self.block('p', 20)}</section>")
+            elif kind == 4:
+                out.append(f"<div class='share-bar'><a href=x>{' '.join(self.words(4))}</a></div><form>{' '.join(self.words(3))}</form><aside>{' '.join(self.words(30))}</aside>")
+            out.append(self.block("p", self.rng.randrange(10, 40)))
+        return "".join(out)
+
+    def page(self, template):
+        junk = lambda tag, mark, n: f"<{tag} {mark}><p>{' '.join(self.words(n))}</p></{tag}>"
+        body = template.format(self.article(), k=self.rng.randrange(100))
+        before = junk("header", "", 8) + "<nav><ul><li><a href=/>Home</a><li>Menu</ul></nav>" + junk("div", "class='cookie-notice'", 30)
+        after = junk("div", "id=sidebar", 60) + junk("section", "class='comments'", 200) + junk("div", "class='ad banner'", 20) + junk("footer", "", 12)
+        return f"<!DOCTYPE html><html><head><title>t</title><style>p {{}}</style></head><body>{before}{body}{after}</body></html>", "\n".join(self.lines)
+
+
+TEMPLATES = ["<article>{}</article>", "<main id=m{k}>{}</main>", "<div class=wrap><div class='post post-{k}'>{}</div></div>", "<div class='layout'><main><article class='entry e{k}'>{}</article></main></div>", "<div class='article-body'>{}</div>"]
+
+
+def test_made_pages(spark):
+    """Articles of random blocks between menus, notices, sidebars, adverts and comments come back whole, and nothing else does."""
+    rows, want = [], {}
+    for i in range(150):
+        html, want[i] = Made(i).page(TEMPLATES[i % 5])
+        rows.append((i, f"https://host{i % 5}.example/{i}", html))
+    got = {r.page_id: r.text for r in html_text.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
+
+
 def feistel(value, left, right, key, tweak):
     """The same network by a plain loop."""
     a, b = divmod(value, right)

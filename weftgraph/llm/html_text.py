@@ -26,7 +26,7 @@ from .arrays import blocks
 from .tables import written
 
 #: Hosts, and bytes of their names and the numbers of their winning paths, that may travel with every task; with more, pages and paths are joined by shuffle.
-HOSTS, HOST_BYTES = 50_000, 16 << 20
+HOSTS, HOST_BYTES = 300_000, 16 << 20
 #: The share of the best score that a deeper container needs to be preferred.
 NEARLY = 0.8
 #: Characters that a block directly in the body, a cell or a form has if it is prose of the article rather than a line of the site.
