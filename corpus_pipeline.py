@@ -33,7 +33,7 @@ def _repeated(docs: DataFrame) -> bool:
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, of the largest doc_id, of each set of equal texts; of rows that repeat id and text one stays."""
-    gone = exact_dedup(docs).filter("NOT kept AND doc_id IS NOT NULL").select("doc_id", F.col("text_sha256").alias("_text")).distinct()
+    gone = exact_dedup(docs).filter("NOT kept AND doc_id IS NOT NULL").select("doc_id", F.col("text_sha256").alias("_text"))
     rows = docs.withColumn("_text", F.sha2(F.coalesce("text", F.lit("")), 256))
     if _repeated(docs):
         rows = rows.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id", "_text"]).unionByName(rows.filter("doc_id IS NULL"))
@@ -43,15 +43,19 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document that each group of linked fingerprints is named after.
 
-    Null and blank texts are one group. Rows without an id stay; of an id with several texts only those of a fingerprint that goes do.
+    Null and blank texts are one group. Rows without an id stay. Of an id with several texts each is in its own group; if more of
+    them are in the group of that name, the one with the least SHA-256 stays.
     """
-    gone = simhash_groups(docs).filter("doc_id <> component_id").select("doc_id", "fingerprint")
+    groups = simhash_groups(docs)
     if not _repeated(docs):
-        return docs.join(gone.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
-    # an id with several texts: only those of a fingerprint that goes
-    prints = text_prints(docs).join(gone.distinct(), ["doc_id", "fingerprint"], "left_semi").select("doc_id", F.col("text_sha256").alias("_text")).distinct()
+        gone = groups.filter("doc_id <> component_id").select("doc_id")
+        return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    # an id with several texts: of those in the group of its name one stays, the first by its hash
+    prints = text_prints(docs).join(groups.filter("doc_id = component_id").select("doc_id", "fingerprint").distinct(), ["doc_id", "fingerprint"])
+    first = prints.join(groups.select("doc_id", "fingerprint", "component_id").distinct(), ["doc_id", "fingerprint"]).groupBy("doc_id", "component_id").agg(F.min("text_sha256").alias("_text"))
     rows = docs.withColumn("_text", F.sha2(F.coalesce("text", F.lit("")), 256))
-    return rows.join(prints, ["doc_id", "_text"], "left_anti").select(docs.columns)
+    kept = rows.filter("doc_id IS NOT NULL").join(first.select("doc_id", "_text").distinct(), ["doc_id", "_text"], "left_semi")
+    return kept.unionByName(rows.filter("doc_id IS NULL")).select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
