@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from weftgraph.api import Graph
 from weftgraph.operators import audit, mutate, order, rank, search, traverse, walk
 from weftgraph.schema import ENTITIES, GraphError, GraphState
-from weftgraph.sources.snapshots import Store, delete_document, report
+from weftgraph.sources.snapshots import Store, delete_document, document_nodes, report
 
 
 class Clock:
@@ -197,6 +197,8 @@ def test_walks(spark):
         g.random_walk("Nobody")
     table = walk.transitions(g.state.relations, None, "forward", "uniform")
     assert {(r.node, r.other): round(r.p, 6) for r in table.collect()} == {("Center", "North"): 0.333333, ("Center", "South"): 0.333333, ("Center", "East"): 0.333333, ("North", "South"): 1.0}
+    starts = spark.createDataFrame([(n, k) for k, n in enumerate(("Center", "North", "East", "Center", "nobody"), 3)], "name string, state long")
+    assert sorted(map(tuple, walk.walks_from(starts, g.state.relations, None, "any", "uniform", 4).collect())) == sorted(map(tuple, walk.random_walks(starts, walk.transitions(g.state.relations, None, "any", "uniform"), 4).collect()))
     state = 12345
     for _ in range(3):
         state ^= (state << 13) & (2**64 - 1)
@@ -285,10 +287,181 @@ def test_document(spark, tmp_path):
     assert got["chunks"] > 1 and got["sentences"] == 18 and 1 <= got["highlights"] <= 3
     assert got["entities"] == 2 + got["chunks"] + got["highlights"]
     assert got["relations"] == 4 + 2 * (got["chunks"] - 1) + 2 + 4 * got["highlights"]
+    parts = document_nodes(g.state, "absint")  # what would go
+    assert parts.count() == got["entities"] and set(names(g.state.entities)) == {"seed", *names(parts)}
     g.state = delete_document(g.state, "absint")
-    assert names(g.state.entities) == ["seed"]
+    assert names(g.state.entities) == ["seed"] and document_nodes(g.state, "absint").count() == 0
     from weftgraph.sources.plaintext import check_extension
 
     for bad in ("a.pdf", "noext"):
         with pytest.raises(GraphError):
             check_extension(bad)
+
+
+class Stops(Exception):
+    pass
+
+
+@pytest.mark.parametrize("at", ["_put", "_point", "rename"])
+def test_writer_that_stops(spark, tmp_path, monkeypatch, at):
+    """A writer that stops before, between or after the steps of moving the pointer leaves the snapshot before, and its lock ends."""
+    now = [1000.0]
+    store = Store(spark, str(tmp_path / "graph"), held=60, clock=lambda: now[0])
+    g = build(spark, [("A", "T", ["x"])])
+    store.write(g.state)
+    g.create_entities([{"name": "B", "entityType": "T", "observations": []}])
+    with monkeypatch.context() as patch:
+        patch.setattr(store, "_unlock", lambda owner: None)  # as if its process had ended
+        if at == "rename":
+            put = store._put
+
+            def stops(name, text, overwrite):
+                put(name, text, overwrite)
+                if name.startswith("_NEW"):
+                    raise Stops
+
+            patch.setattr(store, "_put", stops)
+        else:
+
+            def stops(*a, **k):
+                if at == "_point" or a[0] != "_LOCK":
+                    raise Stops
+                return Store._put(store, *a, **k)
+
+            patch.setattr(store, at, stops)
+        with pytest.raises(Stops):
+            store.write(g.state)
+    again = Store(spark, str(tmp_path / "graph"), held=60, clock=lambda: now[0])
+    assert names(again.read().entities) == ["A"] and again.state() == "current"
+    with pytest.raises(GraphError, match="being written"):
+        again.write(g.state)
+    now[0] += 61
+    again.write(g.state)
+    assert names(again.read().entities) == ["A", "B"] and not (tmp_path / "graph" / "_LOCK").exists()
+
+
+def test_slow_writer_and_numbers(spark, tmp_path):
+    """A writer whose lock was taken over changes nothing, and of two one gets the next number."""
+    now = [0.0]
+    g = build(spark, [("A", "T", [])])
+    slow, fast = (Store(spark, str(tmp_path / "graph"), held=10, clock=lambda: now[0]) for _ in range(2))
+    owner = slow._lock()
+    now[0] = 11.0
+    fast.write(g.state)
+    assert slow._owner() != owner
+    slow._unlock(owner)
+    with pytest.raises(GraphError, match="meanwhile"):
+        slow._point(0, {"format": 3, "snapshot": "x", "previous": None})
+    for _ in range(12):
+        number, held = fast._current()
+        fast._point(number, held)
+    assert len(fast._pointers()) <= 9 and names(fast.read().entities) == ["A"]
+
+
+def test_pointer_of_before(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "graph"))
+    name = store.write(build(spark, [("A", "T", [])]).state)
+    (number, pointer), at = store._pointers()[-1], tmp_path / "graph"
+    (at / pointer).rename(at / "_CURRENT")
+    assert number == 1 and names(store.read().entities) == ["A"]
+    store.write(build(spark, [("B", "T", [])]).state)
+    assert names(store.read().entities) == ["B"] and store._current()[1]["previous"] == name
+
+
+def test_pages_of_strings(spark):
+    g = build(spark, [("A", "T1", []), ("B", 'T"2', ["x" * 140])], [("A", "rel", "B")])
+    assert g.get_entity_types()["items"] == ['"T\\"2"', '"T1"'] and g.get_relation_types()["items"] == ['"rel"']
+    g.state = GraphState(g.state.entities.filter("name = 'A'").withColumn("observations", F.array(F.lit("y" * 150), F.lit("z"))), g.state.relations, g.state.ranks)
+    got = g.validate_graph()
+    assert got["missingEntities"]["items"] == ['"B"'] and got["observationViolations"]["items"] == ['{"entity":"A","count":2,"oversizedObservations":[0]}']
+    import json
+
+    zero = GraphState(g.state.entities.withColumns({"mtime": F.lit(0).cast("bigint"), "obs_mtime": F.lit(5).cast("bigint")}), g.state.relations, g.state.ranks)
+    g.state = zero
+    item = json.loads(g.open_nodes(["A"])["entities"]["items"][0])
+    assert "mtime" not in item and item["obsMtime"] == 5
+
+
+def test_visits_are_logged_and_folded(spark, monkeypatch):
+    from weftgraph import api
+
+    monkeypatch.setattr(api, "LOG", 3)
+    g = build(spark, [("A", "T", []), ("B", "T", [])], [("A", "r", "B")])
+    base = g._base.ranks
+    for k in range(1, 6):
+        g.search_nodes("^A$")
+        assert {r.name: r.walker_visits for r in g.state.ranks.collect()} == {"A": k, "B": 0} and len(g._log) == k % 3
+    assert g._base.ranks is not base
+    entities = g._base.entities
+    g.create_relations([{"from": "B", "relationType": "r", "to": "A"}])
+    assert {r.name: r.walker_visits for r in g.state.ranks.collect()} == {"A": 5, "B": 0} and g._base.entities is not entities
+    relations = g._base.relations
+    g.add_observations([{"entityName": "A", "contents": ["o"]}])
+    assert g._base.relations is relations and g.get_stats()["relation_count"] == 2
+    other = Graph(spark, g.state)  # what it replaces is another graph's, and stays
+    other.create_entities([{"name": "C", "entityType": "T", "observations": []}])
+    assert names(other.state.entities) == ["A", "B", "C"] and names(g.state.entities) == ["A", "B"]
+
+
+def test_hub_in_slots(spark, monkeypatch):
+    """Ranks are the same if a hub's relations are dealt over many slots."""
+    links = [("Hub", "r", f"L{i}") for i in range(40)] + [(f"L{i}", "r", "Hub") for i in range(0, 40, 3)] + [("L1", "r", "L2"), ("Hub", "s", "L1"), ("L5", "r", "gone")]
+    entities = spark.createDataFrame([(i, n, "T", [], None, None) for i, n in enumerate(["Hub", *(f"L{i}" for i in range(40))])], ENTITIES)
+    relations = spark.createDataFrame([(i, a, b, t, None) for i, (a, t, b) in enumerate(links)], "seq bigint, src string, dst string, rel_type string, mtime bigint")
+    both = []
+    for hub in (100_000, 3):
+        monkeypatch.setattr(rank, "HUB", hub)
+        nodes, edges = rank.numbered(entities, relations)
+        assert nodes.filter("name = 'Hub'").first().slots == (1 if hub > 3 else 14) and edges.count() == len(links) - 1
+        assert edges.select("src", "slot").distinct().count() > (60 if hub == 3 else 0) - 60
+        one = {r.name: (round(r.visits, 9), round(r.rank, 9)) for r in rank.structural_rank(entities, relations, 8).collect()}
+        both.append((one, {r.name: round(r.psi, 9) for r in rank.entropy_psi(entities, relations, 30).collect()}))
+    assert both[0] == both[1] and len(both[0][0]) == 41
+
+
+def test_running_sums(spark):
+    import random
+
+    from weftgraph.operators.running import running
+
+    rng = random.Random(2)
+    rows = [("hot" if rng.random() < 0.8 else f"k{rng.randrange(5)}", i * 7919 % 4001, rng.randrange(9)) for i in range(3000)]
+    got = running(spark.createDataFrame(rows, "k string, o int, v int").repartition(7), ["k"], ["o"], total="v").collect()
+    want, sums = {}, {}
+    for k, o, v in sorted(rows):
+        sums[k] = want[k, o] = sums.get(k, 0) + v
+    assert {(r.k, r.o): r.total for r in got} == want
+
+
+def test_medians_and_drift(spark, monkeypatch):
+    import random
+    import statistics
+
+    from weftgraph.operators import measure
+
+    rng = random.Random(8)
+    rows = [(f"op{rng.randrange(3)}", i, float(rng.randrange(60) + (100 if i > 700 else 0))) for i in range(900)] + [("op0", 900, None), ("one", 1, 5.0)]
+    df = spark.createDataFrame(rows, "op string, seq int, value double")
+    by: dict = {}
+    for k, i, v in rows:
+        by.setdefault(k, []).append((i, v))
+    got = {r.op: r["median"] for r in measure.medians(df).collect()}
+    assert got == {k: statistics.median(v for _, v in x if v is not None) for k, x in by.items()}
+    want = {}
+    for k, x in by.items():
+        for j, (i, v) in enumerate(x):
+            before = [y for _, y in x[max(0, j - 20) : j] if y is not None]
+            want[k, i] = statistics.median(before) if before else None
+    for block in (10_000, 50):
+        monkeypatch.setattr(measure, "DRIFT_BLOCK", block)
+        assert {(r.op, r.seq): r.rolling for r in measure.drift(df).collect()} == want
+
+
+def test_path_budget_by_default(spark):
+    assert traverse.memory_budget(spark) > 1 << 20
+    spark.conf.set("weftgraph.path.budget", "100")
+    try:
+        chain = build(spark, [(f"n{i}", "T", ()) for i in range(8)], [(f"n{i}", "r", f"n{i + 1}") for i in range(7)])
+        assert chain.find_path("n0", "n7", max_depth=10)["budgetExhausted"] and not chain.find_path("n0", "n7", max_depth=10, budget=1 << 30)["budgetExhausted"]
+    finally:
+        spark.conf.unset("weftgraph.path.budget")

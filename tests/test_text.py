@@ -75,6 +75,7 @@ def test_ranks_against_matrix(spark, loaded):
     weights = text.term_weights(loaded, text.document_frequencies(corpus), corpus.count())
     cosines = text.sentence_cosines(found, weights)
     ranks = {(r.doc_id, r.sentence): r.score for r in text.sentence_ranks(found, cosines, 12).collect()}
+    assert {(r.doc_id, r.sentence): round(r.score, 12) for r in text.ranks_by_words(found, weights, 12).collect()} == {k: round(v, 12) for k, v in ranks.items()}
     for doc in (1, 2):
         sent = [r.text for r in found.filter(f"doc_id = {doc}").orderBy("sentence").collect()]
         weight = {r.word: r.weight for r in weights.filter(f"doc_id = {doc}").collect()}
@@ -87,12 +88,16 @@ def test_ranks_against_matrix(spark, loaded):
 
 
 def test_ranks_converge(spark, loaded, tmp_path):
-    """By default a document's rounds go on to the reference's tolerance, and the queries over documents take all highlights."""
+    """By default a document's rounds go on to the tolerance, and the queries over documents take all highlights."""
     corpus = spark.createDataFrame([("graphs and nodes",), ("edges edges",), ("nothing here",), ("walks over graphs",), ("x",)], "text string")
     found = text.sentences(loaded)
     weights = text.term_weights(loaded, text.document_frequencies(corpus), corpus.count())
     ranks = {(r.doc_id, r.sentence): r.score for r in text.sentence_ranks(found, text.sentence_cosines(found, weights)).collect()}
     assert len(ranks) == found.count()
+    by_words = {(r.doc_id, r.sentence): r.score for r in text.ranks_by_words(found, weights).collect()}
+    assert by_words.keys() == ranks.keys() and all(abs(by_words[k] - v) < 1e-12 for k, v in ranks.items())
+    none = {(r.doc_id, r.sentence): r.score for r in text.ranks_by_words(found, weights.limit(0), 3).collect()}
+    assert none == {(r.doc_id, r.sentence): r.score for r in text.sentence_ranks(found, text.sentence_cosines(found, weights).limit(0), 3).collect()}
     for doc in (1, 2):
         sent = [r.text for r in found.filter(f"doc_id = {doc}").orderBy("sentence").collect()]
         weight = {r.word: r.weight for r in weights.filter(f"doc_id = {doc}").collect()}
@@ -140,12 +145,14 @@ def test_trigrams(spark):
     strings = spark.createDataFrame([(1, "memory artefact"), (2, "Memory"), (3, "ab"), (4, "αβγδ"), (5, "xαβγx"), (6, None), (7, "")], "id long, text string")
     index = trigram.rebuild(strings)
     found = lambda p: sorted(r.id for r in trigram.candidates(strings, index, p).collect())
-    assert found("memory") == [1] and found("αβγ") == [4, 5] and found("emory") == [1, 2] and found(".") == [1, 2, 3, 4, 5, 6, 7]
+    # the index is in lower case, so candidates are those of any case; the match itself tells case apart
+    assert found("memory") == found("MEMORY") == [1, 2] and found("αβγ") == [4, 5] and found("emory") == [1, 2] and found(".") == [1, 2, 3, 4, 5, 6, 7]
     assert sorted(r.id for r in trigram.search_text(strings, "m.m|αβ", index).collect()) == [1, 4, 5]
     less = trigram.remove(index, strings.filter("id = 1"))
-    assert trigram.candidates(strings, less, "memory").count() == 0
+    assert [r.id for r in trigram.candidates(strings, less, "memory").collect()] == [2]
+    assert sorted(r.id for r in trigram.search_text(strings, r"\bmem\w+|ΑΒ", index, "script", any_case=True).collect()) == [1, 2, 4, 5]
     more = trigram.add(less, spark.createDataFrame([(9, "memory"), (2, "other")], "id long, text string"))
-    assert [r.id for r in trigram.candidates(strings, more, "memory").collect()] == [9] and trigram.candidates(strings, more, "Memory").count() == 0
+    assert [r.id for r in trigram.candidates(strings, more, "memory").collect()] == [9] and trigram.candidates(strings, more, "Memoir").count() == 0
     assert trigram.index_size(index).first()["ids"] == 4
 
 
@@ -188,3 +195,11 @@ def test_stream_equals_batch(spark, sf, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert spark.table("seen").exceptAll(visits.windowed_visits(events)).count() == 0 and spark.table("seen").count() == visits.windowed_visits(events).count()
+
+
+def test_sentences_in_chunks(spark):
+    """The chunk a sentence starts in, against all pairs: in gaps, at borders, before the first."""
+    parts = [(1, 0, "a", 3, 10), (1, 1, "b", 10, 14), (1, 2, "c", 20, 30), (2, 0, "d", 0, 5)]
+    found = [(1, k, at) for k, at in enumerate([0, 3, 9, 10, 13, 14, 19, 20, 29, 30, 44])] + [(2, 0, 4), (2, 1, 5), (3, 0, 0)]
+    got = text.sentence_chunks(spark.createDataFrame(found, "doc_id long, sentence int, start int"), spark.createDataFrame(parts, "doc_id long, chunk int, chunk_id string, start int, end int"))
+    assert {tuple(r) for r in got.collect()} == {(d, k, c, i) for d, k, at in found for e, c, i, a, b in parts if d == e and a <= at < b}

@@ -24,7 +24,8 @@ class Graph:
 
     Searches and neighbourhoods count one visit for all that they found, not only for the page returned. Visits are logged, a small table
     a call; ranks read the log with the base, and it is folded into the base by the next change of the ranks or when it has LOG tables.
-    A change writes the tables that it changes, no others, and drops what they replace.
+    A change writes the tables that it changes, no others, and drops those of its own that they replace, so frames of an earlier state
+    can't be read after it.
     """
 
     def __init__(self, spark: SparkSession, state: GraphState | None = None, clock=lambda: int(time.time() * 1000)):
@@ -44,7 +45,7 @@ class Graph:
 
     @state.setter
     def state(self, state: GraphState) -> None:
-        self._base, self._log, self._seen = state, [], None
+        self._base, self._log, self._seen, self._own = state, [], None, []
 
     # changes
 
@@ -101,14 +102,20 @@ class Graph:
         return answer
 
     def _take(self, state: GraphState) -> None:
-        """Write what has changed, which cuts its lineage, and drop what it replaces."""
+        """Write what has changed, which cuts its lineage, and drop what it replaces of what this graph has written."""
         old, base = self.state, self._base
-        parts = {n: getattr(base, n) if getattr(state, n) is getattr(old, n) else written(getattr(state, n)) for n in ("entities", "relations", "ranks")}
-        gone = [getattr(base, n) for n, df in parts.items() if df is not getattr(base, n)]
-        if parts["ranks"] is not base.ranks:
-            gone, self._log = gone + self._log, []
+        parts, fresh, gone = {}, [], []
+        for n in ("entities", "relations", "ranks"):
+            parts[n] = getattr(base, n)
+            if getattr(state, n) is not getattr(old, n):
+                gone.append(parts[n])
+                parts[n] = written(getattr(state, n))
+                fresh.append(parts[n])
+        held, self._log = ([], self._log) if parts["ranks"] is base.ranks else (self._log, [])
+        stale = [df for df in self._own if any(df is x for x in gone)] + held
+        self._own = [df for df in self._own if not any(df is x for x in gone)] + fresh
         self._base, self._seen = GraphState(**parts), None
-        for df in gone:
+        for df in stale:
             forget(df)
 
     def resample(self, steps: int = 50, iterations: int = rank.MOST) -> None:
@@ -210,7 +217,6 @@ class Graph:
     def random_walk(self, start: str, depth=3, seed: str | None = None, direction="forward", mode="merw") -> dict:
         search.require(self.state.entities, start)
         psi = self.state.ranks.filter("psi IS NOT NULL").select("name", "psi")
-        table = walk.transitions(self.state.relations, psi, direction, mode)
         first = self.spark.createDataFrame([(start, walk.seed_number(str(self.clock()) if seed is None else seed))], "name string, state long")
-        row = walk.random_walks(first, table, depth).first()
+        row = walk.walks_from(first, self.state.relations, psi, direction, mode, depth).first()
         return {"entity": row["entity"], "path": row["path"]}

@@ -98,7 +98,7 @@ def term_weights(docs: DataFrame, frequencies: DataFrame, corpus: int, id_col: s
 
 
 def sentence_cosines(found: DataFrame, weights: DataFrame) -> DataFrame:
-    """doc_id, i, j, cosine of the pairs i < j of a document's sentences that share a word.
+    """doc_id, i, j, cosine of the pairs i < j of a document's sentences that share a word: as many rows as there are such pairs, so ranks come from ranks_by_words.
 
     Word vectors hold the document's weights, masked by the words that a sentence has: pairs come from an equi join on document and word.
     """
@@ -112,8 +112,40 @@ def sentence_cosines(found: DataFrame, weights: DataFrame) -> DataFrame:
     return dots.select("doc_id", "i", "j", F.when(size > 0, F.col("dot") / size).otherwise(0.0).alias("cosine"))
 
 
+def word_shares(found: DataFrame, weights: DataFrame) -> DataFrame:
+    """doc_id, sentence, word, b: a sentence's word vector divided by its length, so that two sentences' cosine is the sum of b * b over their words."""
+    words = found.select("doc_id", "sentence", F.explode(F.array_distinct("words")).alias("word")).join(weights.select("doc_id", "word", "weight"), ["doc_id", "word"])
+    norms = words.groupBy("doc_id", "sentence").agg(F.sqrt(F.sum(F.col("weight") ** 2)).alias("norm"))
+    return words.join(norms.filter("norm > 0"), ["doc_id", "sentence"]).select("doc_id", "sentence", "word", (F.col("weight") / F.col("norm")).alias("b"))
+
+
+def ranks_by_words(found: DataFrame, weights: DataFrame, steps: int | None = None, damping: float = 0.85, tolerance: float = TOLERANCE) -> DataFrame:
+    """doc_id, sentence, score: what sentence_ranks gives from sentence_cosines, without a row for each pair of sentences.
+
+    A round sends each sentence's score to its words and each word's sum back, less what came from the sentence itself: it takes as many rows as
+    sentences have words, where pairs would be the square of the sentences that share a common word.
+    """
+    from weftgraph.plans.lineage import written
+
+    shares = written(word_shares(found, weights))
+
+    def received(sums: DataFrame, own: Column) -> DataFrame:
+        """For each sentence the sum over its words of b times what the word's other sentences sent; a word of one sentence gives zero exactly."""
+        return shares.join(sums, ["doc_id", "word"]).groupBy("doc_id", "sentence").agg(F.sum(F.col("b") * (F.col("u") - own)).alias("m"))
+
+    rows = received(shares.groupBy("doc_id", "word").agg(F.sum("b").alias("u")), F.col("b")).filter("m > 0").select("doc_id", "sentence", F.col("m").alias("r"))
+    shares = written(shares.join(rows, ["doc_id", "sentence"]), shares)
+
+    def moved(ranks: DataFrame) -> DataFrame:
+        sent = shares.join(ranks.select("doc_id", "sentence", "score"), ["doc_id", "sentence"]).withColumn("q", F.col("b") * F.col("score") / F.col("r"))
+        sums = sent.groupBy("doc_id", "word").agg(F.sum("q").alias("u"))
+        return sent.join(sums, ["doc_id", "word"]).groupBy("doc_id", "sentence").agg(F.sum(F.col("b") * (F.col("u") - F.col("q"))).alias("m"))
+
+    return _rounds(found, moved, steps, damping, tolerance)
+
+
 def sentence_ranks(found: DataFrame, cosines: DataFrame, steps: int | None = None, damping: float = 0.85, tolerance: float = TOLERANCE) -> DataFrame:
-    """doc_id, sentence, score: each document's ranks by rounds of s = (1 - d) / n + d * sum(M / R * s).
+    """doc_id, sentence, score: each document's ranks by rounds of s = (1 - d) / n + d * sum(M / R * s), from the pairs (i, j, cosine) of M.
 
     Rounds go on until a document's own scores change by less than `tolerance`, or for `steps` rounds if given. Rows of the similarity
     matrix that are zero give nothing. The rounds are joins over all documents together that aren't final yet.
@@ -123,13 +155,20 @@ def sentence_ranks(found: DataFrame, cosines: DataFrame, steps: int | None = Non
     both = cosines.select("doc_id", F.col("i").alias("a"), F.col("j").alias("b"), "cosine").unionByName(cosines.select("doc_id", F.col("j").alias("a"), F.col("i").alias("b"), "cosine"))
     sums = both.groupBy("doc_id", "a").agg(F.sum("cosine").alias("r")).filter("r > 0")
     steps_of = written(both.join(sums, ["doc_id", "a"]).select("doc_id", "a", "b", (F.col("cosine") / F.col("r")).alias("p")))
-    counts = found.groupBy("doc_id").agg(F.count("*").alias("n"))
-    ranks = base = written(found.select("doc_id", "sentence").join(counts, "doc_id").withColumn("score", 1 / F.col("n")))
 
     def moved(ranks: DataFrame) -> DataFrame:
         given = steps_of.join(ranks.select("doc_id", F.col("sentence").alias("a"), "score"), ["doc_id", "a"])
         return given.groupBy("doc_id", F.col("b").alias("sentence")).agg(F.sum(F.col("p") * F.col("score")).alias("m"))
 
+    return _rounds(found, moved, steps, damping, tolerance)
+
+
+def _rounds(found: DataFrame, moved, steps: int | None, damping: float, tolerance: float) -> DataFrame:
+    """Scores of each document's sentences after `steps` rounds, or when a document's own change by less than the tolerance; moved: scores -> doc_id, sentence, m."""
+    from weftgraph.plans.lineage import forget, written
+
+    counts = found.groupBy("doc_id").agg(F.count("*").alias("n"))
+    ranks = base = written(found.select("doc_id", "sentence").join(counts, "doc_id").withColumn("score", 1 / F.col("n")))
     new = (1 - damping) / F.col("n") + damping * F.coalesce("m", F.lit(0.0))
     if steps is not None:
         for k in range(steps):
@@ -139,12 +178,15 @@ def sentence_ranks(found: DataFrame, cosines: DataFrame, steps: int | None = Non
         return ranks.select("doc_id", "sentence", "score")
     final = []
     for _ in range(ROUNDS):
-        ranks = written(ranks.join(moved(ranks), ["doc_id", "sentence"], "left").select("doc_id", "sentence", "n", new.alias("score"), F.abs(new - F.col("score")).alias("change")))
-        changes = ranks.groupBy("doc_id").agg(F.sum("change").alias("change"))
+        after = written(ranks.join(moved(ranks), ["doc_id", "sentence"], "left").select("doc_id", "sentence", "n", new.alias("score"), F.abs(new - F.col("score")).alias("change")), ranks)
+        changes = after.groupBy("doc_id").agg(F.sum("change").alias("change"))
         ended = written(changes.filter(F.col("change") < tolerance).select("doc_id"))
-        ranks = ranks.select("doc_id", "sentence", "n", "score")
-        if not ended.isEmpty():
-            final.append(ranks.join(ended, "doc_id", "left_semi").select("doc_id", "sentence", "score"))
+        ranks = after.drop("change")
+        if ended.isEmpty():
+            forget(ended)
+            ranks._weftgraph_path = after._weftgraph_path
+        else:
+            final.append(after.join(ended, "doc_id", "left_semi").select("doc_id", "sentence", "score"))
             ranks = written(ranks.join(ended, "doc_id", "left_anti"))
         if ranks.isEmpty():
             break
@@ -247,7 +289,7 @@ def load_documents(docs: DataFrame, corpus: DataFrame, top: int = TOP, steps: in
     parts, found = written(chunks(pieces)), written(sentences(docs))
     size = corpus.count()
     weights = written(term_weights(docs, document_frequencies(corpus), size))
-    ranks = sentence_ranks(found, sentence_cosines(found, weights) if size else sentence_cosines(found, weights).limit(0), steps)
+    ranks = ranks_by_words(found, weights if size else weights.limit(0), steps)
     marks = written(highlights(found, ranks, sentence_chunks(found, parts), top))
     titles = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "title")
     entities, relations = document_graph(parts, marks, titles)

@@ -95,7 +95,7 @@ def _neighbours(start, depth, way):
 
 def _layer(spark, d):
     """The layer of orders and their customers, which leaves most entities apart; and the entities without customers, who then are missing ends."""
-    return tables.relations(spark, d).filter("rel_type = 'placed_by'"), tables.entities(spark, d).filter("entity_type <> 'Customer'")
+    return tables.relations(spark, d, {"placed_by"}), tables.entities(spark, d).filter("entity_type <> 'Customer'")
 
 
 LAYER = f"""{GRAPH}, layer AS (SELECT * FROM rels WHERE rel_type = 'placed_by'), few AS (SELECT * FROM ents WHERE entity_type <> 'Customer')"""
@@ -365,6 +365,21 @@ def _imported(spark, d):
     return jsonl.import_graph(one.unionByName(two.select(one.columns)))
 
 
+def _lines(spark, d):
+    """Lines made of conversations: what users say as entities, answers as relations, all else as it is, which is no line of a graph."""
+    turns = tables.table(spark, d, "conversations").withColumn("place", F.col("conv_id") * 1000 + F.col("turn"))
+    name = F.concat(F.lit("c"), "conv_id")
+    one = F.to_json(F.struct(F.lit("entity").alias("type"), name.alias("name"), F.col("role").alias("entityType"), F.array("text", "role").alias("observations"), F.col("turn").alias("mtime")))
+    two = F.to_json(F.struct(F.lit("relation").alias("type"), name.alias("from"), F.lit("x").alias("to"), F.col("role").alias("relationType")))
+    lines = turns.select("place", F.when(F.col("role") == "user", one).when(F.col("role") == "assistant", two).otherwise(F.concat(F.lit("- "), F.coalesce("text", F.lit("")))).alias("value"))
+    found = jsonl.parsed(lines)
+    return found.select("place", "bad", *(F.coalesce(c, F.lit("")).alias(a) for c, a in (("name", "name"), ("entityType", "entity_type"), ("from", "src"), ("relationType", "rel_type"))), F.coalesce(F.array_join("observations", "|"), F.lit("")).alias("observations"))
+
+
+LINES = """SELECT conv_id * 1000 + turn AS place, role NOT IN ('user', 'assistant') AS bad, CASE role WHEN 'user' THEN 'c' || conv_id ELSE '' END AS name, CASE role WHEN 'user' THEN role ELSE '' END AS entity_type,
+    CASE role WHEN 'assistant' THEN 'c' || conv_id ELSE '' END AS src, CASE role WHEN 'assistant' THEN role ELSE '' END AS rel_type, CASE role WHEN 'user' THEN array_to_string([text, role], '|') ELSE '' END AS observations FROM conversations"""
+
+
 def _imported_entities(spark, d):
     return _flat(_imported(spark, d)[0]).select("name", "entity_type", "observations", "mtime", "obs_mtime")
 
@@ -455,10 +470,16 @@ def _hourly(spark, d):
 
 def _cosine(spark, d):
     """Embeddings by cosine to the mean of their label, in dense vectors."""
-    rows = tables.table(spark, d, "embeddings").select("vec_id", "label", F.posexplode("embedding").alias("k", "x"))
-    rows = rows.withColumn("x", F.col("x").cast("double"))
-    means = rows.groupBy("label", "k").agg(F.avg("x").alias("m"))
-    both = rows.join(means, ["label", "k"]).groupBy("vec_id").agg(F.sum(F.col("x") * F.col("m")).alias("dot"), F.sqrt(F.sum(F.col("x") ** 2)).alias("a"), F.sqrt(F.sum(F.col("m") ** 2)).alias("b"))
+    rows = tables.table(spark, d, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("x"))
+    size = rows.agg(F.max(F.size("x"))).first()[0] or 0
+    means = rows.groupBy("label").agg(F.array(*(F.avg(F.get("x", F.lit(k))) for k in range(size))).alias("m"))
+    total = lambda values: F.aggregate(values, F.lit(0.0), lambda a, v: a + v)
+    both = rows.join(means, "label").select(
+        "vec_id",
+        total(F.zip_with("x", "m", lambda x, m: x * m)).alias("dot"),
+        F.sqrt(total(F.transform("x", lambda x: x * x))).alias("a"),
+        F.sqrt(total(F.transform("m", lambda m: m * m))).alias("b"),
+    )
     return both.select("vec_id", F.round(F.when(F.col("a") * F.col("b") > 0, F.col("dot") / (F.col("a") * F.col("b"))).otherwise(0.0), 6).alias("cosine"))
 
 
@@ -551,6 +572,7 @@ def _all() -> dict:
         "delete_relations": (_unrelate, f"WITH {RELATIONS} SELECT src, dst, rel_type FROM rels WHERE rel_type NOT IN ('in_nation', 'in_region')"),
         "record_visits": (_visited, f"WITH {ENTITIES}, {VISITS}, m AS (SELECT name, walker_visits + CASE WHEN name IN (SELECT 'customer:' || c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') THEN 2 ELSE 0 END AS walker_visits FROM walk) SELECT name, walker_visits FROM m WHERE walker_visits > 0"),
         "thought_chain": (_thoughts, THOUGHTS),
+        "jsonl_lines": (_lines, LINES),
         "jsonl_import_entities": (
             _imported_entities,
             IMPORTED + " SELECT name, role AS entity_type, left(text, 140) || ' | ' || role AS observations, 0::BIGINT AS mtime, turn AS obs_mtime FROM f WHERE rn = 1",

@@ -99,29 +99,30 @@ def _parts(docs, corpus):
 
     found = written(text.sentences(docs))
     weights = text.term_weights(docs, text.document_frequencies(corpus), corpus.count())
-    return docs, found, text.sentence_cosines(found, written(weights))
+    return docs, found, written(weights)
 
 
 def _cosines(spark, d):
-    return _turn_parts(spark, d)[2].select("doc_id", "i", "j", F.round("cosine", 6).alias("cosine"))
+    _, found, weights = _turn_parts(spark, d)
+    return text.sentence_cosines(found, weights).select("doc_id", "i", "j", F.round("cosine", 6).alias("cosine"))
 
 
 def _ranks(spark, d):
-    _, found, cosines = _turn_parts(spark, d)
-    return text.sentence_ranks(found, cosines, STEPS).select("doc_id", "sentence", F.round("score", 11).alias("score"))
+    _, found, weights = _turn_parts(spark, d)
+    return text.ranks_by_words(found, weights, STEPS).select("doc_id", "sentence", F.round("score", 11).alias("score"))
 
 
 def _marks(spark, d):
-    docs, found, cosines = _turn_parts(spark, d)
+    docs, found, weights = _turn_parts(spark, d)
     parts = text.chunks(text.observations(docs))
-    marks = text.highlights(found, text.sentence_ranks(found, cosines, STEPS), text.sentence_chunks(found, parts), top=3)
+    marks = text.highlights(found, text.ranks_by_words(found, weights, STEPS), text.sentence_chunks(found, parts), top=3)
     return marks.select("doc_id", F.col("place").cast("int").alias("place"), "sentence", "phrase")
 
 
 def _packed(spark, d):
-    docs, found, cosines = _turn_parts(spark, d)
+    docs, found, weights = _turn_parts(spark, d)
     parts = text.chunks(text.observations(docs))
-    marks = text.highlights(found, text.sentence_ranks(found, cosines, STEPS), text.sentence_chunks(found, parts), top=8)
+    marks = text.highlights(found, text.ranks_by_words(found, weights, STEPS), text.sentence_chunks(found, parts), top=8)
     return text.packed_index(marks).select("doc_id", F.array_join("observations", "~").alias("observations"))
 
 
@@ -185,8 +186,8 @@ def _titled(spark, d):
 
 def _whole_ranks(spark, d):
     docs = _titled(spark, d)
-    _, found, cosines = _parts(docs, docs.select("text"))
-    return text.sentence_ranks(found, cosines)
+    _, found, weights = _parts(docs, docs.select("text"))
+    return text.ranks_by_words(found, weights)
 
 
 def _whole_word_ranks(spark, d):
@@ -198,8 +199,8 @@ def _whole_word_ranks(spark, d):
 
 def _whole_marks(spark, d):
     docs = _titled(spark, d)
-    _, found, cosines = _parts(docs, docs.select("text"))
-    return text.highlights(found, text.sentence_ranks(found, cosines), text.sentence_chunks(found, text.chunks(text.observations(docs))))
+    _, found, weights = _parts(docs, docs.select("text"))
+    return text.highlights(found, text.ranks_by_words(found, weights), text.sentence_chunks(found, text.chunks(text.observations(docs))))
 
 
 def _whole_entries(spark, d):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.schema import MAX_LENGTH, MAX_OBSERVATIONS
@@ -12,7 +12,11 @@ LINE = "type string, name string, entityType string, observations array<string>,
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """The parsed lines with `place`, and `bad` for those that are no entity or relation."""
-    raw = spark.read.text(path).filter(F.trim("value") != "").withColumn("place", F.monotonically_increasing_id())
+    return parsed(spark.read.text(path).filter(F.trim("value") != "").withColumn("place", F.monotonically_increasing_id()))
+
+
+def parsed(raw: DataFrame) -> DataFrame:
+    """Lines (place, value) with their fields, and `bad` for those that are no entity or relation."""
     found = raw.withColumn("r", F.from_json("value", LINE)).select("place", "value", "r.*")
     entity = (F.col("type") == "entity") & F.col("name").isNotNull() & F.col("entityType").isNotNull()
     relation = (F.col("type") == "relation") & F.col("from").isNotNull() & F.col("to").isNotNull() & F.col("relationType").isNotNull()
@@ -26,8 +30,8 @@ def import_graph(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     Relations without both ends are passed over; equal ones all stay.
     """
     good = lines.filter("NOT bad")
-    first = Window.partitionBy("name").orderBy("place")
-    entities = good.filter("type = 'entity'").withColumn("rn", F.row_number().over(first)).filter("rn = 1")
+    entities = good.filter("type = 'entity'")  # the first by name is a combined minimum, whatever the number of a name's lines
+    entities = entities.groupBy("name").agg(F.min(F.struct("place", "entityType", "observations", "mtime", "obsMtime")).alias("f")).select("name", "f.*")
     short = F.transform(F.slice(F.coalesce("observations", F.array().cast("array<string>")), 1, MAX_OBSERVATIONS), lambda x: F.substring(x, 1, MAX_LENGTH))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint")
     entities = entities.select(F.col("place").alias("seq"), "name", F.col("entityType").alias("entity_type"), short.alias("observations"), zero("mtime").alias("mtime"), zero("obsMtime").alias("obs_mtime"))

@@ -44,24 +44,25 @@ def _named(kind: str, key: str):
     return F.concat(F.lit(f"{kind}:"), F.col(key))
 
 
-def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+def relations(spark: SparkSession, sf_dir: str, types: set[str] | None = None) -> DataFrame:
+    """All relations, or those of some types, for which no other table is read."""
     none = F.lit(None).cast("bigint")
 
     def key(name, place, rel_type, kind, own, to, other, mtime=none):
         return table(spark, sf_dir, name).select((F.lit(place * RELATION_STEP) + F.col(own)).cast("bigint").alias("seq"), _named(kind, own).alias("src"), _named(to, other).alias("dst"), F.lit(rel_type).alias("rel_type"), mtime.alias("mtime"))
 
-    def pair(place, rel_type, kind, own, to, other):
-        pairs = table(spark, sf_dir, "lineitem").groupBy(own, other).agg(F.max(millis("l_shipdate")).alias("mtime"))
-        return pairs.select((F.lit(place * RELATION_STEP) + F.col(own) * PAIR_STEP + F.col(other)).cast("bigint").alias("seq"), _named(kind, own).alias("src"), _named(to, other).alias("dst"), F.lit(rel_type).alias("rel_type"), "mtime")
-
-    parts = [
-        key("nation", 0, "in_region", "nation", "n_nationkey", "region", "n_regionkey"),
-        key("customer", 1, "in_nation", "customer", "c_custkey", "nation", "c_nationkey"),
-        key("supplier", 2, "in_nation", "supplier", "s_suppkey", "nation", "s_nationkey"),
-        key("orders", 3, "placed_by", "order", "o_orderkey", "customer", "o_custkey", millis("o_orderdate")),
-        pair(4, "contains", "order", "l_orderkey", "part", "l_partkey"),
-        pair(5, "supplied_by", "part", "l_partkey", "supplier", "l_suppkey"),
-    ]
+    # both pairs of keys of a line item are summed in one scan and one shuffle, by number; names are made of the sums
+    asked = lambda rel_type: types is None or rel_type in types
+    pairs = [p for p in [(4, "contains", "order", "l_orderkey", "part", "l_partkey"), (5, "supplied_by", "part", "l_partkey", "supplier", "l_suppkey")] if asked(p[1])]
+    keys = [("nation", 0, "in_region", "nation", "n_nationkey", "region", "n_regionkey"), ("customer", 1, "in_nation", "customer", "c_custkey", "nation", "c_nationkey"), ("supplier", 2, "in_nation", "supplier", "s_suppkey", "nation", "s_nationkey")]
+    keys += [("orders", 3, "placed_by", "order", "o_orderkey", "customer", "o_custkey", millis("o_orderdate"))]
+    parts = [key(*k) for k in keys if asked(k[2])]
+    if pairs:
+        ends = F.array(*(F.struct(F.lit(p[0]).alias("place"), F.col(p[3]).cast("bigint").alias("own"), F.col(p[5]).cast("bigint").alias("other")) for p in pairs))
+        items = table(spark, sf_dir, "lineitem").select(F.explode(ends).alias("k"), millis("l_shipdate").alias("mtime")).select("k.*", "mtime").groupBy("place", "own", "other").agg(F.max("mtime").alias("mtime"))
+        chosen = lambda make: F.coalesce(*(F.when(F.col("place") == p[0], make(p)) for p in pairs))
+        number = (F.col("place") * RELATION_STEP + F.col("own") * PAIR_STEP + F.col("other")).cast("bigint").alias("seq")
+        parts.append(items.select(number, chosen(lambda p: _named(p[2], "own")).alias("src"), chosen(lambda p: _named(p[4], "other")).alias("dst"), chosen(lambda p: F.lit(p[1])).alias("rel_type"), "mtime"))
     found = parts[0]
     for p in parts[1:]:
         found = found.unionByName(p)
