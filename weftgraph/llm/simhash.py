@@ -196,7 +196,9 @@ def links(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFra
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable): one row per input row.
+    """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable), group_fingerprint (one of the component's): one row per input row.
+
+    Where ids repeat, components may share an id; group_fingerprint tells them apart.
 
     Null and blank texts have the fingerprint zero, which links like any other. Texts of fewer words
     than a shingle count as one shingle. Repeated rows return repeated rows; equal fingerprints are one
@@ -209,6 +211,8 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # only linked fingerprints take a name from others; those of one component are dealt by a salt, as it may hold very many
     linked = nodes.join(roots, "fp").withColumn("salt", F.pmod(F.hash("fp"), F.lit(SALT)))
     names = linked.groupBy("root").agg(F.min("first").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-    named = written(linked.join(names, ["root", "salt"]).select("fp", "component_id"))
-    found = nodes.join(named.withColumn("linked", F.lit(True)), "fp", "left").select("fp", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("first")).alias("component_id"))
-    return rows.join(found, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = written(linked.join(names, ["root", "salt"]).select("fp", "component_id", "root"))
+    own = F.when(F.col("root").isNull(), F.col("first")).otherwise(F.col("component_id")).alias("component_id")
+    found = nodes.join(named, "fp", "left").select("fp", own, F.coalesce("root", "fp").alias("root"))
+    spelt = lambda c: F.lower(F.lpad(F.hex(c), 16, "0"))
+    return rows.join(found, "fp").select("doc_id", spelt("fp").alias("fingerprint"), "component_id", spelt("root").alias("group_fingerprint"))
