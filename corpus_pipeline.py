@@ -50,9 +50,9 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if not _repeated(docs):
         gone = groups.filter("doc_id <> component_id").select("doc_id")
         return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    # an id with several texts: of those in the group of its name one stays, the first by its hash
-    prints = text_prints(docs).join(groups.filter("doc_id = component_id").select("doc_id", "fingerprint").distinct(), ["doc_id", "fingerprint"])
-    first = prints.join(groups.select("doc_id", "fingerprint", "component_id").distinct(), ["doc_id", "fingerprint"]).groupBy("doc_id", "component_id").agg(F.min("text_sha256").alias("_text"))
+    # an id with several texts: of those in a group that has its name one stays, the first by its hash
+    named = groups.filter("doc_id = component_id").select("doc_id", "fingerprint", "group_fingerprint").distinct()
+    first = text_prints(docs).join(named, ["doc_id", "fingerprint"]).groupBy("doc_id", "group_fingerprint").agg(F.min("text_sha256").alias("_text"))
     rows = docs.withColumn("_text", F.sha2(F.coalesce("text", F.lit("")), 256))
     kept = rows.filter("doc_id IS NOT NULL").join(first.select("doc_id", "_text").distinct(), ["doc_id", "_text"], "left_semi")
     return kept.unionByName(rows.filter("doc_id IS NULL")).select(docs.columns)
