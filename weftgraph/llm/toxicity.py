@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import blocks, flat, slices, word_starts
-from .tables import fold, texts, written
+from .tables import fold, forget, texts, written
 from .words import IN_WORD, Shingled, folded
 
 #: Bounds of the training sample: rows of each label, and bytes of a text, counted from its start.
@@ -241,6 +241,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sampl
     # at most 4 * sample rows of two numbers travel; the documents are read once
     rows = written(able.join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(8 * sample))
     found = ordered(rows, 1, sample).unionByName(ordered(rows, 0, sample)).select("toxic", "text").toArrow()
+    forget(rows)
     found = found.take(pa.array(distinct(*flat(found.column("text")), found.column("toxic").to_numpy())))
     return train(*flat(found.column("text")), found.column("toxic").to_numpy().astype(np.int64))
 
