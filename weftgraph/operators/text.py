@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from weftgraph.functions.strings import normalised
@@ -165,7 +165,7 @@ def sentence_ranks(found: DataFrame, cosines: DataFrame, steps: int | None = Non
 
 def _rounds(found: DataFrame, moved, steps: int | None, damping: float, tolerance: float) -> DataFrame:
     """Scores of each document's sentences after `steps` rounds, or when a document's own change by less than the tolerance; moved: scores -> doc_id, sentence, m."""
-    from weftgraph.plans.lineage import forget, written
+    from weftgraph.plans.lineage import written
 
     counts = found.groupBy("doc_id").agg(F.count("*").alias("n"))
     ranks = base = written(found.select("doc_id", "sentence").join(counts, "doc_id").withColumn("score", 1 / F.col("n")))
@@ -176,24 +176,23 @@ def _rounds(found: DataFrame, moved, steps: int | None, damping: float, toleranc
             if (k + 1) % 5 == 0 and k + 1 < steps:
                 ranks = written(ranks)
         return ranks.select("doc_id", "sentence", "score")
-    final = []
-    for _ in range(ROUNDS):
-        after = written(ranks.join(moved(ranks), ["doc_id", "sentence"], "left").select("doc_id", "sentence", "n", new.alias("score"), F.abs(new - F.col("score")).alias("change")), ranks)
-        changes = after.groupBy("doc_id").agg(F.sum("change").alias("change"))
-        ended = written(changes.filter(F.col("change") < tolerance).select("doc_id"))
-        ranks = after.drop("change")
-        if ended.isEmpty():
-            forget(ended)
-            ranks._weftgraph_path = after._weftgraph_path
-        else:
-            final.append(after.join(ended, "doc_id", "left_semi").select("doc_id", "sentence", "score"))
-            ranks = written(ranks.join(ended, "doc_id", "left_anti"))
-        if ranks.isEmpty():
+    found, keep = None, False
+    for _ in range(ROUNDS):  # one job a round: what is final, and how much of it there is, is seen while the round is written
+        after = ranks.join(moved(ranks), ["doc_id", "sentence"], "left").select("doc_id", "sentence", "n", new.alias("score"), F.abs(new - F.col("score")).alias("change"))
+        done = F.sum("change").over(Window.partitionBy("doc_id")) < tolerance
+        seen = Observation()
+        after = after.select("doc_id", "sentence", "n", "score", done.alias("done")).observe(seen, F.count_if("done").alias("final"), F.count("*").alias("rows"))
+        base = written(after, None if keep else base)
+        counts = seen.get if not base.isEmpty() else {"final": 0, "rows": 0}
+        keep = counts["final"] > 0
+        if keep:
+            part = base.filter("done").select("doc_id", "sentence", "score")
+            found = part if found is None else found.unionByName(part)
+        ranks = base.filter("NOT done").drop("done")
+        if counts["final"] == counts["rows"]:
             break
-    out = ranks.select("doc_id", "sentence", "score")
-    for part in final:
-        out = out.unionByName(part)
-    return out
+    rest = ranks.select("doc_id", "sentence", "score")
+    return rest if found is None else found.unionByName(rest)
 
 
 def word_pairs(docs: DataFrame, window: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
