@@ -10,16 +10,15 @@ from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from weftgraph.functions.strings import normalised
+from weftgraph.operators.textrank import ROUNDS, TOLERANCE, document_frequencies
 from weftgraph.schema import MAX_LENGTH, MAX_OBSERVATIONS
 
 TOP = 15
-#: Ranks are final when a round changes a document's scores by less than this in sum, or after so many rounds.
-TOLERANCE, ROUNDS = 1e-6, 30000
 
 
 def wrap(text: str, width: int = MAX_LENGTH) -> list[tuple[str, int]]:
     """Pieces of at most `width` UTF-16 units and their starts: cut at the last blank that fits, inside a word only where none does."""
-    wide = any(ord(c) > 0xFFFF for c in text)
+    wide = not text.isascii() and any(ord(c) > 0xFFFF for c in text)
     out, at = [], 0
     while at < len(text):
         last = min(at + width, len(text))
@@ -79,12 +78,6 @@ def sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return rows.select("doc_id", "sentence", F.col("s.start").alias("start"), F.col("s.text").alias("text"), F.split(F.lower("s.text"), " ").alias("words"))
 
 
-def document_frequencies(strings: DataFrame) -> DataFrame:
-    """word, df: in how many rows of `text` a lower-cased word occurs."""
-    words = F.explode(F.array_distinct(F.split(normalised(F.lower("text")), " "))).alias("word")
-    return strings.select(words).filter("word <> ''").groupBy("word").agg(F.count("*").alias("df"))
-
-
 def term_weights(docs: DataFrame, frequencies: DataFrame, corpus: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, word, tf, idf, weight of every word of each document; idf = ln(N / (1 + df)) + 1 over the corpus before the load.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weftgraph.functions.strings import normalised
-from weftgraph.operators import text, trigram
+from weftgraph.operators import text, textrank, trigram
 from weftgraph.sources.tables import table
 
 WHITE = r"[\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+"
@@ -107,9 +107,13 @@ def _cosines(spark, d):
     return text.sentence_cosines(found, weights).select("doc_id", "i", "j", F.round("cosine", 6).alias("cosine"))
 
 
+def _sentence_ranks(docs, corpus, steps=None):
+    return textrank.rank_sentences(docs, text.document_frequencies(corpus), corpus.count(), steps)
+
+
 def _ranks(spark, d):
-    _, found, weights = _turn_parts(spark, d)
-    return text.ranks_by_words(found, weights, STEPS).select("doc_id", "sentence", F.round("score", 11).alias("score"))
+    found = _sentence_ranks(_turns(spark, d), table(spark, d, "benchmark").select("text"), STEPS)
+    return found.select("doc_id", "sentence", F.round("score", 11).alias("score"))
 
 
 def _marks(spark, d):
@@ -186,8 +190,7 @@ def _titled(spark, d):
 
 def _whole_ranks(spark, d):
     docs = _titled(spark, d)
-    _, found, weights = _parts(docs, docs.select("text"))
-    return text.ranks_by_words(found, weights)
+    return _sentence_ranks(docs, docs.select("text"))
 
 
 def _whole_word_ranks(spark, d):
