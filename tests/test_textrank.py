@@ -70,3 +70,16 @@ def test_sentence_jobs(spark, tmp_path):
     """Rounds cost no jobs: over thirty for this text before."""
     spark.createDataFrame([(1, " ".join(f"Word{i} links word{i + 1} on." for i in range(60)))], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     assert jobs(spark, "sentence rounds", lambda: text_queries.WHOLE["document_sentence_textrank"](spark, str(tmp_path))) <= 15
+
+
+def test_word_ranks(odd):
+    pairs = text.word_pairs(odd)
+    words = pairs.select("doc_id", F.explode(F.array("a", "b")).alias("sentence")).distinct()
+    want = text.sentence_ranks(words, pairs.select("doc_id", F.col("a").alias("i"), F.col("b").alias("j"), F.col("n").cast("double").alias("cosine")))
+    got = textrank.rank_words(odd)
+    assert near({(r.doc_id, r.word): r.score for r in got.collect()}, {(r.doc_id, r.sentence): r.score for r in want.collect()})
+
+
+def test_word_jobs(spark, tmp_path):
+    spark.createDataFrame([(1, " ".join(f"w{i} w{i + 1}" for i in range(300)))], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert jobs(spark, "word rounds", lambda: text_queries.WHOLE["document_word_textrank"](spark, str(tmp_path))) <= 3

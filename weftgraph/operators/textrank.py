@@ -175,6 +175,27 @@ def sentence_scores(block: Block, weight: np.ndarray | None, steps: int | None =
     return settled(block.text_of, block.n, (s, word, b), block.text_of[s], moved, steps, damping, tolerance)
 
 
+def word_scores(block: Block, window: int = 5, steps: int | None = None, damping: float = 0.85, tolerance: float = TOLERANCE) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers of the words that stand near another one, their scores); similarity is how often two words stand within a window."""
+    w, keys = len(block.distinct), []
+    for k in range(1, window):
+        a, b = block.code[:-k], block.code[k:]
+        use = (block.owner[:-k] == block.owner[k:]) & (a != b)
+        keys.append(np.minimum(a, b)[use] * w + np.maximum(a, b)[use])
+    key, count = np.unique(np.concatenate(keys), return_counts=True)
+    here, there, count = np.r_[key // max(w, 1), key % max(w, 1)], np.r_[key % max(w, 1), key // max(w, 1)], np.r_[count, count].astype(np.float64)
+    sums = np.bincount(here, count, w)
+    found = np.flatnonzero(sums > 0)
+    item = np.cumsum(sums > 0) - 1
+    here, there, r = item[here], item[there], sums[found]
+    owner = np.repeat(np.arange(block.n), block.size)[found]
+
+    def moved(score: np.ndarray, here: np.ndarray, there: np.ndarray, count: np.ndarray) -> np.ndarray:
+        return np.bincount(there, count * (score / r)[here], len(found))
+
+    return found, settled(owner, block.n, (here, there, count), owner[here], moved, steps, damping, tolerance)
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pieces of the batches of about BLOCK bytes of their column `text`."""
     for b in batches:
@@ -205,3 +226,18 @@ def rank_sentences(docs: DataFrame, frequencies: DataFrame, corpus: int, steps:
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(block.text_of)), pa.array(block.number.astype(np.int32)), pa.array(score)], ["doc_id", "sentence", "score"])
 
     return rows.mapInArrow(run, "doc_id long, sentence int, score double")
+
+
+def rank_words(docs: DataFrame, steps: int | None = None) -> DataFrame:
+    """doc_id, word, score of the words of docs (doc_id, text) that stand near another one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _blocks(batches):
+            block = Block([lowered(*x) for x in zip(*_lists(b, "text", "low"), strict=True)])
+            found, score = word_scores(block, steps=steps)
+            owner = np.repeat(np.arange(block.n), block.size)[found]
+            word = pa.array(block.distinct, pa.binary()).cast(pa.string()).take(pa.array(found))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(owner)), word, pa.array(score)], ["doc_id", "word", "score"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *both_cases(F.coalesce(F.col("text"), F.lit(""))))
+    return rows.mapInArrow(run, "doc_id long, word string, score double")

@@ -152,10 +152,7 @@ PAIRS = f"""WITH {TURNS}, w AS (SELECT doc_id, unnest(string_split(lower(t), ' '
 
 def _word_ranks(spark, d):
     """Word ranks by the sentence ranks' rounds, with co-occurrence counts for similarities."""
-    pairs = text.word_pairs(_turns(spark, d))
-    words = pairs.select("doc_id", F.explode(F.array("a", "b")).alias("sentence")).distinct()
-    found = text.sentence_ranks(words, pairs.select("doc_id", F.col("a").alias("i"), F.col("b").alias("j"), F.col("n").cast("double").alias("cosine")), STEPS)
-    return found.select("doc_id", F.col("sentence").alias("word"), F.round("score", 11).alias("score"))
+    return textrank.rank_words(_turns(spark, d), STEPS).select("doc_id", "word", F.round("score", 11).alias("score"))
 
 
 def _load(spark, d):
@@ -194,10 +191,7 @@ def _whole_ranks(spark, d):
 
 
 def _whole_word_ranks(spark, d):
-    pairs = text.word_pairs(_titled(spark, d))
-    words = pairs.select("doc_id", F.explode(F.array("a", "b")).alias("sentence")).distinct()
-    found = text.sentence_ranks(words, pairs.select("doc_id", F.col("a").alias("i"), F.col("b").alias("j"), F.col("n").cast("double").alias("cosine")))
-    return found.select("doc_id", F.col("sentence").alias("word"), "score")
+    return textrank.rank_words(_titled(spark, d))
 
 
 def _whole_marks(spark, d):
