@@ -83,3 +83,31 @@ def test_word_ranks(odd):
 def test_word_jobs(spark, tmp_path):
     spark.createDataFrame([(1, " ".join(f"w{i} w{i + 1}" for i in range(300)))], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     assert jobs(spark, "word rounds", lambda: text_queries.WHOLE["document_word_textrank"](spark, str(tmp_path))) <= 3
+
+
+def test_highlights(odd, related):
+    corpus, found, _, ranks = related
+    parts = text.chunks(text.observations(odd))
+    want = text.highlights(found, ranks, text.sentence_chunks(found, parts))
+    rows = textrank.loaded(odd, text.document_frequencies(corpus), corpus.count(), text.TOP).cache()
+    got = rows.select("doc_id", F.posexplode("highlights").alias("place", "m")).select("doc_id", "place", "m.*")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    got = rows.select("doc_id", F.posexplode("chunks").alias("chunk", "c")).select("doc_id", "chunk", "c.*")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, parts.select("doc_id", "chunk", "chunk_id", "observations").collect()))
+    bare = textrank.loaded(odd, text.document_frequencies(corpus), corpus.count(), text.TOP, parts=False)
+    assert sorted((r.doc_id, r.highlights) for r in bare.collect()) == sorted((r.doc_id, r.highlights) for r in rows.collect())
+
+
+def test_entry_jobs(spark, tmp_path):
+    spark.createDataFrame([(1, " ".join(f"Word{i} links word{i + 1} on." for i in range(60)))], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert jobs(spark, "entry rounds", lambda: text_queries.WHOLE["document_index_entries"](spark, str(tmp_path))) <= 15
+
+
+def test_rounding(spark):
+    """As Spark rounds, at halves too: 0.15 / 256 has ten decimals, and the last is a five."""
+    import numpy as np
+
+    rng = random.Random(3)
+    scores = [0.15 / n for n in range(1, 3000)] + [rng.random() for _ in range(2000)] + [k * 1e-9 + 5e-10 for k in range(2000)] + [0.1234567885, 0.1234567895, 1.0]
+    want = spark.createDataFrame(list(enumerate(scores)), "k int, s double").orderBy("k").select(F.round("s", 9)).collect()
+    assert [round(r[0] * 1e9) for r in want] == textrank.rounded(np.array(scores)).astype(int).tolist()

@@ -234,10 +234,9 @@ def packed(previews: Column, most: int = MAX_OBSERVATIONS, width: int = MAX_LENG
     return F.aggregate(short, start, add, lambda s: F.slice(F.when(s["line"] == "", s["full"]).otherwise(F.concat(s["full"], F.array(s["line"]))), 1, most))
 
 
-def packed_index(marks: DataFrame) -> DataFrame:
-    """doc_id, observations: one index entry for a document's highlights, in the order of their places."""
-    rows = marks.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("place", "phrase"))).alias("m"))  # at most `top` rows a document
-    return rows.select("doc_id", packed(F.transform("m", lambda x: x["phrase"])).alias("observations"))
+def packed_index(loaded: DataFrame) -> DataFrame:
+    """doc_id, observations: one index entry for the highlights of each document that has some, in their order."""
+    return loaded.filter(F.size("highlights") > 0).select("doc_id", packed(F.transform("highlights", lambda m: m["phrase"])).alias("observations"))
 
 
 def document_graph(parts: DataFrame, marks: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:

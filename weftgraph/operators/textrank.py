@@ -5,10 +5,13 @@ Words come from lower-cased, normalised text, as in `text`; only the corpus freq
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Callable, Iterator
+from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +19,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.schema import MAX_LENGTH, MAX_OBSERVATIONS
+
 #: Ranks are final when a round changes a document's scores by less than this in sum, or after so many rounds.
 TOLERANCE, ROUNDS = 1e-6, 30000
 #: Bytes of text whose ranks are worked out together; a longer text is by itself.
@@ -241,3 +246,74 @@ def rank_words(docs: DataFrame, steps: int | None = None) -> DataFrame:
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *both_cases(F.coalesce(F.col("text"), F.lit(""))))
     return rows.mapInArrow(run, "doc_id long, word string, score double")
+
+
+def rounded(score: np.ndarray) -> np.ndarray:
+    """Scores in units of 1e-9, halves up as Spark rounds what a double prints: nearer scores are ties."""
+    at = score * 1e9
+    out = np.floor(at + 0.5)
+    for i in np.flatnonzero(np.abs(at - np.floor(at) - 0.5) < 1e-4).tolist():
+        out[i] = float(Decimal(repr(float(score[i]))).scaleb(9).quantize(Decimal(1), ROUND_HALF_UP))
+    return out
+
+
+LOADED = """doc_id long, words long, unique_words long, sentences long, chunks array<struct<chunk_id: string, observations: array<string>>>,
+    highlights array<struct<sentence: int, chunk_id: string, phrase: string>>"""
+
+
+def _nested(lists: list[list], kinds: list[pa.DataType], names: list[str]) -> pa.Array:
+    """Lists of tuples as an array of lists of structs."""
+    flat = [x for found in lists for x in found]
+    columns = [pa.array([x[i] for x in flat], kind) for i, kind in enumerate(kinds)]
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(x) for x in lists], dtype=np.int64)].astype(np.int32)), pa.StructArray.from_arrays(columns, names))
+
+
+def loaded(docs: DataFrame, frequencies: DataFrame, corpus: int, top: int, steps: int | None = None, parts: bool = True) -> DataFrame:
+    """A row for each row of docs (doc_id, text, any others): its counts, its chunks in order (none if not `parts`), and the best sentences, the best one of each chunk, best first.
+
+    Chunks are neighbouring pieces in pairs, as `text.chunks` makes them; their ids are made of the content.
+    """
+    from weftgraph.operators.text import wrap
+
+    more = [c for c in docs.columns if c not in ("doc_id", "text")]
+    rows, shared = _with_frequencies(docs, frequencies, *more)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _blocks(batches):
+            ids, raw, low, rare = _lists(b, "doc_id", "text", "low", "rare")
+            block = Block([lowered(*x) for x in zip(raw, low, strict=True)])
+            block.sentences()
+            score = sentence_scores(block, block.weights(shared.value, rare, corpus) if corpus else None, steps)
+            order = np.lexsort((block.number, -rounded(score), block.text_of))
+            at = 0
+            place = np.cumsum(block.count) - block.count
+            begins = (np.cumsum(block.length) - block.length).tolist()
+            all_chunks, all_marks = [], []
+            for k, (doc, text) in enumerate(zip(ids, raw, strict=True)):
+                t = b" ".join(words_of(text)).decode()
+                pieces = wrap(t)
+                pairs = [pieces[i : i + MAX_OBSERVATIONS] for i in range(0, len(pieces), MAX_OBSERVATIONS)]
+                named = lambda i, doc=doc, pairs=pairs: hashlib.sha256("\x00".join([str(doc), str(i), *(o for o, _ in pairs[i])]).encode()).hexdigest()[:24]
+                all_chunks.append([(named(i), [o for o, _ in p]) for i, p in enumerate(pairs)] if parts else [])
+                marks, seen = [], set()
+                if block.count[k]:
+                    starts = [p[0][1] for p in pairs]
+                    length = np.fromiter(map(len, t.split(" ")), np.int64, int(block.length[k]))
+                    end = np.cumsum(length + 1) - 1
+                    for s in order[place[k] : place[k] + min(top, block.count[k])].tolist():
+                        first, last = int(block.first[s]) - begins[k], int(block.last[s]) - begins[k]
+                        begin = int(end[first] - length[first])
+                        i = bisect_right(starts, begin) - 1  # a sentence starts at a letter, and all of them are in pieces
+                        if i in seen:
+                            continue
+                        seen.add(i)
+                        phrase = t[begin : int(end[last])]
+                        marks.append((int(block.number[s]), all_chunks[-1][i][0] if parts else named(i), phrase if len(phrase) <= MAX_LENGTH else phrase[: MAX_LENGTH - 3] + "..."))
+                all_marks.append(marks)
+            chunks = _nested(all_chunks, [pa.string(), pa.list_(pa.string())], ["chunk_id", "observations"])
+            marks = _nested(all_marks, [pa.int32(), pa.string(), pa.string()], ["sentence", "chunk_id", "phrase"])
+            counts = [pa.array(x.astype(np.int64)) for x in (block.length, block.size, block.count)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *counts, chunks, marks, *(b.column(c) for c in more)], ["doc_id", "words", "unique_words", "sentences", "chunks", "highlights", *more])
+
+    kinds = dict(docs.dtypes)
+    return rows.mapInArrow(run, ", ".join([LOADED, *(f"`{c}` {kinds[c]}" for c in more)]))

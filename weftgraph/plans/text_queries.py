@@ -116,17 +116,21 @@ def _ranks(spark, d):
     return found.select("doc_id", "sentence", F.round("score", 11).alias("score"))
 
 
+def _highlighted(docs, corpus, top=text.TOP, steps=None):
+    return textrank.loaded(docs.select("doc_id", "text"), text.document_frequencies(corpus), corpus.count(), top, steps, parts=False)
+
+
+def _places_of(loaded):
+    rows = loaded.select("doc_id", F.posexplode("highlights").alias("place", "m"))
+    return rows.select("doc_id", "place", "m.sentence", "m.phrase")
+
+
 def _marks(spark, d):
-    docs, found, weights = _turn_parts(spark, d)
-    parts = text.chunks(text.observations(docs))
-    marks = text.highlights(found, text.ranks_by_words(found, weights, STEPS), text.sentence_chunks(found, parts), top=3)
-    return marks.select("doc_id", F.col("place").cast("int").alias("place"), "sentence", "phrase")
+    return _places_of(_highlighted(_turns(spark, d), table(spark, d, "benchmark").select("text"), 3, STEPS))
 
 
 def _packed(spark, d):
-    docs, found, weights = _turn_parts(spark, d)
-    parts = text.chunks(text.observations(docs))
-    marks = text.highlights(found, text.ranks_by_words(found, weights, STEPS), text.sentence_chunks(found, parts), top=8)
+    marks = _highlighted(_turns(spark, d), table(spark, d, "benchmark").select("text"), 8, STEPS)
     return text.packed_index(marks).select("doc_id", F.array_join("observations", "~").alias("observations"))
 
 
@@ -194,18 +198,14 @@ def _whole_word_ranks(spark, d):
     return textrank.rank_words(_titled(spark, d))
 
 
-def _whole_marks(spark, d):
-    docs = _titled(spark, d)
-    _, found, weights = _parts(docs, docs.select("text"))
-    return text.highlights(found, text.ranks_by_words(found, weights), text.sentence_chunks(found, text.chunks(text.observations(docs))))
-
-
 def _whole_entries(spark, d):
-    return _whole_marks(spark, d).select("doc_id", F.col("place").cast("int").alias("place"), "sentence", "phrase")
+    docs = _titled(spark, d)
+    return _places_of(_highlighted(docs, docs.select("text")))
 
 
 def _whole_packed(spark, d):
-    return text.packed_index(_whole_marks(spark, d))
+    docs = _titled(spark, d)
+    return text.packed_index(_highlighted(docs, docs.select("text")))
 
 
 def _whole_load(spark, d):
