@@ -111,3 +111,29 @@ def test_rounding(spark):
     scores = [0.15 / n for n in range(1, 3000)] + [rng.random() for _ in range(2000)] + [k * 1e-9 + 5e-10 for k in range(2000)] + [0.1234567885, 0.1234567895, 1.0]
     want = spark.createDataFrame(list(enumerate(scores)), "k int, s double").orderBy("k").select(F.round("s", 9)).collect()
     assert [round(r[0] * 1e9) for r in want] == textrank.rounded(np.array(scores)).astype(int).tolist()
+
+
+def test_graph(odd, related):
+    """Every link of the loaded documents, by hand from chunks and highlights."""
+    corpus, found, _, ranks = related
+    parts = text.chunks(text.observations(odd))
+    entities, relations, _ = text.load_documents(odd, corpus)
+    chunks, marks, links, names = {}, {}, [], []
+    for r in parts.orderBy("doc_id", "chunk").collect():
+        chunks.setdefault(r.doc_id, []).append(r)
+    for r in text.highlights(found, ranks, text.sentence_chunks(found, parts)).orderBy("doc_id", "place").collect():
+        marks.setdefault(r.doc_id, []).append(r)
+    for (d, title) in odd.select("doc_id", "title").collect():
+        c, m, hub = [x.chunk_id for x in chunks.get(d, [])], marks.get(d, []), f"{title}__index"
+        names += [(title, "Document", ()), (hub, "DocumentIndex", ())] + [(x.chunk_id, "TextChunk", tuple(x.observations)) for x in chunks.get(d, [])] + [(f"{title}__idx_{x.place}", "DocumentIndex", (x.phrase,)) for x in m]
+        pairs = [(title, x, "starts_with", "belongs_to") for x in c[:1]] + [(title, x, "ends_with", "belongs_to") for x in c[1:][-1:]] + [(a, b, "follows", "preceded_by") for a, b in zip(c, c[1:])] + [(title, hub, "has_index", "indexes")]  # noqa: B905
+        for x in m:
+            pairs += [(hub, f"{title}__idx_{x.place}", "contains", "contained_in"), (f"{title}__idx_{x.place}", x.chunk_id, "highlights", "highlighted_by")]
+        links += [y for a, b, there, back in pairs for y in ((a, b, there), (b, a, back))]
+    assert sorted((r.name, r.entity_type, tuple(r.observations)) for r in entities.collect()) == sorted(names)
+    assert sorted(map(tuple, relations.select("src", "dst", "rel_type").collect())) == sorted(links)
+
+
+def test_graph_jobs(spark, tmp_path):
+    spark.createDataFrame([(1, " ".join(f"Word{i} links word{i + 1} on." for i in range(60)))], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert jobs(spark, "graph rounds", lambda: text_queries.WHOLE["document_load_graph"](spark, str(tmp_path))) <= 20

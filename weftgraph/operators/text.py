@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from weftgraph.functions.strings import normalised
+from weftgraph.operators import textrank
 from weftgraph.operators.textrank import ROUNDS, TOLERANCE, document_frequencies
 from weftgraph.schema import MAX_LENGTH, MAX_OBSERVATIONS
 
@@ -239,34 +240,38 @@ def packed_index(loaded: DataFrame) -> DataFrame:
     return loaded.filter(F.size("highlights") > 0).select("doc_id", packed(F.transform("highlights", lambda m: m["phrase"])).alias("observations"))
 
 
-def document_graph(parts: DataFrame, marks: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """docs (doc_id, title) -> entities (name, entity_type, observations) and relations (src, dst, rel_type) of the loaded documents."""
-    none = F.array().cast("array<string>")
-    parts, marks = parts.join(docs, "doc_id"), marks.join(docs, "doc_id")
-    hub = F.concat("title", F.lit("__index"))
-    entry = F.concat("title", F.lit("__idx_"), F.col("place"))
-    entities = docs.select(F.col("title").alias("name"), F.lit("Document").alias("entity_type"), none.alias("observations"))
-    entities = entities.unionByName(parts.select(F.col("chunk_id").alias("name"), F.lit("TextChunk").alias("entity_type"), "observations"))
-    entities = entities.unionByName(marks.select(entry.alias("name"), F.lit("DocumentIndex").alias("entity_type"), F.array("phrase").alias("observations")))
-    entities = entities.unionByName(docs.select(hub.alias("name"), F.lit("DocumentIndex").alias("entity_type"), none.alias("observations")))
-
-    def both(rows: DataFrame, a, there: str, b, back: str) -> DataFrame:
-        pair = F.explode(F.array(F.struct(a.alias("src"), b.alias("dst"), F.lit(there).alias("rel_type")), F.struct(b.alias("src"), a.alias("dst"), F.lit(back).alias("rel_type"))))
-        return rows.select(pair.alias("r")).select("r.*")
-
-    title, chunk = F.col("title"), F.col("chunk_id")
-    ends = parts.groupBy("doc_id", "title").agg(F.min_by("chunk_id", "chunk").alias("first"), F.max_by("chunk_id", "chunk").alias("last"), F.count("*").alias("n"))
-    following = parts.select(chunk, F.lead("chunk_id").over(Window.partitionBy("doc_id").orderBy("chunk")).alias("next")).filter("next IS NOT NULL")
-    relations = both(ends, title, "starts_with", F.col("first"), "belongs_to")
-    for more in (
-        both(ends.filter("n > 1"), title, "ends_with", F.col("last"), "belongs_to"),
-        both(following, chunk, "follows", F.col("next"), "preceded_by"),
-        both(docs, title, "has_index", hub, "indexes"),
-        both(marks, hub, "contains", entry, "contained_in"),
-        both(marks, entry, "highlights", chunk, "highlighted_by"),
-    ):
-        relations = relations.unionByName(more)
-    return entities, relations
+def document_graph(loaded: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of `textrank.loaded` with a title -> entities (name, entity_type, observations) and relations (src, dst, rel_type) of the loaded documents."""
+    title, chunks, marks = F.col("title"), F.col("chunks"), F.col("highlights")
+    hub, none = F.concat(title, F.lit("__index")), F.array().cast("array<string>")
+
+    def entry(place: Column) -> Column:
+        return F.concat(title, F.lit("__idx_"), place.cast("string"))
+
+    def entity(name: Column, kind: str, found: Column) -> Column:
+        return F.struct(name.alias("name"), F.lit(kind).alias("entity_type"), found.alias("observations"))
+
+    def both(a: Column, there: str, b: Column, back: str) -> Column:
+        return F.array(F.struct(a.alias("src"), b.alias("dst"), F.lit(there).alias("rel_type")), F.struct(b.alias("src"), a.alias("dst"), F.lit(back).alias("rel_type")))
+
+    entities = F.concat(
+        F.array(entity(title, "Document", none)),
+        F.transform(chunks, lambda c: entity(c["chunk_id"], "TextChunk", c["observations"])),
+        F.transform(marks, lambda m, i: entity(entry(i), "DocumentIndex", F.array(m["phrase"]))),
+        F.array(entity(hub, "DocumentIndex", none)),
+    )
+    last = F.size(chunks) - 1
+    relations = F.flatten(
+        F.concat(
+            F.transform(F.slice(chunks, 1, 1), lambda c: both(title, "starts_with", c["chunk_id"], "belongs_to")),
+            F.transform(F.filter(chunks, lambda c, i: (i > 0) & (i == last)), lambda c: both(title, "ends_with", c["chunk_id"], "belongs_to")),
+            F.transform(F.filter(chunks, lambda c, i: i < last), lambda c, i: both(c["chunk_id"], "follows", F.get(chunks, i + 1)["chunk_id"], "preceded_by")),
+            F.array(both(title, "has_index", hub, "indexes")),
+            F.transform(marks, lambda m, i: both(hub, "contains", entry(i), "contained_in")),
+            F.transform(marks, lambda m, i: both(entry(i), "highlights", m["chunk_id"], "highlighted_by")),
+        )
+    )
+    return loaded.select(F.explode(entities).alias("e")).select("e.*"), loaded.select(F.explode(relations).alias("r")).select("r.*")
 
 
 def load_documents(docs: DataFrame, corpus: DataFrame, top: int = TOP, steps: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -276,17 +281,8 @@ def load_documents(docs: DataFrame, corpus: DataFrame, top: int = TOP, steps: in
     """
     from weftgraph.plans.lineage import written
 
-    pieces = written(observations(docs))
-    parts, found = written(chunks(pieces)), written(sentences(docs))
-    size = corpus.count()
-    weights = written(term_weights(docs, document_frequencies(corpus), size))
-    ranks = ranks_by_words(found, weights if size else weights.limit(0), steps)
-    marks = written(highlights(found, ranks, sentence_chunks(found, parts), top))
-    titles = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "title")
-    entities, relations = document_graph(parts, marks, titles)
-    counts = lambda df, name: df.groupBy("doc_id").agg(F.count("*").alias(name))
-    words = weights.groupBy("doc_id").agg(F.sum("tf").alias("words"), F.count("*").alias("unique_words"))
-    stats = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.length("text").alias("chars")).join(words, "doc_id", "left")
-    for df, name in ((parts, "chunks"), (found, "sentences"), (marks, "highlights")):
-        stats = stats.join(counts(df, name), "doc_id", "left")
-    return entities, relations, stats.na.fill(0)
+    rows = docs.select("doc_id", "title", "text", F.coalesce(F.length("text"), F.lit(0)).alias("chars"))
+    rows = written(textrank.loaded(rows, document_frequencies(corpus), corpus.count(), top, steps))
+    entities, relations = document_graph(rows)
+    number = lambda c: F.size(c).cast("long").alias(c)
+    return entities, relations, rows.select("doc_id", "chars", "words", "unique_words", number("chunks"), "sentences", number("highlights"))
