@@ -137,3 +137,18 @@ def test_graph(odd, related):
 def test_graph_jobs(spark, tmp_path):
     spark.createDataFrame([(1, " ".join(f"Word{i} links word{i + 1} on." for i in range(60)))], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     assert jobs(spark, "graph rounds", lambda: text_queries.WHOLE["document_load_graph"](spark, str(tmp_path))) <= 20
+
+
+def test_stats(odd, related):
+    corpus, found, weights, ranks = related
+    parts = text.chunks(text.observations(odd))
+    count = lambda df: {r.doc_id: r.n for r in df.groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
+    tf = {r.doc_id: (r.words, r.unique) for r in weights.groupBy("doc_id").agg(F.sum("tf").alias("words"), F.count("*").alias("unique")).collect()}
+    c, s, h = count(parts), count(found), count(text.highlights(found, ranks, text.sentence_chunks(found, parts)))
+    want = [(r.doc_id, len(r.text or ""), *tf.get(r.doc_id, (0, 0)), c.get(r.doc_id, 0), s.get(r.doc_id, 0), h.get(r.doc_id, 0)) for r in odd.collect()]
+    assert sorted(map(tuple, text.load_documents(odd, corpus)[2].collect())) == sorted(want)
+
+
+def test_stat_jobs(spark, tmp_path):
+    spark.createDataFrame([(1, " ".join(f"Word{i} links word{i + 1} on." for i in range(60)))], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert jobs(spark, "stat rounds", lambda: text_queries.WHOLE["document_load_stats"](spark, str(tmp_path))) <= 20
