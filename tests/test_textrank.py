@@ -113,6 +113,19 @@ def test_rounding(spark):
     assert [round(r[0] * 1e9) for r in want] == textrank.rounded(np.array(scores)).astype(int).tolist()
 
 
+def test_packing(odd, related):
+    corpus, found, _, ranks = related
+    marks = text.highlights(found, ranks, text.sentence_chunks(found, text.chunks(text.observations(odd))))
+    want = marks.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("place", "phrase"))).alias("m")).select("doc_id", text.packed(F.transform("m", lambda x: x["phrase"])))
+    got = text.packed_index(textrank.loaded(odd, text.document_frequencies(corpus), corpus.count(), text.TOP, parts=False))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_packing_jobs(spark, tmp_path):
+    spark.createDataFrame([(1, " ".join(f"Word{i} links word{i + 1} on." for i in range(60)))], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert jobs(spark, "packing rounds", lambda: text_queries.WHOLE["document_index_packing"](spark, str(tmp_path))) <= 15
+
+
 def test_graph(odd, related):
     """Every link of the loaded documents, by hand from chunks and highlights."""
     corpus, found, _, ranks = related
